@@ -38,9 +38,17 @@ def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
 
 
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint (shared folder from ``spark.checkpoint.dir``)."""
+    """Reliable checkpoint (shared folder from ``spark.checkpoint.dir``).
+
+    The frame is persisted while it is written, so the checkpoint job reads
+    the cached blocks instead of recomputing the plan; the returned frame's
+    plan is a single scan of the checkpoint files (lineage cut)."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    cached = df.persist()
+    out = cached.checkpoint(eager=eager)
+    if eager:
+        cached.unpersist()
+    return out
 
 
 def _sort_exprs(order: Sequence[tuple[str, bool]]) -> list[Column]:

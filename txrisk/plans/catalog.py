@@ -648,3 +648,279 @@ def alerts_by_type_level(alerts: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("is_fraud"), 1).otherwise(0)).cast("long").alias("alerts"),
         F.avg("rule_score").alias("avg_rule_score"),
     )
+
+
+# ------------------------------------------------------------------ E (graph)
+from txrisk.operators import centrality as EC  # noqa: E402
+from txrisk.operators import graph as E  # noqa: E402
+from txrisk.operators import propagate as EP  # noqa: E402
+from txrisk.plans.sqlparts import GRAPH, pagerank_sql  # noqa: E402
+
+PR_ITERS = 30  # fixed-iteration mode for the oracle comparison
+
+
+def _graph(spark, sf_dir):
+    feat = _feat(spark, sf_dir)
+    return feat, E.nodes(feat), E.edges(feat)
+
+
+@register("e1_nodes", with_(TX, FEAT, GRAPH) + "SELECT account FROM nd")
+def e1_nodes(spark, sf_dir):
+    return E.nodes(_tx(spark, sf_dir))
+
+
+@register("e2_edges", with_(TX, FEAT, GRAPH) + "SELECT src, dst, round(amount, 6) AS amount, round(amount_log, 6) AS amount_log, step, tx_type, is_fraud FROM ed")
+def e2_edges(spark, sf_dir):
+    return E.edges(_feat(spark, sf_dir))
+
+
+@register("e3_account_labels", with_(TX, FEAT, GRAPH) + "SELECT account, is_fraud FROM lb")
+def e3_account_labels(spark, sf_dir):
+    return E.account_labels(_tx(spark, sf_dir))
+
+
+@register(
+    "e4_degrees",
+    with_(TX, FEAT, GRAPH)
+    + "SELECT account, in_degree, out_degree, degree, round(weighted_in_deg, 6) AS weighted_in_deg, round(weighted_out_deg, 6) AS weighted_out_deg FROM dg",
+)
+def e4_degrees(spark, sf_dir):
+    return E.degrees(E.edges(_feat(spark, sf_dir)))
+
+
+@register("e6_pagerank", with_(TX, FEAT, GRAPH, pagerank_sql(PR_ITERS)) + f"SELECT account, round(x, 6) AS pagerank FROM p{PR_ITERS}")
+def e6_pagerank(spark, sf_dir):
+    _f, nd, ed = _graph(spark, sf_dir)
+    return EC.pagerank(ed, nd, iterations=PR_ITERS)
+
+
+@register("e8_clustering", with_(TX, FEAT, GRAPH) + "SELECT account, round(clustering_coeff, 6) AS clustering_coeff FROM cc")
+def e8_clustering(spark, sf_dir):
+    return E.clustering(E.edges(_feat(spark, sf_dir)))
+
+
+@register("e9_avg_neighbor_degree", with_(TX, FEAT, GRAPH) + "SELECT account, round(avg_neighbor_deg, 6) AS avg_neighbor_deg FROM an")
+def e9_avg_neighbor_degree(spark, sf_dir):
+    return E.avg_neighbor_degree(E.edges(_feat(spark, sf_dir)))
+
+
+@register("e10_local_fraud_rate", with_(TX, FEAT, GRAPH) + "SELECT account, round(local_fraud_rate, 6) AS local_fraud_rate FROM lf")
+def e10_local_fraud_rate(spark, sf_dir):
+    feat, nd, ed = _graph(spark, sf_dir)
+    return E.local_fraud_rate(ed, E.account_labels(feat, nd))
+
+
+GF_SELECT = """SELECT lb.account,
+  CAST(coalesce(dg.in_degree, 0) AS DOUBLE) AS in_degree, CAST(coalesce(dg.out_degree, 0) AS DOUBLE) AS out_degree,
+  CAST(coalesce(dg.degree, 0) AS DOUBLE) AS degree, coalesce(dg.weighted_in_deg, 0) AS weighted_in_deg,
+  coalesce(dg.weighted_out_deg, 0) AS weighted_out_deg, coalesce(pr.x, 0) AS pagerank, CAST(0 AS DOUBLE) AS betweenness,
+  coalesce(cc.clustering_coeff, 0) AS clustering_coeff, coalesce(an.avg_neighbor_deg, 0) AS avg_neighbor_deg,
+  coalesce(lf.local_fraud_rate, 0) AS local_fraud_rate, lb.is_fraud
+FROM lb LEFT JOIN dg USING (account) LEFT JOIN p{it} pr USING (account) LEFT JOIN cc USING (account)
+  LEFT JOIN an USING (account) LEFT JOIN lf USING (account)"""
+
+
+def _r6_all(inner: str, cols: list[str], keep: list[str]) -> str:
+    return "SELECT " + ", ".join(keep + [f"round({c}, 6) AS {c}" for c in cols]) + f" FROM ({inner})"
+
+
+_GF_COLS = ["in_degree", "out_degree", "degree", "weighted_in_deg", "weighted_out_deg", "pagerank", "betweenness",
+            "clustering_coeff", "avg_neighbor_deg", "local_fraud_rate"]
+
+
+@register(
+    "e11_graph_features",
+    with_(TX, FEAT, GRAPH, pagerank_sql(PR_ITERS)) + _r6_all(GF_SELECT.format(it=PR_ITERS), _GF_COLS, ["account", "is_fraud"]),
+)
+def e11_graph_features(spark, sf_dir):
+    return E.graph_features(_feat(spark, sf_dir), pagerank_iterations=PR_ITERS, with_betweenness=False)
+
+
+@register("e7_betweenness")
+def e7_betweenness(spark, sf_dir):
+    _f, nd, ed = _graph(spark, sf_dir)
+    return EC.betweenness(ed, nd, k=500)
+
+
+@register("e11_graph_features_full")
+def e11_graph_features_full(spark, sf_dir):
+    return E.graph_features(_feat(spark, sf_dir))
+
+
+AA_SQL = """aa AS (SELECT nameOrig AS account, avg(amount) AS amount, avg(amount_log) AS amount_log,
+  avg(balance_diff_orig) AS balance_diff_orig, avg(balance_diff_dest) AS balance_diff_dest,
+  CAST(max(orig_tx_count) AS DOUBLE) AS orig_tx_count, CAST(max(orig_total_sent) AS DOUBLE) AS orig_total_sent,
+  CAST(max(orig_unique_dests) AS DOUBLE) AS orig_unique_dests, avg(type_encoded) AS type_encoded FROM feat GROUP BY nameOrig)"""
+_AA_COLS = ["amount", "amount_log", "balance_diff_orig", "balance_diff_dest", "orig_tx_count", "orig_total_sent",
+            "orig_unique_dests", "type_encoded"]
+
+
+@register("e12_account_aggregates", with_(TX, FEAT, AA_SQL) + _r6_all("SELECT * FROM aa", _AA_COLS, ["account"]))
+def e12_account_aggregates(spark, sf_dir):
+    return E.account_aggregates(_feat(spark, sf_dir))
+
+
+@register(
+    "e13_node_features",
+    with_(TX, FEAT, GRAPH, pagerank_sql(PR_ITERS), AA_SQL, "gf AS (" + GF_SELECT.format(it=PR_ITERS) + ")")
+    + _r6_all(
+        "SELECT gf.account, gf.is_fraud, " + ", ".join(f"gf.{c}" for c in _GF_COLS) + ", "
+        + ", ".join(f"coalesce(aa.{c}, 0) AS {c}" for c in _AA_COLS) + " FROM gf LEFT JOIN aa USING (account)",
+        _GF_COLS + _AA_COLS, ["account", "is_fraud"],
+    ),
+)
+def e13_node_features(spark, sf_dir):
+    feat = _feat(spark, sf_dir)
+    gf = E.graph_features(feat, pagerank_iterations=PR_ITERS, with_betweenness=False)
+    return E.node_features(gf, E.account_aggregates(feat)).drop("x")
+
+
+@register(
+    "e14_edge_attributes",
+    with_(TX, FEAT, GRAPH)
+    + "SELECT src, dst, round(amount_log, 6) AS amount_log, CAST(tx_type AS DOUBLE) AS tx_type, round(step / CAST(744 AS DOUBLE), 6) AS step_norm, CAST(is_fraud AS DOUBLE) AS is_fraud FROM ed",
+)
+def e14_edge_attributes(spark, sf_dir):
+    return E.edge_attributes(E.edges(_feat(spark, sf_dir)))
+
+
+@register(
+    "e15_temporal_subgraph",
+    with_(TX, FEAT, GRAPH) + "SELECT src, dst, round(amount, 6) AS amount, step FROM ed WHERE step BETWEEN 336 AND 360",
+)
+def e15_temporal_subgraph(spark, sf_dir):
+    sub, _ends = E.temporal_subgraph(E.edges(_feat(spark, sf_dir)), 360, 24)
+    return sub.select("src", "dst", "amount", "step")
+
+
+SEEDS_SQL = """seeds AS (SELECT account FROM lb WHERE is_fraud = 1 ORDER BY md5(account || '|42'), account LIMIT 5)"""
+
+
+def _sample_sql() -> str:
+    hops = []
+    prev = "(SELECT account AS seed_account, account AS node FROM seeds)"
+    for h, k in enumerate(E.SAMPLE_FANOUTS, start=1):
+        hops.append(
+            f"""h{h} AS (SELECT seed_account, {h} AS hop, node, nbr FROM (
+  SELECT f.seed_account, f.node, ed.src AS nbr, row_number() OVER (PARTITION BY f.seed_account, f.node
+    ORDER BY md5(f.seed_account || '|' || f.node || '|' || ed.src || '|{h}|42'), ed.src) AS r
+  FROM (SELECT DISTINCT seed_account, node FROM {prev}) f JOIN ed ON ed.dst = f.node) WHERE r <= {k})"""
+        )
+        prev = f"(SELECT seed_account, nbr AS node FROM h{h})"
+    body = ",\n".join(hops)
+    union = " UNION ALL ".join(f"SELECT * FROM h{h}" for h in range(1, len(E.SAMPLE_FANOUTS) + 1))
+    return with_(TX, FEAT, GRAPH, SEEDS_SQL, body) + f"SELECT seed_account, CAST(hop AS INTEGER) AS hop, node, nbr FROM ({union})"
+
+
+@register("e16_sample_neighbors", _sample_sql())
+def e16_sample_neighbors(spark, sf_dir):
+    feat, nd, ed = _graph(spark, sf_dir)
+    lb = E.account_labels(feat, nd)
+    seeds = lb.where("is_fraud = 1").orderBy(F.md5(F.concat_ws("|", "account", F.lit("42"))), "account").limit(5)
+    return E.sample_neighbors(ed, seeds)
+
+
+_X_COLS = ["in_degree", "out_degree", "log_w_in", "log_w_out"]
+XN_SQL = (
+    "xn AS (SELECT nd.account, CAST(coalesce(dg.in_degree, 0) AS DOUBLE) AS in_degree, "
+    "CAST(coalesce(dg.out_degree, 0) AS DOUBLE) AS out_degree, ln(1 + coalesce(dg.weighted_in_deg, 0)) AS log_w_in, "
+    "ln(1 + coalesce(dg.weighted_out_deg, 0)) AS log_w_out FROM nd LEFT JOIN dg USING (account))"
+)
+
+
+def _x(spark, sf_dir):
+    """Node vectors for the aggregation operators: degrees and log weighted degrees."""
+    _f, nd, ed = _graph(spark, sf_dir)
+    deg = E.degrees(ed)
+    x = nd.join(deg, "account", "left").select(
+        "account",
+        F.coalesce(F.col("in_degree"), F.lit(0)).cast("double").alias("in_degree"),
+        F.coalesce(F.col("out_degree"), F.lit(0)).cast("double").alias("out_degree"),
+        F.log1p(F.coalesce(F.col("weighted_in_deg"), F.lit(0.0))).alias("log_w_in"),
+        F.log1p(F.coalesce(F.col("weighted_out_deg"), F.lit(0.0))).alias("log_w_out"),
+    )
+    return ed, x
+
+
+def _agg_sql(fn: str) -> str:
+    cols = ", ".join(f"round(coalesce({fn}(x.{c}), 0), 6) AS {c}" for c in _X_COLS)
+    return f"SELECT nd.account, {cols} FROM nd LEFT JOIN ed ON ed.dst = nd.account LEFT JOIN xn x ON x.account = ed.src GROUP BY nd.account"
+
+
+@register("e17_aggregate_neighbors_mean", with_(TX, FEAT, GRAPH, XN_SQL) + _agg_sql("avg"))
+def e17_aggregate_neighbors_mean(spark, sf_dir):
+    ed, x = _x(spark, sf_dir)
+    return EP.aggregate_neighbors(ed, x, _X_COLS, "mean")
+
+
+@register("e17_aggregate_neighbors_max", with_(TX, FEAT, GRAPH, XN_SQL) + _agg_sql("max"))
+def e17_aggregate_neighbors_max(spark, sf_dir):
+    ed, x = _x(spark, sf_dir)
+    return EP.aggregate_neighbors(ed, x, _X_COLS, "max")
+
+
+GCN_SQL = """pl AS (SELECT DISTINCT snd, rcv FROM (SELECT src AS snd, dst AS rcv FROM ed UNION ALL SELECT account, account FROM nd)),
+gd AS (SELECT rcv AS account, CAST(count(*) AS DOUBLE) AS d FROM pl GROUP BY rcv)"""
+
+
+@register(
+    "e18_aggregate_gcn",
+    with_(TX, FEAT, GRAPH, XN_SQL, GCN_SQL)
+    + "SELECT nd.account, " + ", ".join(f"round(coalesce(s.{c}, 0), 6) AS {c}" for c in _X_COLS)
+    + " FROM nd LEFT JOIN (SELECT pl.rcv AS account, "
+    + ", ".join(f"sum(pow(a.d, -0.5) * pow(b.d, -0.5) * x.{c}) AS {c}" for c in _X_COLS)
+    + " FROM pl JOIN gd a ON a.account = pl.snd JOIN gd b ON b.account = pl.rcv JOIN xn x ON x.account = pl.snd GROUP BY pl.rcv) s USING (account)",
+)
+def e18_aggregate_gcn(spark, sf_dir):
+    ed, x = _x(spark, sf_dir)
+    return EP.aggregate_gcn(ed, x, _X_COLS)
+
+
+_A_SRC = [0.01, -0.02, 0.1, 0.2]
+_A_DST = [-0.01, 0.03, 0.2, -0.1]
+
+
+def _gat_sql() -> str:
+    ds = " + ".join(f"CAST({a!r} AS DOUBLE) * xs.{c}" for a, c in zip(_A_SRC, _X_COLS))
+    dd = " + ".join(f"CAST({a!r} AS DOUBLE) * xd.{c}" for a, c in zip(_A_DST, _X_COLS))
+    sel = ", ".join(f"xs.{c}" for c in _X_COLS)
+    return (
+        with_(TX, FEAT, GRAPH, XN_SQL)
+        + f""", pl AS (SELECT DISTINCT snd, rcv FROM (SELECT src AS snd, dst AS rcv FROM ed WHERE src <> dst UNION ALL SELECT account, account FROM nd)),
+k AS (SELECT pl.rcv, {sel}, (CAST(0 AS DOUBLE) + {ds}) + (CAST(0 AS DOUBLE) + {dd}) AS raw
+  FROM pl JOIN xn xs ON xs.account = pl.snd JOIN xn xd ON xd.account = pl.rcv),
+z AS (SELECT *, CASE WHEN raw >= 0 THEN raw ELSE raw * CAST(0.2 AS DOUBLE) END AS zz FROM k),
+m AS (SELECT rcv, max(zz) AS mz FROM z GROUP BY rcv),
+e AS (SELECT z.*, exp(zz - mz) AS ex FROM z JOIN m USING (rcv))
+SELECT nd.account, """
+        + ", ".join(f"round(coalesce(s.{c} / s.den, 0), 6) AS {c}" for c in _X_COLS)
+        + " FROM nd LEFT JOIN (SELECT rcv AS account, sum(ex) AS den, "
+        + ", ".join(f"sum(ex * {c}) AS {c}" for c in _X_COLS)
+        + " FROM e GROUP BY rcv) s USING (account)"
+    )
+
+
+@register("e19_aggregate_attention", _gat_sql())
+def e19_aggregate_attention(spark, sf_dir):
+    ed, x = _x(spark, sf_dir)
+    return EP.aggregate_attention(ed, x, _X_COLS, _A_SRC, _A_DST)
+
+
+@register("e20_node_scores")
+def e20_node_scores(spark, sf_dir):
+    feat = _feat(spark, sf_dir)
+    nd, ed = E.nodes(feat), E.edges(feat)
+    gf = E.graph_features(feat, pagerank_iterations=PR_ITERS, with_betweenness=False)
+    nf = E.node_features(gf, E.account_aggregates(feat)).drop("x")
+    cols = [c for c in nf.columns if c not in ("account", "is_fraud")]
+    return EP.node_scores(ed, nf, cols, "sage", hops=3).select("account", "is_fraud", "fold", "gnn_proba")
+
+
+@register(
+    "e21_join_node_scores",
+    with_(TX, FEAT, GRAPH) + "SELECT tx.tx_id, tx.nameOrig, round(lf.local_fraud_rate, 6) AS gnn_proba FROM tx LEFT JOIN lf ON lf.account = tx.nameOrig",
+)
+def e21_join_node_scores(spark, sf_dir):
+    feat, nd, ed = _graph(spark, sf_dir)
+    scores = E.local_fraud_rate(ed, E.account_labels(feat, nd)).withColumnRenamed("local_fraud_rate", "gnn_proba")
+    return E.join_node_scores(_tx(spark, sf_dir).select("tx_id", "nameOrig"), scores)

@@ -82,3 +82,45 @@ def with_(*ctes: str) -> str:
 
 def r6(expr: str, alias: str) -> str:
     return f"round({expr}, 6) AS {alias}"
+
+
+GRAPH = """
+nd AS (SELECT DISTINCT account FROM (SELECT nameOrig AS account FROM tx UNION ALL SELECT nameDest FROM tx) q WHERE account IS NOT NULL),
+ed AS (SELECT nameOrig AS src, nameDest AS dst, arg_max(amount, (step, tx_id)) AS amount,
+  ln(1 + arg_max(amount, (step, tx_id))) AS amount_log, arg_max(step, (step, tx_id)) AS step,
+  arg_max(type_encoded, (step, tx_id)) AS tx_type, arg_max(isFraud, (step, tx_id)) AS is_fraud
+  FROM feat WHERE nameOrig IS NOT NULL AND nameDest IS NOT NULL GROUP BY nameOrig, nameDest),
+lb AS (SELECT nd.account, CAST(coalesce(s.f, 0) AS INTEGER) AS is_fraud FROM nd
+  LEFT JOIN (SELECT nameOrig AS account, max(isFraud) AS f FROM tx GROUP BY nameOrig) s USING (account)),
+dg AS (SELECT account, coalesce(i.c, 0) AS in_degree, coalesce(o.c, 0) AS out_degree, coalesce(i.c, 0) + coalesce(o.c, 0) AS degree,
+  coalesce(i.w, 0) AS weighted_in_deg, coalesce(o.w, 0) AS weighted_out_deg
+  FROM (SELECT src AS account, count(*) AS c, sum(amount) AS w FROM ed GROUP BY src) o
+  FULL JOIN (SELECT dst AS account, count(*) AS c, sum(amount) AS w FROM ed GROUP BY dst) i USING (account)),
+und AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM ed WHERE src <> dst),
+adj AS (SELECT a AS u, b AS v FROM und UNION ALL SELECT b, a FROM und),
+udeg AS (SELECT u, count(*) AS d FROM adj GROUP BY u),
+tri AS (SELECT x.u, count(*) AS t FROM adj x JOIN adj y ON x.u = y.u AND x.v < y.v JOIN und z ON z.a = x.v AND z.b = y.v GROUP BY x.u),
+cc AS (SELECT udeg.u AS account, CASE WHEN d >= 2 THEN CAST(2 AS DOUBLE) * coalesce(t, 0) / (d * (d - 1)) ELSE CAST(0 AS DOUBLE) END AS clustering_coeff
+  FROM udeg LEFT JOIN tri ON tri.u = udeg.u),
+an AS (SELECT ed.src AS account, avg(CAST(coalesce(dg.out_degree, 0) AS DOUBLE)) AS avg_neighbor_deg FROM ed LEFT JOIN dg ON dg.account = ed.dst GROUP BY ed.src),
+lf AS (SELECT q.account, avg(CAST(coalesce(lb.is_fraud, 0) AS DOUBLE)) AS local_fraud_rate
+  FROM (SELECT src AS account, dst AS nb FROM ed UNION ALL SELECT dst, src FROM ed) q LEFT JOIN lb ON lb.account = q.nb GROUP BY q.account)
+"""
+
+
+def pagerank_sql(iterations: int, alpha: str = "0.85") -> str:
+    a = f"CAST({alpha} AS DOUBLE)"
+    parts = [
+        """wo AS (SELECT src, sum(amount) AS wout FROM ed GROUP BY src HAVING sum(amount) <> 0),
+en AS (SELECT ed.src, ed.dst, ed.amount / wo.wout AS w FROM ed JOIN wo USING (src)),
+nn AS (SELECT CAST(count(*) AS DOUBLE) AS N FROM nd),
+fl AS (SELECT nd.account, wo.src IS NULL AS dangling FROM nd LEFT JOIN wo ON wo.src = nd.account),
+p0 AS MATERIALIZED (SELECT account, dangling, 1 / N AS x FROM fl, nn)"""
+    ]
+    for i in range(1, iterations + 1):
+        parts.append(
+            f"""p{i} AS MATERIALIZED (SELECT fl.account, fl.dangling, {a} * (coalesce(c.s, 0) + d.ds / nn.N) + (CAST(1 AS DOUBLE) - {a}) / nn.N AS x
+  FROM fl LEFT JOIN (SELECT en.dst, sum(p.x * en.w) AS s FROM p{i - 1} p JOIN en ON p.account = en.src GROUP BY en.dst) c ON c.dst = fl.account,
+  (SELECT coalesce(sum(x), 0) AS ds FROM p{i - 1} WHERE dangling) d, nn)"""
+        )
+    return ",\n".join(parts)
