@@ -924,3 +924,150 @@ def e21_join_node_scores(spark, sf_dir):
     feat, nd, ed = _graph(spark, sf_dir)
     scores = E.local_fraud_rate(ed, E.account_labels(feat, nd)).withColumnRenamed("local_fraud_rate", "gnn_proba")
     return E.join_node_scores(_tx(spark, sf_dir).select("tx_id", "nameOrig"), scores)
+
+
+# ------------------------------------------------------------------ D4, D7, D8, F, A sinks
+from txrisk.operators import models as M  # noqa: E402
+from txrisk.operators import resample as R  # noqa: E402
+from txrisk.session import scratch_path  # noqa: E402
+
+MODEL_ROUNDS = 40  # boosting rounds for the registered queries (library default: 500)
+
+
+def _model_frames(spark, sf_dir):
+    """Scaled model matrix per split (scaler fitted on train, as in the reference)."""
+    fm = C.feature_matrix(_split(spark, sf_dir), keep=["tx_id", "isFraud", "split", "nameOrig"])
+    params = D.fit_scaler(fm.where(F.col("split") == "train"))
+    scaled = D.apply_scaler(fm, params, keep=["tx_id", "isFraud", "split", "nameOrig"]).persist()
+    return (scaled.where(F.col("split") == "train"), scaled.where(F.col("split") == "val"),
+            scaled.where(F.col("split") == "test"))
+
+
+@register("d4_smote")
+def d4_smote(spark, sf_dir):
+    train, _v, _t = _model_frames(spark, sf_dir)
+    return R.smote(train.drop("split", "nameOrig"), "isFraud")
+
+
+@register(
+    "d4_smote_counts",
+    with_(TX, FEAT, SPLIT)
+    + """, c AS (SELECT sum(CASE WHEN isFraud = 1 THEN 1 ELSE 0 END) AS mi, sum(CASE WHEN isFraud = 0 THEN 1 ELSE 0 END) AS ma, count(*) AS n
+  FROM sp WHERE split = 'train')
+SELECT false AS synthetic, n FROM c UNION ALL SELECT true, CAST(floor(CAST(0.1 AS DOUBLE) * ma - mi) AS BIGINT) FROM c""",
+)
+def d4_smote_counts(spark, sf_dir):
+    return d4_smote(spark, sf_dir).groupBy("synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "d7_stratified_split",
+    with_(TX, FEAT, GRAPH)
+    + """, c AS (SELECT is_fraud, count(*) AS nc FROM lb GROUP BY is_fraud),
+r AS (SELECT lb.account, lb.is_fraud, row_number() OVER (PARTITION BY lb.is_fraud ORDER BY md5(lb.account || '|42'), lb.account) AS rn FROM lb)
+SELECT r.account, r.is_fraud, CASE WHEN rn <= round(CAST(0.15 AS DOUBLE) * nc) THEN 'val' ELSE 'train' END AS fold FROM r JOIN c USING (is_fraud)""",
+)
+def d7_stratified_split(spark, sf_dir):
+    return D.stratified_split(E.account_labels(_tx(spark, sf_dir)))
+
+
+@register(
+    "d8_cap_transactions",
+    with_(TX)
+    + """, f AS (SELECT count(*) AS nf FROM tx WHERE isFraud = 1),
+nr AS (SELECT tx.*, row_number() OVER (ORDER BY md5(CAST(tx_id AS VARCHAR) || '|42'), tx_id) AS rn FROM tx WHERE isFraud = 0)
+SELECT tx_id, isFraud FROM tx WHERE isFraud = 1
+UNION ALL SELECT tx_id, isFraud FROM nr, f WHERE rn <= 5000 - nf""",
+)
+def d8_cap_transactions(spark, sf_dir):
+    return D.cap_transactions(_tx(spark, sf_dir), cap=5000).select("tx_id", "isFraud")
+
+
+@register("f1_train_gbt_a")
+def f1_train_gbt_a(spark, sf_dir):
+    train, val, test = _model_frames(spark, sf_dir)
+    model = M.train_gbt_a(train, val, rounds=MODEL_ROUNDS)
+    return M.predict_proba(model, test, "p_xgb").select("tx_id", "isFraud", "p_xgb")
+
+
+@register("f2_train_gbt_b")
+def f2_train_gbt_b(spark, sf_dir):
+    train, val, test = _model_frames(spark, sf_dir)
+    model = M.train_gbt_b(train, val, rounds=MODEL_ROUNDS)
+    return M.predict_proba(model, test, "p_lgb").select("tx_id", "isFraud", "p_lgb")
+
+
+@register("f3_early_stopping")
+def f3_early_stopping(spark, sf_dir):
+    train, val, _t = _model_frames(spark, sf_dir)
+    a = M.train_gbt_a(train, val, rounds=MODEL_ROUNDS)
+    b = M.train_gbt_b(train, val, rounds=MODEL_ROUNDS)
+    return spark.createDataFrame([("gbt_a", a.getNumTrees), ("gbt_b", b.getNumTrees)], "model string, trees int")
+
+
+def _stub_probas(spark, sf_dir):
+    tx = _tx(spark, sf_dir)
+    return tx.select(
+        "tx_id", "isFraud",
+        F.col("score_stub").alias("p_xgb"),
+        (F.pmod(F.col("tx_id") * 7, F.lit(100)) / F.lit(100.0)).alias("p_lgb"),
+        F.when(F.pmod(F.col("tx_id"), F.lit(3)) == 0, F.lit(None).cast("double")).otherwise(F.col("step") / F.lit(720.0)).alias("p_gnn"),
+    )
+
+
+@register(
+    "f4_blend",
+    with_(TX)
+    + """, p AS (SELECT tx_id, isFraud, score_stub AS p_xgb, ((tx_id * 7) % 100) / CAST(100 AS DOUBLE) AS p_lgb,
+  CASE WHEN tx_id % 3 = 0 THEN NULL ELSE step / CAST(720 AS DOUBLE) END AS p_gnn FROM tx)
+SELECT tx_id, isFraud, round(p_xgb, 6) AS p_xgb, round(p_lgb, 6) AS p_lgb, round(p_gnn, 6) AS p_gnn,
+  round(CASE WHEN p_gnn IS NULL THEN (CAST(0.35 AS DOUBLE) * p_xgb + CAST(0.35 AS DOUBLE) * p_lgb) / (CAST(0.35 AS DOUBLE) + CAST(0.35 AS DOUBLE))
+    ELSE (CAST(0.35 AS DOUBLE) * p_xgb + CAST(0.35 AS DOUBLE) * p_lgb + CAST(0.3 AS DOUBLE) * p_gnn)
+       / (CAST(0.35 AS DOUBLE) + CAST(0.35 AS DOUBLE) + CAST(0.3 AS DOUBLE)) END, 6) AS ml_proba FROM p""",
+)
+def f4_blend(spark, sf_dir):
+    return M.blend(_stub_probas(spark, sf_dir))
+
+
+@register("f5_fit_stacker")
+def f5_fit_stacker(spark, sf_dir):
+    p = _stub_probas(spark, sf_dir).na.fill(0.0, ["p_gnn"])
+    tx = _tx(spark, sf_dir).select("tx_id", "step")
+    p = p.join(tx, "tx_id")
+    model = M.fit_stacker(p.where(F.col("step") <= 600))
+    return M.apply_stacker(model, p.where(F.col("step") > 672)).select("tx_id", "isFraud", "ml_proba")
+
+
+@register("f8_feature_importance")
+def f8_feature_importance(spark, sf_dir):
+    train, val, _t = _model_frames(spark, sf_dir)
+    return M.feature_importance(spark, M.train_gbt_a(train, val, rounds=MODEL_ROUNDS), name="gbt_a")
+
+
+@register("f9_fit_ensemble")
+def f9_fit_ensemble(spark, sf_dir):
+    train, val, test = _model_frames(spark, sf_dir)
+    ens = M.fit_ensemble(train.drop("split", "nameOrig"), val.drop("split", "nameOrig"), rounds=MODEL_ROUNDS)
+    scored = ens.score(test)
+    return G.evaluate(scored.select(F.col("isFraud").alias("label"), F.col("ml_proba").alias("score")), 0.5, "Test")
+
+
+@register(
+    "a4_write_read_splits",
+    with_(TX, FEAT, SPLIT) + "SELECT tx_id, step, isFraud FROM sp WHERE split = 'test'",
+)
+def a4_write_read_splits(spark, sf_dir):
+    sp = _split(spark, sf_dir).select("tx_id", "step", "isFraud", "split")
+    path = scratch_path(spark, "splits")
+    A.write_table(sp, path, ["split"])
+    return A.read_table(spark, path, "test").select("tx_id", "step", "isFraud")
+
+
+@register("a7_metrics_report")
+def a7_metrics_report(spark, sf_dir):
+    s = _scored(spark, sf_dir).where(F.col("step") > 672)
+    rep = A.metrics_report(G.evaluate(s, 0.5, "Test"))
+    path = scratch_path(spark, "report")
+    A.write_metrics_report(rep, path)
+    back = A.read_metrics_report(spark, path)
+    return back.select("metrics.*")
