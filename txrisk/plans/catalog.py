@@ -1071,3 +1071,46 @@ def a7_metrics_report(spark, sf_dir):
     A.write_metrics_report(rep, path)
     back = A.read_metrics_report(spark, path)
     return back.select("metrics.*")
+
+
+# ------------------------------------------------------------------ I (streaming)
+from txrisk.streaming import stream as S  # noqa: E402
+from txrisk.streaming.runner import run_to_table  # noqa: E402
+
+
+def _stream_src(spark, sf_dir):
+    return _tx(spark, sf_dir).select(*TX_COLUMNS, "score_stub")
+
+
+@register("i1_stream_rule_alerts")
+def i1_stream_rule_alerts(spark, sf_dir):
+    return run_to_table(spark, _stream_src(spark, sf_dir), lambda s: S.stream_rule_alerts(s, "score_stub"))
+
+
+@register("i2_stream_history_features")
+def i2_stream_history_features(spark, sf_dir):
+    return run_to_table(spark, _stream_src(spark, sf_dir), lambda s: S.stream_history_features(s))
+
+
+@register("i4_stream_alert_stats")
+def i4_stream_alert_stats(spark, sf_dir):
+    return run_to_table(
+        spark, _stream_src(spark, sf_dir),
+        lambda s: S.stream_alert_stats(S.stream_rule_alerts(s, "score_stub")), mode="complete",
+    )
+
+
+@register("i5_stream_window_graph")
+def i5_stream_window_graph(spark, sf_dir):
+    return run_to_table(spark, _stream_src(spark, sf_dir), lambda s: S.stream_window_graph(s))
+
+
+@register("i6_stream_score")
+def i6_stream_score(spark, sf_dir):
+    train, val, _test = _model_frames(spark, sf_dir)
+    ens = M.fit_ensemble(train.drop("split", "nameOrig"), val.drop("split", "nameOrig"), rounds=MODEL_ROUNDS,
+                         use_smote=False)
+    fm = C.feature_matrix(_split(spark, sf_dir), keep=["split"])
+    params = D.fit_scaler(fm.where(F.col("split") == "train"))
+    src = _tx(spark, sf_dir).select(*[c for c in TX_COLUMNS if c not in ("isFraud", "isFlaggedFraud")])
+    return run_to_table(spark, src, lambda s: S.stream_score(s, ens, params))
