@@ -1114,3 +1114,32 @@ def i6_stream_score(spark, sf_dir):
     params = D.fit_scaler(fm.where(F.col("split") == "train"))
     src = _tx(spark, sf_dir).select(*[c for c in TX_COLUMNS if c not in ("isFraud", "isFlaggedFraud")])
     return run_to_table(spark, src, lambda s: S.stream_score(s, ens, params))
+
+
+def _h2_sql() -> str:
+    fcols = []
+    for c in FEATURE_COLS:
+        src = {
+            "amount_zscore": "CAST(0 AS DOUBLE)",
+            "type_encoded": "CASE type WHEN 'CASH_IN' THEN 0 WHEN 'CASH_OUT' THEN 1 WHEN 'DEBIT' THEN 2 WHEN 'PAYMENT' THEN 3 WHEN 'TRANSFER' THEN 4 ELSE 0 END",
+        }.get(c, c)
+        fcols.append(f"round(coalesce(CAST(CAST({src} AS FLOAT) AS DOUBLE), 0), 6) AS {c}")
+    return (
+        with_(TX, FEAT)
+        + """, h AS (SELECT a.tx_id, count(b.tx_id) AS n, sum(b.amount) AS s, count(DISTINCT b.nameDest) AS d
+  FROM tx a LEFT JOIN tx b ON a.nameOrig = b.nameOrig AND ((b.step >= a.step - 24 AND b.step < a.step) OR (b.step = a.step AND b.tx_id < a.tx_id))
+  GROUP BY a.tx_id),
+lv AS (SELECT f.tx_id, f.type, f.amount, f.amount_log, f.is_round_amount, f.oldbalanceOrg, f.newbalanceOrig, f.oldbalanceDest,
+  f.newbalanceDest, f.balance_diff_orig, f.balance_diff_dest, f.balance_ratio_orig, f.balance_ratio_dest, f.orig_balance_error,
+  f.dest_balance_error, f.has_orig_error, f.has_dest_error, f.orig_zero_before, f.orig_zero_after, f.dest_zero_before,
+  f.hour_of_day, f.day_of_week, f.step_mod_24, h.n + 1 AS orig_tx_count, coalesce(h.s, 0) + f.amount AS orig_total_sent,
+  CASE WHEN h.n > 0 THEN h.d ELSE 1 END AS orig_unique_dests FROM feat f JOIN h USING (tx_id))
+SELECT tx_id, """
+        + ", ".join(fcols)
+        + " FROM lv"
+    )
+
+
+@register("h2_live_features", _h2_sql())
+def h2_live_features(spark, sf_dir):
+    return H.live_features(_tx(spark, sf_dir))
