@@ -11,7 +11,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from txrisk.functions.distributed import running_totals
 
@@ -268,5 +267,3 @@ def pr_baseline(df: DataFrame, label: str = "label") -> DataFrame:
     """Label prevalence (the PR baseline)."""
     return df.agg(F.avg(F.col(label).cast("double")).alias("pr_baseline"))
 
-
-_ = T  # typing re-export guard

@@ -10,8 +10,6 @@ from __future__ import annotations
 
 from txrisk.sources.fixtures import duckdb_fx1
 
-D = "CAST({} AS DOUBLE)"
-
 TX = f"tx AS ({duckdb_fx1()})"
 
 FEAT = """
@@ -80,10 +78,6 @@ def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
 
 
-def r6(expr: str, alias: str) -> str:
-    return f"round({expr}, 6) AS {alias}"
-
-
 GRAPH = """
 nd AS (SELECT DISTINCT account FROM (SELECT nameOrig AS account FROM tx UNION ALL SELECT nameDest FROM tx) q WHERE account IS NOT NULL),
 ed AS (SELECT nameOrig AS src, nameDest AS dst, arg_max(amount, (step, tx_id)) AS amount,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -150,5 +148,3 @@ def requests_from_json(spark: SparkSession, lines: DataFrame, column: str = "val
     parsed = lines.select(F.from_json(F.col(column), body).alias("b"))
     return parsed.select(F.explode("b.transactions").alias("t")).select("t.*")
 
-
-_ = json
