@@ -98,9 +98,10 @@ def test_repeated_pair_last_wins(spark):
 
 def test_history_first_and_second_row(spark):
     df = _tx(spark, [dict(step=1, amount=5.0, nameDest="x"), dict(step=1, amount=3.0, nameDest="y")])
-    got = {r["tx_id"]: r for r in H.history_features(df).collect()}
-    assert (got[0]["orig_tx_count"], got[0]["orig_total_sent"], got[0]["orig_unique_dests"]) == (1, 5.0, 1)
-    assert (got[1]["orig_tx_count"], got[1]["orig_total_sent"], got[1]["orig_unique_dests"]) == (2, 8.0, 1)
+    for method in ("intervals", "buckets"):
+        got = {r["tx_id"]: r for r in H.history_features(df, method=method).collect()}
+        assert (got[0]["orig_tx_count"], got[0]["orig_total_sent"], got[0]["orig_unique_dests"]) == (1, 5.0, 1)
+        assert (got[1]["orig_tx_count"], got[1]["orig_total_sent"], got[1]["orig_unique_dests"]) == (2, 8.0, 1)
 
 
 def test_history_bucket_halo_matches_brute_force(spark):
@@ -108,7 +109,7 @@ def test_history_bucket_halo_matches_brute_force(spark):
     rows = [dict(step=rnd.randint(1, 200), nameOrig=f"o{rnd.randint(0, 3)}", nameDest=f"d{rnd.randint(0, 5)}",
                  amount=float(rnd.randint(1, 9))) for _ in range(300)]
     df = _tx(spark, rows)
-    got = {r["tx_id"]: (r[1], r[2], r[3]) for r in H.history_features(df, 24, bucket_steps=30).collect()}
+    got = {r["tx_id"]: (r[1], r[2], r[3]) for r in H.history_features(df, 24, method="buckets", bucket_steps=30).collect()}
     for i, r in enumerate(rows):
         hist = [(j, q) for j, q in enumerate(rows) if q["nameOrig"] == r["nameOrig"] and (
             (r["step"] - 24 <= q["step"] < r["step"]) or (q["step"] == r["step"] and j < i))]
@@ -294,3 +295,18 @@ def test_results_stable_under_partitioning(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert a == b
+
+
+def test_history_by_intervals_matches_brute_force(spark):
+    rnd = random.Random(11)
+    rows = [dict(step=rnd.randint(1, 120), nameOrig=f"o{rnd.randint(0, 2)}", nameDest=f"d{rnd.randint(0, 6)}",
+                 amount=float(rnd.randint(1, 9))) for _ in range(400)]
+    df = _tx(spark, rows)
+    got = {r["tx_id"]: (r[1], r[2], r[3]) for r in H.history_features_by_intervals(df, 24).collect()}
+    assert len(got) == len(rows)
+    for i, r in enumerate(rows):
+        hist = [(j, q) for j, q in enumerate(rows) if q["nameOrig"] == r["nameOrig"] and (
+            (r["step"] - 24 <= q["step"] < r["step"]) or (q["step"] == r["step"] and j < i))]
+        n = len(hist)
+        exp = (n + 1, sum(q["amount"] for _, q in hist) + r["amount"], len({q["nameDest"] for _, q in hist}) if n else 1)
+        assert got[i] == exp, (i, got[i], exp)

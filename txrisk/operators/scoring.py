@@ -1,11 +1,11 @@
 """H: batch scoring: live history features, rules, blend, risk, reasons, stats.
 
-History features (H1) are two window frames per origin: the previous
-``window`` steps (RANGE frame on step) and the earlier arrivals of the same
-step (ROWS frame on tx_id). To keep a hub origin from landing in one task,
-rows are windowed per (origin, time bucket): each bucket also receives the
-last ``window`` steps of the previous bucket as read-only context (a halo),
-so every frame is complete and the result is exact.
+History features (H1) come in two exact forms. The default works on
+(origin, step) totals and (origin, destination, step) occurrences, so no
+window holds more than one origin's distinct steps or one step of its rows.
+The alternative windows the rows per (origin, time bucket) with a halo of
+the previous ``window`` steps: the previous steps as a RANGE frame and the
+earlier arrivals of the same step as a ROWS frame.
 """
 
 from __future__ import annotations
@@ -24,12 +24,25 @@ ACCOUNT_DISPLAY_CHARS = 12
 HIGH_LEVELS = ("HIGH", "CRITICAL")
 
 
-def history_features(tx: DataFrame, window: int = HISTORY_WINDOW, bucket_steps: int | None = None) -> DataFrame:
+def history_features(
+    tx: DataFrame, window: int = HISTORY_WINDOW, method: str = "intervals", bucket_steps: int | None = None
+) -> DataFrame:
     """H1: per row, over earlier-arrived rows of the same origin within the
     last ``window`` steps: count + 1, amount sum + own amount, and distinct
     destinations of the history only (1 when the history is empty).
 
-    Returns tx_id, orig_tx_count, orig_total_sent, orig_unique_dests."""
+    Returns tx_id, orig_tx_count, orig_total_sent, orig_unique_dests.
+    ``intervals`` (default) is linear and skew-safe; ``buckets`` uses two
+    window frames per (origin, time bucket) with per-row sets (fewer shuffles,
+    fine when no origin is dense)."""
+    if method == "intervals":
+        return history_features_by_intervals(tx, window)
+    if method != "buckets":
+        raise ValueError(f"unknown history method: {method}")
+    return _history_by_buckets(tx, window, bucket_steps)
+
+
+def _history_by_buckets(tx: DataFrame, window: int, bucket_steps: int | None) -> DataFrame:
     B = bucket_steps or 4 * window
     cols = ["tx_id", "step", "nameOrig", "nameDest", "amount"]
     base = tx.select(*cols)
@@ -135,3 +148,67 @@ def alert_counts(alerts: DataFrame, threshold: float = ALERT_THRESHOLD) -> DataF
         F.sum(F.when(flagged, 1).otherwise(0)).cast("long").alias("flagged"),
         F.sum(F.when(flagged & F.col("risk_level").isin(*HIGH_LEVELS), 1).otherwise(0)).cast("long").alias("high"),
     )
+
+
+def history_features_by_intervals(tx: DataFrame, window: int = HISTORY_WINDOW) -> DataFrame:
+    """H1, skew-safe form (same result as ``history_features``).
+
+    No window holds more than one origin's *distinct steps* (or one origin's
+    rows of a single step), and no per-row set is built:
+
+    * previous-step count / sum: per (origin, step) totals, then a RANGE
+      frame over that origin's steps;
+    * previous-step distinct destinations: each distinct (origin, dest, step)
+      occurrence u covers the later steps s with u < s <= min(u + window,
+      next occurrence step); the coverage intervals become +1/-1 events summed
+      per (origin, step) and accumulated over the origin's steps;
+    * same-step part: running counts over (tx_id) inside (origin, step), the
+      distinct part counting only destinations not already seen in the
+      previous ``window`` steps, at their first arrival in the step."""
+    base = tx.select("tx_id", "step", "nameOrig", "nameDest", "amount")
+    o, d, s = F.col("nameOrig"), F.col("nameDest"), F.col("step")
+    per_step = base.groupBy("nameOrig", "step").agg(
+        F.count("tx_id").alias("_n"), F.sum("amount").alias("_s")
+    )
+    w_prev = Window.partitionBy("nameOrig").orderBy("step").rangeBetween(-window, -1)
+    prev = per_step.select(
+        "nameOrig", "step",
+        F.coalesce(F.sum("_n").over(w_prev), F.lit(0)).alias("_np"),
+        F.sum("_s").over(w_prev).alias("_sp"),
+    )
+    trip = base.where(d.isNotNull()).groupBy("nameOrig", "nameDest", "step").agg(F.min("tx_id").alias("_first"))
+    w_pair = Window.partitionBy("nameOrig", "nameDest").orderBy("step")
+    trip = trip.select(
+        "nameOrig", "nameDest", "step", "_first",
+        F.lead("step").over(w_pair).alias("_next"), F.lag("step").over(w_pair).alias("_prev"),
+    )
+    end = F.least(s + window, F.coalesce(F.col("_next"), s + window))
+    events = trip.select(o, (s + 1).alias("step"), F.lit(1).alias("_e")).unionAll(
+        trip.select(o, (end + 1).alias("step"), F.lit(-1).alias("_e"))
+    ).unionAll(per_step.select(o, s, F.lit(0).alias("_e")))
+    w_cum = Window.partitionBy("nameOrig").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    covered = (
+        events.groupBy("nameOrig", "step").agg(F.sum("_e").alias("_e"))
+        .select("nameOrig", "step", F.sum("_e").over(w_cum).alias("_dp"))
+    )
+    is_new = (F.col("_prev").isNull() | (F.col("_prev") < s - window)).cast("long")
+    firsts = trip.select(o, s, F.col("_first").alias("_t"), F.lit(1).alias("_kind"), is_new.alias("_inc"),
+                         F.lit(0).alias("_row"), F.lit(0.0).alias("_amt"), F.lit(None).cast("long").alias("tx_id"),
+                         F.lit(None).cast("double").alias("amount"))
+    rows = base.select(o, s, F.col("tx_id").alias("_t"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_inc"),
+                       F.lit(1).alias("_row"), F.col("amount").alias("_amt"), "tx_id", "amount")
+    w_same = Window.partitionBy("nameOrig", "step").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, -1)
+    same = firsts.unionByName(rows).select(
+        "nameOrig", "step", "tx_id", "amount", "_kind",
+        F.coalesce(F.sum("_inc").over(w_same), F.lit(0)).alias("_ds"),
+        F.coalesce(F.sum("_row").over(w_same), F.lit(0)).alias("_ns"),
+        F.sum(F.when(F.col("_row") == 1, F.col("_amt"))).over(w_same).alias("_ss"),
+    ).where(F.col("_kind") == 0)
+    j = same.join(prev, ["nameOrig", "step"], "left").join(covered, ["nameOrig", "step"], "left")
+    n_hist = F.coalesce(F.col("_np"), F.lit(0)) + F.col("_ns")
+    return j.select(
+        "tx_id",
+        (n_hist + 1).cast("long").alias("orig_tx_count"),
+        (F.coalesce(F.col("_sp"), F.lit(0.0)) + F.coalesce(F.col("_ss"), F.lit(0.0)) + F.col("amount")).alias("orig_total_sent"),
+        F.when(n_hist > 0, F.coalesce(F.col("_dp"), F.lit(0)) + F.col("_ds")).otherwise(F.lit(1)).cast("long").alias("orig_unique_dests"),
+    )
