@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from txrisk.session import scratch_path
 
 #: Words are maximal runs of anything but space and tab..carriage return.
-WHITE = "\t\n\x0b\x0c\r"
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,10 +34,4 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words(text: Column) -> Column:
     """Array of the words of a text; none for null."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), WHITE, " " * len(WHITE))
-    return F.filter(F.split(spaced, " "), lambda w: w != "")
-
-
-def count_chars(text: Column, chars: str) -> Column:
-    """How many characters of ``text`` belong to ``chars``."""
-    return F.char_length(text) - F.char_length(F.translate(text, chars, ""))
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))

@@ -16,51 +16,77 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.llm._common import count_chars, let, materialise, words
+from txrisk.llm._common import WORD, let, materialise, words
 
-SYMBOLS = "#*$%&|<>"
-#: Marks that shouted or spliced text repeats; counted beside SYMBOLS.
+SYMBOLS = "[#*$%&|<>]"
+#: Marks that shouted text repeats; counted beside SYMBOLS.
 SHOUTS = "!"
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+CAPITALS = "[A-Z]"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Ratios the rules are learned on; each is comparable between short and long texts.
 FEATURES = [
     "symbols_per_word", "shouts_per_word", "repeat_share", "dup_lines_per_word", "mean_word_length",
-    "distinct_share", "capitals_share",
+    "capitals_share",
 ]
 
 
 def _repeat_words(ws: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more in the text: sort
-    the windows, keep those equal to a neighbour, count the covered places."""
-    last = F.greatest(F.size(ws) - 2, F.lit(0))
-    grams = F.transform(
-        F.slice(ws, 1, last),
-        lambda w, i: F.struct(F.concat_ws(" ", w, F.get(ws, i + 1), F.get(ws, i + 2)).alias("g"), i.alias("i")),
-    )
+    """Words inside 3-word windows that occur twice or more in the text.
+
+    A window becomes one long: hash bits above, its place below. Sorted longs
+    put equal windows side by side; a neighbour with the same hash bits is
+    compared word by word, and the covered places are counted."""
+    count = F.greatest(F.size(ws) - 2, F.lit(0))
+    hashes = F.transform(F.slice(ws, 1, count), lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2)))
+
+    def same(i: Column, j: Column) -> Column:
+        return (
+            (F.get(ws, i) == F.get(ws, j))
+            & (F.get(ws, i + 1) == F.get(ws, j + 1))
+            & (F.get(ws, i + 2) == F.get(ws, j + 2))
+        )
 
-    def covered(sorted_grams: Column) -> Column:
-        twice = F.filter(
-            sorted_grams,
-            lambda x, i: (F.get(sorted_grams, i - 1)["g"].eqNullSafe(x["g"]))
-            | (F.get(sorted_grams, i + 1)["g"].eqNullSafe(x["g"])),
+    def covered(hs: Column) -> Column:
+        bits = F.length(F.bin(F.size(hs)))
+        place_mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
+        packed = let(
+            bits,
+            lambda b: F.transform(hs, lambda h, i: F.call_function("shiftleft", h, b).bitwiseOR(i.cast("long"))),
         )
-        places = F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
-        return F.size(F.array_distinct(places))
 
-    return let(F.sort_array(grams), covered)
+        def find(ordered: Column) -> Column:
+            def beside(x: Column, y: Column, mask: Column) -> Column:
+                alike = x.bitwiseXOR(y) <= mask
+                place = lambda v: v.bitwiseAND(mask).cast("int")
+                return F.coalesce(alike & (x.bitwiseXOR(y) >= 0) & same(place(x), place(y)), F.lit(False))
+
+            return let(
+                place_mask,
+                lambda mask: F.transform(
+                    F.filter(
+                        ordered,
+                        lambda x, i: beside(x, F.get(ordered, i + 1), mask) | beside(x, F.get(ordered, i - 1), mask),
+                    ),
+                    lambda x: x.bitwiseAND(mask),
+                ),
+            )
+
+        places = let(F.sort_array(packed), find)
+        return F.size(F.array_distinct(F.flatten(F.transform(places, lambda p: F.array(p, p + 1, p + 2)))))
+
+    return let(hashes, lambda hs: F.when(F.size(F.array_distinct(hs)) == F.size(hs), 0).otherwise(covered(hs)))
 
 
 def base_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` plus the columns BASE (long), distinct_words, shouts, capitals
-    (long) and text_chars (long). Null text counts as empty: all zero."""
+    """``docs`` plus the columns BASE, shouts and capitals (long). Null text
+    counts as empty: all zero."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda line: F.translate(line, " \t\x0b\x0c\r", "") != "")
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD))
 
     def of_words(ws: Column) -> Column:
         return F.struct(
             F.size(ws).cast("long").alias("n_words"),
-            F.size(F.array_distinct(ws)).cast("long").alias("distinct_words"),
+            F.char_length(F.array_join(ws, "")).cast("long").alias("word_chars"),
             _repeat_words(ws).cast("long").alias("n_repeat_words"),
         )
 
@@ -70,13 +96,12 @@ def base_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return stats.select(
         *[F.col(f"`{c}`") for c in docs.columns],
         F.col("__w.n_words").alias("n_words"),
-        F.char_length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        count_chars(text, SYMBOLS).cast("long").alias("n_symbols"),
+        F.col("__w.word_chars").alias("word_chars"),
+        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         F.col("__dup").alias("n_dup_lines"),
         F.col("__w.n_repeat_words").alias("n_repeat_words"),
-        F.col("__w.distinct_words").alias("distinct_words"),
-        count_chars(text, SHOUTS).cast("long").alias("shouts"),
-        count_chars(text, CAPITALS).cast("long").alias("capitals"),
+        F.regexp_count(text, F.lit(SHOUTS)).cast("long").alias("shouts"),
+        F.regexp_count(text, F.lit(CAPITALS)).cast("long").alias("capitals"),
     )
 
 
@@ -90,7 +115,6 @@ def features(stats: DataFrame) -> DataFrame:
             "repeat_share": F.col("n_repeat_words") / per,
             "dup_lines_per_word": F.col("n_dup_lines") / per,
             "mean_word_length": F.col("word_chars") / per,
-            "distinct_share": F.col("distinct_words") / per,
             "capitals_share": F.col("capitals") / F.greatest(F.col("word_chars"), F.lit(1)).cast("double"),
         }
     )
@@ -291,7 +315,7 @@ def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
     """``docs`` plus BASE, FEATURES, base_failed, rule (the first rule that
     fits, else null) and kept. A column of ``docs`` of one of these names is
     replaced. Null and empty texts fail the base test."""
-    made = {*BASE, *FEATURES, "distinct_words", "shouts", "capitals", "base_failed", "rule", "kept"}
+    made = {*BASE, *FEATURES, "shouts", "capitals", "base_failed", "rule", "kept"}
     clean = docs.drop(*[c for c in docs.columns if c in made])
     scored = features(base_statistics(clean)).withColumn("base_failed", base_failed())
     scored = scored.withColumn("rule", rules.rule_number())

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm import chat_format, mixing, packing, quality_rules, secret_scan, simhash_dedup, url_filter
+from txrisk.llm import (
+    chat_format, mixing, packing, quality_rules, relative_lz, run_length_index, secret_scan, simhash_dedup, url_filter,
+    vp_search,
+)
 from txrisk.llm._common import table
 
 #: Where executors find the public vocabularies (a parameter of the queries).
@@ -34,6 +37,15 @@ def op1_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# -- op2 ---------------------------------------------------------------------
+
+
+def op2_vp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vp_search.usable(table(spark, sf_dir, "embeddings"))
+    found = vp_search.nearest(rows, rows.where("vec_id % 20 = 0"), k=20)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
 # -- op3 ---------------------------------------------------------------------
 
 
@@ -84,6 +96,24 @@ FROM e GROUP BY conv_id
 """
 
 
+# -- op5 ---------------------------------------------------------------------
+
+
+def op5_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = run_length_index.drop_repeated_bytes(table(spark, sf_dir, "documents"), 100)
+    return cut.select(
+        "doc_id",
+        F.col("n_symbols").alias("n_bytes"),
+        _removed("spans").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        "kept_sha256",
+    )
+
+
+def _removed(spans: str) -> Column:
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+
+
 # -- op6 ---------------------------------------------------------------------
 
 URL_RULES = (
@@ -123,6 +153,14 @@ SELECT page_id, host, path, rule,
 """
 
 
+# -- op7 ---------------------------------------------------------------------
+
+
+def op7_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = relative_lz.drop_repeated_words(table(spark, sf_dir, "documents"), 20)
+    return cut.select("doc_id", F.col("n_symbols").alias("n_words"), _removed("spans").alias("n_removed"), "kept_sha256")
+
+
 # -- op8 ---------------------------------------------------------------------
 
 
@@ -226,9 +264,12 @@ def _op10_sql() -> str:
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_pack_best_fit": (op1_pack_best_fit, None),
+    "op2_vp_search": (op2_vp_search, None),
     "op3_quality_rules": (op3_quality_rules, None),
     "op4_chat_format": (op4_chat_format, OP4_SQL),
+    "op5_run_length_dedup": (op5_run_length_dedup, None),
     "op6_url_filter": (op6_url_filter, _op6_sql()),
+    "op7_relative_lz": (op7_relative_lz, None),
     "op8_simhash_dedup": (op8_simhash_dedup, None),
     "op9_secret_scan": (op9_secret_scan, None),
     "op10_mix_sources": (op10_mix_sources, _op10_sql()),
