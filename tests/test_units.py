@@ -192,7 +192,7 @@ def test_pagerank_matches_power_iteration(spark):
 
 def test_betweenness_matches_brandes(spark):
     e, nd, nodes = _graph_df(spark)
-    got = {r[0]: r[1] for r in EC.betweenness(e, nd, k=100).collect()}
+    got = {r[0]: r[1] for r in EC.betweenness(e, nd).collect()}
     exp = _py_brandes(nodes, [(u, v, int(w * 100)) for u, v, w in GRAPH])
     for u in nodes:
         assert got[u] == pytest.approx(exp[u], abs=1e-12)

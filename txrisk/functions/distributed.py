@@ -3,10 +3,8 @@
 * ``checked_broadcast``: broadcast a side only after its size is known to be
   under a bound; above the bound the plain (shuffle) join is kept.
 * ``running_totals``: exact global running sums over a total order without a
-  single-partition window: range-partition on the order, running sums inside
-  each partition (Arrow batches), per-partition totals (one row per
-  partition, so bounded by the partition count) turned into offsets and
-  broadcast back.
+  single-partition window: rows are dealt into ranges of values, summed by a
+  window inside a range, and offset by the totals of the ranges before.
 * ``checkpointed``: reliable checkpoint into the session's shared folder.
 """
 
@@ -14,10 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from txrisk.session import ensure_checkpoint_dir
 
@@ -55,6 +51,45 @@ def _sort_exprs(order: Sequence[tuple[str, bool]]) -> list[Column]:
     return [F.col(c).asc() if asc else F.col(c).desc() for c, asc in order]
 
 
+def _at_or_after(order: Sequence[tuple[str, bool]], bound: Sequence) -> Column:
+    """Whether a row sorts at or after ``bound`` (Spark's null order: first
+    when ascending, last when descending)."""
+    test = F.lit(True)
+    for (name, asc), value in reversed(list(zip(order, bound))):
+        c = F.col(name)
+        if value is None:
+            beyond = c.isNotNull() if asc else F.lit(False)
+        else:
+            beyond = F.coalesce(c > F.lit(value), F.lit(False)) if asc else c.isNull() | (c < F.lit(value))
+        test = beyond | (c.eqNullSafe(F.lit(value)) & test)
+    return test
+
+
+def range_bucket(df: DataFrame, order: Sequence[tuple[str, bool]], buckets: int) -> Column:
+    """Number of the value range that a row falls into, as an expression.
+
+    Range bounds are taken once, as values, from a sample of about 50 rows a
+    bucket, and searched by a balanced CASE tree. A wrong guess of the sample
+    makes ranges uneven, never wrong: the bucket depends on the row's values
+    alone, so every evaluation of the plan gives the same one."""
+    names = [c for c, _ in order]
+    n = df.count()
+    wanted = 50 * buckets
+    sample = df.select(*names) if n <= wanted else df.select(*names).sample(min(1.0, 1.2 * wanted / n), seed=11)
+    rows = [tuple(r) for r in sample.distinct().orderBy(*_sort_exprs(order)).limit(2 * wanted).collect()]
+    step = len(rows) / buckets
+    bounds = sorted({int(i * step) for i in range(1, buckets)} - {0}) if len(rows) > 1 else []
+    bounds = [rows[i] for i in bounds]
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(_at_or_after(order, bounds[mid]), search(mid + 1, high)).otherwise(search(low, mid))
+
+    return search(0, len(bounds))
+
+
 def running_totals(
     df: DataFrame,
     order: Sequence[tuple[str, bool]],
@@ -67,57 +102,30 @@ def running_totals(
 
     ``order`` is a list of (column, ascending) that must be a unique key
     within each group (ties are broken by it, never by arrival). With
-    ``group_cols`` the sums restart per group. No step puts more than one
-    range partition of rows into a task.
+    ``group_cols`` the sums restart per group. Rows are dealt into ranges of
+    the order (``range_bucket``); a window sums inside a range and the totals
+    of the ranges before it are added. No step puts more than one range of rows
+    into a task.
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    gcols = list(group_cols)
-    sort = [F.col(g).asc() for g in gcols] + _sort_exprs(order)
-    ranged = (
-        df.repartitionByRange(n, *sort)
-        .sortWithinPartitions(*sort)
-        .withColumn("_pid", F.spark_partition_id())
-    )
-    out_fields = list(ranged.schema.fields) + [
-        T.StructField(f"_loc_{c}", T.DoubleType()) for c in sum_cols
-    ]
-    out_schema = T.StructType(out_fields)
-    sums = list(sum_cols)
-
-    def local_cumsum(batches):
-        carry: dict = {}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            if gcols:
-                keys = pd.Series(list(zip(*[pdf[g] for g in gcols])), index=pdf.index)
-            for c in sums:
-                vals = pdf[c].astype("float64").fillna(0.0)
-                if gcols:
-                    res = vals.groupby(keys, sort=False).cumsum() + keys.map(
-                        lambda k, c=c: carry.get((c, k), 0.0)
-                    ).astype("float64")
-                    for k, v in res.groupby(keys, sort=False).last().items():
-                        carry[(c, k)] = float(v)
-                else:
-                    res = vals.cumsum() + carry.get(c, 0.0)
-                    carry[c] = float(res.iloc[-1])
-                pdf[f"_loc_{c}"] = res
-            yield pdf
-
-    local = ranged.mapInPandas(local_cumsum, out_schema)
-    totals = local.groupBy("_pid", *gcols).agg(*[F.sum(c).alias(f"_tot_{c}") for c in sums])
-    w = Window.partitionBy(*gcols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per (partition, group): bounded by the partition count times
-    # the number of groups the caller asks for (labels, classes).
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*group_cols, "_range"]
+    full = [*[(g, True) for g in group_cols], *order]
+    ranged = df.withColumn("_range", range_bucket(df, full, n))
+    value = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in sum_cols}
+    totals = ranged.groupBy(*keys).agg(*[F.sum(value[c]).alias(f"_tot_{c}") for c in sum_cols])
+    before = Window.partitionBy(*group_cols).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per (range, group): bounded by the number of ranges times that
+    # of the groups the caller asks for (labels, classes)
     offsets = totals.select(
-        "_pid", *gcols, *[F.coalesce(F.sum(f"_tot_{c}").over(w), F.lit(0.0)).alias(f"_off_{c}") for c in sums]
+        *[F.col(k).alias(f"_o_{k}") for k in keys],
+        *[F.coalesce(F.sum(f"_tot_{c}").over(before), F.lit(0.0)).alias(f"_off_{c}") for c in sum_cols],
     )
-    joined = local.join(F.broadcast(offsets), ["_pid", *gcols], "left")
-    return joined.select(
-        *df.columns,
-        *[(F.col(f"_loc_{c}") + F.col(f"_off_{c}")).alias(f"{prefix}{c}") for c in sums],
+    within = Window.partitionBy(*keys).orderBy(*_sort_exprs(order)).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumns({f"_loc_{c}": F.sum(value[c]).over(within) for c in sum_cols})
+    match = [local[k].eqNullSafe(offsets[f"_o_{k}"]) for k in keys]
+    return local.join(offsets, match).select(
+        *[local[c] for c in df.columns],
+        *[(F.col(f"_loc_{c}") + F.col(f"_off_{c}")).alias(f"{prefix}{c}") for c in sum_cols],
     )
 
 
@@ -149,28 +157,17 @@ def group_quantiles(
         vals.withColumn("_one", F.lit(1.0)), [(value_col, True), (tie_col, True)], ["_one"], gcols
     ).withColumn("_rank", F.col("cum__one").cast("long") - 1)
     with_n = ranked.join(checked_broadcast(counts), gcols, "inner")
+    position = {name: (F.col("_n") - 1) * F.lit(float(p)) for p, name in zip(probs, names)}
     picks = []
-    for p, name in zip(probs, names):
-        pos = (F.col("_n") - 1) * F.lit(float(p))
-        lo = F.floor(pos).cast("long")
-        hi = F.ceil(pos).cast("long")
-        picks.append(
-            with_n.where((F.col("_rank") == lo) | (F.col("_rank") == hi)).select(
-                *gcols,
-                F.lit(name).alias("_q"),
-                F.when(F.col("_rank") == lo, F.col(value_col)).alias("_lo"),
-                F.when(F.col("_rank") == hi, F.col(value_col)).alias("_hi"),
-                (pos - F.floor(pos)).alias("_frac"),
-            )
-        )
-    allp = picks[0]
-    for p in picks[1:]:
-        allp = allp.unionByName(p)
-    per = allp.groupBy(*gcols, "_q").agg(
-        F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.max("_frac").alias("_frac")
-    )
-    per = per.select(
-        *gcols, "_q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")).alias("_v")
+    for name, pos in position.items():
+        for side, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            picks.append(F.max(F.when(F.col("_rank") == at.cast("long"), F.col(value_col))).alias(f"_{side}_{name}"))
+    per = with_n.groupBy(*gcols, "_n").agg(*picks)
+    out = per.select(
+        *gcols,
+        *[
+            (F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (pos - F.floor(pos))).alias(name)
+            for name, pos in position.items()
+        ],
     )
-    out = per.groupBy(*gcols).pivot("_q", names).agg(F.first("_v"))
     return out.drop("_g") if synthetic else out

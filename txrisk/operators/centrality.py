@@ -32,12 +32,16 @@ def pagerank(
     max_iter: int = PR_MAX_ITER,
     tol: float = PR_TOL,
     checkpoint_every: int = CHECKPOINT_EVERY,
+    scale_tol: bool = False,
 ) -> DataFrame:
     """Weighted PageRank (weight = amount), uniform teleport; the mass of
     dangling nodes (zero total out-weight) is spread uniformly.
 
     ``iterations`` given: exactly that many power steps. Otherwise iterate
-    until the L1 change is below n * tol; fail after ``max_iter`` steps."""
+    until the L1 change is below ``tol`` (``scale_tol``: below n * tol, the
+    looser form whose meaning depends on the number of nodes); fail after
+    ``max_iter`` steps. The state is checkpointed every ``checkpoint_every``
+    rounds, and the checkpoint before is dropped."""
     n = node_df.count()
     if n == 0:
         return node_df.select("account", F.lit(0.0).alias("pagerank"))
@@ -90,7 +94,7 @@ def pagerank(
                 .agg(F.sum(F.abs(F.col("x") - F.col("_old"))))
                 .first()[0]
             )
-            if err < n * tol:
+            if err < (n * tol if scale_tol else tol):
                 x = nxt
                 converged = True
                 break
@@ -112,15 +116,16 @@ def pick_pivots(node_df: DataFrame, k: int, seed: int = 42) -> DataFrame:
 def betweenness(
     e: DataFrame,
     node_df: DataFrame,
-    k: int = 500,
+    k: int | None = None,
     seed: int = 42,
     chunk: int = 500,
     normalized: bool = True,
     checkpoint_every: int = CHECKPOINT_EVERY,
 ) -> DataFrame:
-    """Brandes betweenness from ``min(k, n)`` pivots, directed, shortest paths
-    weighted by amount (as integer cents; zero amounts count as one cent),
-    normalised by 1 / ((n-1)(n-2)) and scaled by n / k. Exact when k >= n.
+    """Brandes betweenness from ``k`` pivots (None: from every node, exact),
+    directed, shortest paths weighted by amount (as integer cents; zero amounts
+    count as one cent), normalised by 1 / ((n-1)(n-2)) and scaled by n / k.
+    More pivots than nodes are an error.
 
     Per chunk of pivots the state is (pivot, node, ...) rows:
     1. distances: frontier Bellman-Ford relaxation by joins until no change;
@@ -129,8 +134,10 @@ def betweenness(
     then delta is summed per node over pivots."""
     spark = e.sparkSession
     n = node_df.count()
-    kk = min(k, n)
-    if n <= 2 or kk == 0:
+    if k is not None and not 0 < k <= n:
+        raise ValueError(f"{k} pivots asked for, {n} nodes")
+    kk = n if k is None else k
+    if n <= 2:
         return node_df.select("account", F.lit(0.0).alias("betweenness"))
     parts = _nparts(e)
     w = e.select(

@@ -160,13 +160,14 @@ def graph_features(
     tx: DataFrame,
     pagerank_iterations: int | None = None,
     with_betweenness: bool = True,
-    betweenness_k: int = 500,
+    betweenness_k: int | None = None,
     seed: int = 42,
 ) -> DataFrame:
     """One row per node with the 10 structural features and the label.
 
     ``pagerank_iterations``: fixed number of power iterations (None: iterate
-    to the convergence test). ``with_betweenness=False`` leaves 0 there."""
+    to the convergence test). ``betweenness_k``: pivots (None: all nodes).
+    ``with_betweenness=False`` leaves 0 there."""
     from txrisk.operators.centrality import betweenness, pagerank
 
     node_df = nodes(tx)

@@ -12,7 +12,6 @@ from txrisk.sources.schema import FEATURE_COLS, TRAIN_MAX_STEP, VAL_MAX_STEP
 FIXED_POSITIVE_WEIGHT = 100.0
 POS_WEIGHT_EPS = 1e-9
 VAL_FRACTION = 0.15
-GRAPH_ROW_CAP = 200_000
 SEED = 42
 
 
@@ -105,26 +104,3 @@ def stratified_split(
     j = ranked.join(checked_broadcast(counts, 1000), label, "left")
     is_val = F.col("cum__one") <= F.round(F.col("_nc") * F.lit(fraction))
     return j.select(*nodes.columns, F.when(is_val, F.lit("val")).otherwise(F.lit("train")).alias("fold"))
-
-
-def cap_transactions(df: DataFrame, cap: int = GRAPH_ROW_CAP, seed: int = SEED, label: str = "isFraud") -> DataFrame:
-    """Above ``cap`` rows keep every fraud row and a seeded sample of normal
-    rows filling up to ``cap``; error when fraud alone exceeds the cap.
-
-    A sampling feature (the reference's memory cap), off by default in the
-    graph operators: Spark does not need it."""
-    stats = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("f")).first()
-    n, n_fraud = stats["n"], stats["f"] or 0
-    if n <= cap:
-        return df
-    if n_fraud > cap:
-        raise ValueError(f"fraud rows ({n_fraud}) exceed the cap ({cap})")
-    fraud = df.where(F.col(label) == 1)
-    normal = (
-        df.where(F.col(label) == 0)
-        .withColumn("_h", _hash_key(["tx_id"], seed))
-        .orderBy("_h", "tx_id")
-        .limit(cap - n_fraud)
-        .drop("_h")
-    )
-    return fraud.unionByName(normal)

@@ -128,8 +128,18 @@ def label_correlation(df: DataFrame, label: str = "isFraud", cols: list[str] | N
     )
 
 
+def network_rows(df: DataFrame, label: str = "isFraud") -> DataFrame:
+    """The rows of a network: exact-duplicate removal on the transaction columns;
+    ``part`` puts fraud rows before normal ones, for B11's last-write-wins."""
+    part = F.when(F.col(label) == 1, 0).otherwise(1)
+    raw = [c for c in df.columns if c != "tx_id"]
+    return df.withColumn("part", part).groupBy(*raw).agg(F.min(F.struct("part", "tx_id")).alias("_k")).select(
+        F.col("_k.tx_id").alias("tx_id"), *raw, F.col("_k.part").alias("part")
+    )
+
+
 def network_sample(df: DataFrame, n: int = 150, label: str = "isFraud") -> DataFrame:
-    """First min(30, n//4) fraud rows and first n normal rows (by step, tx_id),
+    """B10, a display of ``n`` rows: first min(30, n//4) fraud rows and first n normal rows (by step, tx_id),
     UNION ALL, then exact-duplicate removal on the transaction columns.
 
     Both heads are top-k (TakeOrderedAndProject), bounded by ``n``; ``part``

@@ -21,6 +21,7 @@ from txrisk.operators import scoring as H
 from txrisk.plans.sqlparts import FEAT, RULE, SPLIT, TX, with_
 from txrisk.sources import io as A
 from txrisk.sources.fixtures import tx_events
+from txrisk.session import scratch_path
 from txrisk.sources.schema import FEATURE_COLS, TX_COLUMNS
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -73,7 +74,11 @@ TXCOLS = ", ".join(TX_COLUMNS)
 
 @register("a1_scan_transactions", with_(TX) + f"SELECT {TXCOLS} FROM tx")
 def a1_scan_transactions(spark, sf_dir):
-    return A.require_columns(_tx(spark, sf_dir)).select(*TX_COLUMNS)
+    """A CSV file with its columns in another order, read by name."""
+    path = scratch_path(spark, "transactions") + ".csv"
+    names = sorted(TX_COLUMNS, key=lambda c: c[::-1])
+    _tx(spark, sf_dir).select(*names).write.option("header", True).csv(path)
+    return A.scan_transactions(spark, path).select(*TX_COLUMNS)
 
 
 @register(
@@ -180,13 +185,18 @@ def b9_label_correlation(spark, sf_dir):
     return B.label_correlation(_feat(spark, sf_dir))
 
 
-SAMPLE = """
+_DISTINCT = """smp AS (SELECT * FROM smp0 QUALIFY row_number() OVER (PARTITION BY step, type, amount, nameOrig, oldbalanceOrg,
+  newbalanceOrig, nameDest, oldbalanceDest, newbalanceDest, isFraud, isFlaggedFraud ORDER BY part, tx_id) = 1)"""
+HEADS = f"""
 smp0 AS (
   (SELECT *, 0 AS part FROM sp WHERE split = 'test' AND isFraud = 1 ORDER BY step, tx_id LIMIT 30)
   UNION ALL
   (SELECT *, 1 AS part FROM sp WHERE split = 'test' AND isFraud = 0 ORDER BY step, tx_id LIMIT 150)),
-smp AS (SELECT * FROM smp0 QUALIFY row_number() OVER (PARTITION BY step, type, amount, nameOrig, oldbalanceOrg,
-  newbalanceOrig, nameDest, oldbalanceDest, newbalanceDest, isFraud, isFlaggedFraud ORDER BY part, tx_id) = 1),
+{_DISTINCT}
+"""
+WHOLE = f"""
+smp0 AS (SELECT *, CASE WHEN isFraud = 1 THEN 0 ELSE 1 END AS part FROM sp WHERE split = 'test'),
+{_DISTINCT},
 sev AS (SELECT nameOrig AS account, isFraud AS flag, part, step, tx_id, 0 AS role FROM smp
         UNION ALL SELECT nameDest, 0, part, step, tx_id, 1 FROM smp),
 snode AS (SELECT account, arg_max(flag, (part, step, tx_id, role)) AS is_fraud FROM sev GROUP BY account),
@@ -196,32 +206,35 @@ sdeg AS (SELECT account, count(*) AS degree FROM (SELECT src AS account FROM sed
 """
 
 
-def _sample(spark, sf_dir):
-    test = _split(spark, sf_dir).where(F.col("split") == "test").drop("split")
-    return B.network_sample(test.select(*TX_COLUMNS), 150)
+def _test_rows(spark, sf_dir):
+    return _split(spark, sf_dir).where(F.col("split") == "test").select(*TX_COLUMNS)
+
+
+def _network(spark, sf_dir):
+    return B.network_rows(_test_rows(spark, sf_dir))
 
 
 @register(
     "b10_network_sample",
-    with_(TX, FEAT, SPLIT, SAMPLE) + f"SELECT {TXCOLS}, part FROM smp",
+    with_(TX, FEAT, SPLIT, HEADS) + f"SELECT {TXCOLS}, part FROM smp",
 )
 def b10_network_sample(spark, sf_dir):
-    return _sample(spark, sf_dir)
+    return B.network_sample(_test_rows(spark, sf_dir), 150)
 
 
 @register(
     "b11_network_summary",
-    with_(TX, FEAT, SPLIT, SAMPLE)
+    with_(TX, FEAT, SPLIT, WHOLE)
     + """SELECT (SELECT count(*) FROM snode) AS nodes, (SELECT count(*) FROM sedge) AS edges,
   (SELECT CAST(sum(is_fraud) AS BIGINT) FROM snode) AS fraud_nodes, (SELECT CAST(sum(is_fraud) AS BIGINT) FROM sedge) AS fraud_edges""",
 )
 def b11_network_summary(spark, sf_dir):
-    return B.network_summary(_sample(spark, sf_dir))
+    return B.network_summary(_network(spark, sf_dir))
 
 
 @register(
     "b12_network_node_style",
-    with_(TX, FEAT, SPLIT, SAMPLE)
+    with_(TX, FEAT, SPLIT, WHOLE)
     + """SELECT n.account, n.is_fraud, coalesce(d.degree, 0) AS degree,
   CAST(least(15 + coalesce(d.degree, 0) * 2, 40) AS INTEGER) AS size,
   CASE WHEN n.is_fraud = 1 THEN '#ff4757' ELSE '#57a0ff' END AS color,
@@ -229,18 +242,18 @@ def b11_network_summary(spark, sf_dir):
 FROM snode n LEFT JOIN sdeg d USING (account)""",
 )
 def b12_network_node_style(spark, sf_dir):
-    return B.network_node_style(_sample(spark, sf_dir))
+    return B.network_node_style(_network(spark, sf_dir))
 
 
 @register(
     "b12_network_edge_style",
-    with_(TX, FEAT, SPLIT, SAMPLE)
+    with_(TX, FEAT, SPLIT, WHOLE)
     + """SELECT src, dst, is_fraud, round(least(1 + amount / 100000, CAST(5 AS DOUBLE)), 6) AS width,
   CASE WHEN is_fraud = 1 THEN '#ff4757' ELSE '#aaaaaa' END AS color,
   'Amount: $' || format('{:,.0f}', amount) AS title FROM sedge""",
 )
 def b12_network_edge_style(spark, sf_dir):
-    return B.network_edge_style(_sample(spark, sf_dir))
+    return B.network_edge_style(_network(spark, sf_dir))
 
 
 # ------------------------------------------------------------------ C
@@ -739,7 +752,7 @@ def e11_graph_features(spark, sf_dir):
 @register("e7_betweenness")
 def e7_betweenness(spark, sf_dir):
     _f, nd, ed = _graph(spark, sf_dir)
-    return EC.betweenness(ed, nd, k=500)
+    return EC.betweenness(ed, nd)
 
 
 @register("e11_graph_features_full")
@@ -793,7 +806,9 @@ def e15_temporal_subgraph(spark, sf_dir):
     return sub.select("src", "dst", "amount", "step")
 
 
-SEEDS_SQL = """seeds AS (SELECT account FROM lb WHERE is_fraud = 1 ORDER BY md5(account || '|42'), account LIMIT 5)"""
+SEEDS_SQL = """sc AS (SELECT is_fraud, count(*) AS nc FROM lb GROUP BY is_fraud),
+sr AS (SELECT lb.account, lb.is_fraud, row_number() OVER (PARTITION BY lb.is_fraud ORDER BY md5(lb.account || '|42'), lb.account) AS rn FROM lb),
+seeds AS (SELECT account FROM sr JOIN sc USING (is_fraud) WHERE rn > round(CAST(0.15 AS DOUBLE) * nc))"""
 
 
 def _sample_sql() -> str:
@@ -815,8 +830,7 @@ def _sample_sql() -> str:
 @register("e16_sample_neighbors", _sample_sql())
 def e16_sample_neighbors(spark, sf_dir):
     feat, nd, ed = _graph(spark, sf_dir)
-    lb = E.account_labels(feat, nd)
-    seeds = lb.where("is_fraud = 1").orderBy(F.md5(F.concat_ws("|", "account", F.lit("42"))), "account").limit(5)
+    seeds = D.stratified_split(E.account_labels(feat, nd)).where(F.col("fold") == "train")
     return E.sample_neighbors(ed, seeds)
 
 
@@ -929,7 +943,6 @@ def e21_join_node_scores(spark, sf_dir):
 # ------------------------------------------------------------------ D4, D7, D8, F, A sinks
 from txrisk.operators import models as M  # noqa: E402
 from txrisk.operators import resample as R  # noqa: E402
-from txrisk.session import scratch_path  # noqa: E402
 
 MODEL_ROUNDS = 40  # boosting rounds for the registered queries (library default: 500)
 
@@ -971,18 +984,6 @@ def d7_stratified_split(spark, sf_dir):
     return D.stratified_split(E.account_labels(_tx(spark, sf_dir)))
 
 
-@register(
-    "d8_cap_transactions",
-    with_(TX)
-    + """, f AS (SELECT count(*) AS nf FROM tx WHERE isFraud = 1),
-nr AS (SELECT tx.*, row_number() OVER (ORDER BY md5(CAST(tx_id AS VARCHAR) || '|42'), tx_id) AS rn FROM tx WHERE isFraud = 0)
-SELECT tx_id, isFraud FROM tx WHERE isFraud = 1
-UNION ALL SELECT tx_id, isFraud FROM nr, f WHERE rn <= 5000 - nf""",
-)
-def d8_cap_transactions(spark, sf_dir):
-    return D.cap_transactions(_tx(spark, sf_dir), cap=5000).select("tx_id", "isFraud")
-
-
 @register("f1_train_gbt_a")
 def f1_train_gbt_a(spark, sf_dir):
     train, val, test = _model_frames(spark, sf_dir)

@@ -19,27 +19,29 @@ def require_columns(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def with_tx_id(df: DataFrame) -> DataFrame:
-    """Give rows a stable ``tx_id`` when the source has none.
+    """Give rows a ``tx_id`` when the source has none.
 
-    ``monotonically_increasing_id`` is unique and follows file/partition order,
-    which is the only row order a file scan has; assign it once at ingest and
-    persist the table, since it is not stable across re-reads of changed input."""
+    ``monotonically_increasing_id`` is unique, but Spark packs file splits by
+    size, so it does not follow the order of the files. Operators that need an
+    arrival order (H1, E2, E15) need a source with its own ``tx_id``, or one
+    derived from an ordering column; assign ids once and write the table."""
     if "tx_id" in df.columns:
         return df
     return df.select(F.monotonically_increasing_id().alias("tx_id"), *df.columns)
 
 
 def scan_transactions(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """A1: transactions from CSV (header, fixed schema, no inference) or parquet."""
+    """A1: transactions from CSV (header, fixed types, no inference) or parquet,
+    columns taken by name in any order; other columns are left out."""
     fmt = fmt or ("csv" if path.endswith(".csv") else "parquet")
+    known = {f.name: f for f in TX_SCHEMA.fields}
     if fmt == "csv":
-        raw_schema = T.StructType([f for f in TX_SCHEMA.fields if f.name != "tx_id"])
-        header = spark.read.option("header", True).csv(path).columns
-        schema = TX_SCHEMA if "tx_id" in header else raw_schema
+        header = require_columns(spark.read.option("header", True).csv(path)).columns
+        schema = T.StructType([known.get(c, T.StructField(c, T.StringType())) for c in header])
         df = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
     else:
-        df = spark.read.parquet(path)
-    require_columns(df)
+        df = require_columns(spark.read.parquet(path))
+    df = df.select(*[F.col(c).cast(f.dataType).alias(c) for c, f in known.items() if c in df.columns])
     return with_tx_id(df)
 
 
