@@ -104,20 +104,6 @@ def test_history_first_and_second_row(spark):
         assert (got[1]["orig_tx_count"], got[1]["orig_total_sent"], got[1]["orig_unique_dests"]) == (2, 8.0, 1)
 
 
-def test_history_bucket_halo_matches_brute_force(spark):
-    rnd = random.Random(7)
-    rows = [dict(step=rnd.randint(1, 200), nameOrig=f"o{rnd.randint(0, 3)}", nameDest=f"d{rnd.randint(0, 5)}",
-                 amount=float(rnd.randint(1, 9))) for _ in range(300)]
-    df = _tx(spark, rows)
-    got = {r["tx_id"]: (r[1], r[2], r[3]) for r in H.history_features(df, 24, method="buckets", bucket_steps=30).collect()}
-    for i, r in enumerate(rows):
-        hist = [(j, q) for j, q in enumerate(rows) if q["nameOrig"] == r["nameOrig"] and (
-            (r["step"] - 24 <= q["step"] < r["step"]) or (q["step"] == r["step"] and j < i))]
-        n = len(hist)
-        exp = (n + 1, sum(q["amount"] for _, q in hist) + r["amount"], len({q["nameDest"] for _, q in hist}) if n else 1)
-        assert got[i] == exp
-
-
 def _py_pagerank(nodes, edges, alpha=0.85, tol=1e-6, max_iter=100):
     n = len(nodes)
     out_w = {u: 0.0 for u in nodes}
@@ -302,7 +288,7 @@ def test_history_by_intervals_matches_brute_force(spark):
     rows = [dict(step=rnd.randint(1, 120), nameOrig=f"o{rnd.randint(0, 2)}", nameDest=f"d{rnd.randint(0, 6)}",
                  amount=float(rnd.randint(1, 9))) for _ in range(400)]
     df = _tx(spark, rows)
-    got = {r["tx_id"]: (r[1], r[2], r[3]) for r in H.history_features_by_intervals(df, 24).collect()}
+    got = {r["tx_id"]: (r[1], r[2], r[3]) for r in H.history_features(df, 24).collect()}
     assert len(got) == len(rows)
     for i, r in enumerate(rows):
         hist = [(j, q) for j, q in enumerate(rows) if q["nameOrig"] == r["nameOrig"] and (

@@ -17,7 +17,7 @@ from txrisk.functions.distributed import checkpointed
 PR_ALPHA = 0.85
 PR_MAX_ITER = 100
 PR_TOL = 1e-6
-CHECKPOINT_EVERY = 1
+CHECKPOINT_EVERY = 5
 
 
 def _nparts(df: DataFrame) -> int:
@@ -45,63 +45,46 @@ def pagerank(
     n = node_df.count()
     if n == 0:
         return node_df.select("account", F.lit(0.0).alias("pagerank"))
-    parts = _nparts(e)
     wout = e.groupBy("src").agg(F.sum("amount").alias("_wout")).where(F.col("_wout") != 0)
-    en = (
-        e.join(wout, "src")
-        .select("src", "dst", (F.col("amount") / F.col("_wout")).alias("w"))
-        .repartition(parts, "src")
-        .persist()
-    )
-    flags = (
-        node_df.select("account")
-        .join(wout.select(F.col("src").alias("account"), F.lit(False).alias("_has_out")), "account", "left")
-        .select("account", F.col("_has_out").isNull().alias("dangling"))
-        .repartition(parts, "account")
-        .persist()
+    # edges and flags are written once; joins stay open to run-time skew splitting
+    en = checkpointed(e.join(wout, "src").select("src", "dst", (F.col("amount") / F.col("_wout")).alias("w")))
+    flags = checkpointed(
+        node_df.select("account").join(
+            wout.select(F.col("src").alias("account"), F.lit(False).alias("_has_out")), "account", "left"
+        ).select("account", F.col("_has_out").isNull().alias("dangling"))
     )
-    x = flags.select("account", "dangling", F.lit(1.0 / n).alias("x"))
-    steps = iterations if iterations is not None else max_iter
-    converged = False
-    for it in range(1, steps + 1):
-        # dangling mass: a one-row aggregate, joined on a constant key
-        dsum = x.where("dangling").agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("_ds"))
+    x = flags.withColumn("x", F.lit(1.0 / n))
+    mass = x.where("dangling").count() / n
+    held = None
+    converged = iterations is not None
+    for it in range(1, (iterations if iterations is not None else max_iter) + 1):
         contrib = (
             x.join(en, x.account == en.src)
             .groupBy(F.col("dst").alias("account"))
             .agg(F.sum(F.col("x") * F.col("w")).alias("_c"))
         )
-        one = F.lit(1).alias("_k")
-        nxt = (
-            flags.select("*", one)
-            .join(F.broadcast(dsum.select("*", one)), "_k")
-            .join(contrib, "account", "left")
-            .select(
-                "account",
-                "dangling",
-                (
-                    F.lit(alpha) * (F.coalesce(F.col("_c"), F.lit(0.0)) + F.col("_ds") / F.lit(float(n)))
-                    + F.lit(1.0 - alpha) / F.lit(float(n))
-                ).alias("x"),
-            )
-        )
-        # the state is referenced twice per round (messages and dangling
-        # mass): cut its plan every round so planning stays constant-time
-        nxt = checkpointed(nxt)
-        if iterations is None:
-            err = (
-                nxt.join(x.select("account", F.col("x").alias("_old")), "account")
-                .agg(F.sum(F.abs(F.col("x") - F.col("_old"))))
-                .first()[0]
-            )
-            if err < (n * tol if scale_tol else tol):
-                x = nxt
-                converged = True
-                break
-        x = nxt
-    if iterations is None and not converged:
+        base = alpha * mass / n + (1.0 - alpha) / n
+        old = x.select("account", "dangling", F.col("x").alias("_old"))
+        state = old.join(contrib, "account", "left").select(
+            "account", "dangling", (F.lit(alpha) * F.coalesce("_c", F.lit(0.0)) + F.lit(base)).alias("x"), "_old"
+        ).persist()
+        # one job a round: fills the cache, gives the change and the next dangling mass
+        moved, mass = state.agg(
+            F.sum(F.abs(F.col("x") - F.col("_old"))), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("x"))), F.lit(0.0))
+        ).first()
+        x = state.drop("_old")
+        if it % checkpoint_every == 0:
+            x = checkpointed(x)
+            state.unpersist()
+            state = None
+        if held is not None:
+            held.unpersist()
+        held = state
+        if iterations is None and moved < (n * tol if scale_tol else tol):
+            converged = True
+            break
+    if not converged:
         raise RuntimeError(f"pagerank did not converge in {max_iter} iterations")
-    en.unpersist()
     return x.select("account", F.col("x").alias("pagerank"))
 
 

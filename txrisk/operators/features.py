@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txrisk.functions import columns as X
-from txrisk.functions.distributed import checked_broadcast
 from txrisk.sources.schema import FEATURE_COLS
 
 ZSCORE_EPS = 1e-9
@@ -68,13 +67,13 @@ def origin_stats(df: DataFrame) -> DataFrame:
 def engineer_features(df: DataFrame, fit: DataFrame | None = None) -> DataFrame:
     """The raw columns plus the 21 engineered columns, in reference order."""
     fit = df if fit is None else fit
-    stats = checked_broadcast(type_amount_stats(fit))
-    index = checked_broadcast(type_index(fit))
+    types = type_amount_stats(fit).select(
+        "*", (F.dense_rank().over(Window.orderBy(F.col("type").asc_nulls_last())) - 1).cast("int").alias("type_encoded")
+    ).where(F.col("type").isNotNull())
     orig = origin_stats(fit)
     base = df.select("*", *X.row_features())
     joined = (
-        base.join(stats, "type", "left")
-        .join(index, "type", "left")
+        base.join(types, "type", "left")
         .join(orig, "nameOrig", "left")
     )
     zscore = (F.col("amount") - F.col("type_mean")) / (F.col("type_std") + F.lit(ZSCORE_EPS))

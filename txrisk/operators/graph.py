@@ -137,8 +137,10 @@ def clustering(e: DataFrame) -> DataFrame:
 
 def avg_neighbor_degree(e: DataFrame, deg: DataFrame | None = None) -> DataFrame:
     """Mean out-degree of each node's successors (0 without successors)."""
-    deg = deg if deg is not None else degrees(e)
-    outd = deg.select(F.col("account").alias("dst"), F.col("out_degree").alias("_od"))
+    if deg is None:
+        outd = e.groupBy(F.col("src").alias("dst")).agg(F.count(F.lit(1)).alias("_od"))
+    else:
+        outd = deg.select(F.col("account").alias("dst"), F.col("out_degree").alias("_od"))
     return e.select("src", "dst").join(outd, "dst", "left").groupBy(F.col("src").alias("account")).agg(
         F.avg(F.coalesce(F.col("_od"), F.lit(0)).cast("double")).alias("avg_neighbor_deg")
     )

@@ -9,7 +9,7 @@ never with a single-partition window over raw rows.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txrisk.functions.distributed import running_totals
@@ -185,43 +185,32 @@ def threshold_sweep(df: DataFrame, label: str = "label", score: str = "score", t
     """Precision, recall, f1 (1e-9 guards) at 80 thresholds 0.1..0.95 and
     the first maximum of f1 flagged.
 
-    One pass: each distinct score is mapped to the number of thresholds it
+    One plan: each distinct score is mapped to the number of thresholds it
     reaches (array filter against the 80 literals), counts are summed per
-    bucket (81 buckets), and a suffix sum over the tiny bucket table gives
-    the counts at or above each threshold. No range or theta join."""
+    bucket (81 buckets), and a suffix sum over that table gives the counts at
+    or above each threshold. No range or theta join, no driver step."""
     ts = thresholds or sweep_thresholds()
     arr = F.array(*[F.lit(t) for t in ts])
     counts = score_counts(df, label, score)
     bucket = F.size(F.filter(arr, lambda t: t <= F.col("score")))
     per_bucket = counts.groupBy(bucket.alias("b")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    P, N = _totals(df, label)
-    spark = df.sparkSession
-    tdf = spark.createDataFrame([(i, t) for i, t in enumerate(ts)], "i int, threshold double")
-    # thresholds i is reached by buckets b >= i + 1; join 81-row bucket table to 80 thresholds
-    pb = per_bucket.collect()
-    above_pos = {}
-    above_neg = {}
-    rows = sorted(((r["b"], r["pos"], r["neg"]) for r in pb), reverse=True)
-    acc_p = acc_n = 0.0
-    k = 0
-    for i in range(len(ts) - 1, -1, -1):
-        while k < len(rows) and rows[k][0] >= i + 1:
-            acc_p += rows[k][1]
-            acc_n += rows[k][2]
-            k += 1
-        above_pos[i], above_neg[i] = acc_p, acc_n
-    counts_df = spark.createDataFrame(
-        [(i, above_pos[i], above_neg[i]) for i in range(len(ts))], "i int, tp double, fp double"
-    )
-    j = tdf.join(counts_df, "i")
+    # a row per number of thresholds reached: windows over len(ts) + 1 rows
+    grid = df.sparkSession.range(len(ts) + 1).select(F.col("id").cast("int").alias("b"))
+    above = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, 0)
+    pos, neg = F.coalesce("pos", F.lit(0.0)), F.coalesce("neg", F.lit(0.0))
+    at = grid.join(per_bucket, "b", "left").select(
+        (F.col("b") - 1).alias("i"),
+        F.sum(pos).over(above).alias("tp"),
+        F.sum(neg).over(above).alias("fp"),
+        F.sum(pos).over(Window.partitionBy()).alias("_P"),
+    ).where(F.col("i") >= 0)
     tp, fp = F.col("tp"), F.col("fp")
-    fn = F.lit(P) - tp
     prec = tp / (tp + fp + F.lit(EPS))
-    rec = tp / (tp + fn + F.lit(EPS))
-    out = j.select("i", "threshold", prec.alias("precision"), rec.alias("recall"))
+    rec = tp / (F.col("_P") + F.lit(EPS))
+    out = at.select("i", F.get(arr, F.col("i")).alias("threshold"), prec.alias("precision"), rec.alias("recall"))
     out = out.withColumn("f1", F.lit(2.0) * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + F.lit(EPS)))
-    best = out.orderBy(F.desc("f1"), "i").select("i").first()["i"]
-    return out.withColumn("is_best", F.col("i") == F.lit(best))
+    first = F.row_number().over(Window.orderBy(F.desc("f1"), "i")) == 1
+    return out.withColumn("is_best", first)
 
 
 def tune_threshold(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:

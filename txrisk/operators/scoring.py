@@ -1,11 +1,8 @@
 """H: batch scoring: live history features, rules, blend, risk, reasons, stats.
 
-History features (H1) come in two exact forms. The default works on
-(origin, step) totals and (origin, destination, step) occurrences, so no
-window holds more than one origin's distinct steps or one step of its rows.
-The alternative windows the rows per (origin, time bucket) with a halo of
-the previous ``window`` steps: the previous steps as a RANGE frame and the
-earlier arrivals of the same step as a ROWS frame.
+History features (H1) work on (origin, step) totals and (origin, destination,
+step) occurrences, so no window holds more than one origin's distinct steps or
+one step of its rows.
 """
 
 from __future__ import annotations
@@ -24,75 +21,22 @@ ACCOUNT_DISPLAY_CHARS = 12
 HIGH_LEVELS = ("HIGH", "CRITICAL")
 
 
-def history_features(
-    tx: DataFrame, window: int = HISTORY_WINDOW, method: str = "intervals", bucket_steps: int | None = None
-) -> DataFrame:
-    """H1: per row, over earlier-arrived rows of the same origin within the
-    last ``window`` steps: count + 1, amount sum + own amount, and distinct
-    destinations of the history only (1 when the history is empty).
-
-    Returns tx_id, orig_tx_count, orig_total_sent, orig_unique_dests.
-    ``intervals`` (default) is linear and skew-safe; ``buckets`` uses two
-    window frames per (origin, time bucket) with per-row sets (fewer shuffles,
-    fine when no origin is dense)."""
-    if method == "intervals":
-        return history_features_by_intervals(tx, window)
-    if method != "buckets":
-        raise ValueError(f"unknown history method: {method}")
-    return _history_by_buckets(tx, window, bucket_steps)
-
-
-def _history_by_buckets(tx: DataFrame, window: int, bucket_steps: int | None) -> DataFrame:
-    B = bucket_steps or 4 * window
-    cols = ["tx_id", "step", "nameOrig", "nameDest", "amount"]
-    base = tx.select(*cols)
-    owned = base.select(*cols, F.floor(F.col("step") / B).cast("long").alias("_b"), F.lit(True).alias("_own"))
-    halo = base.where(F.pmod(F.col("step"), F.lit(B)) >= B - window).select(
-        *cols, (F.floor(F.col("step") / B).cast("long") + 1).alias("_b"), F.lit(False).alias("_own")
-    )
-    rows = owned.unionByName(halo)
-    w_prev = (
-        Window.partitionBy("nameOrig", "_b").orderBy("step").rangeBetween(-window, -1)
-    )
-    w_same = (
-        Window.partitionBy("nameOrig", "_b", "step").orderBy("tx_id").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    feats = rows.select(
-        "tx_id", "amount", "_own",
-        F.count("tx_id").over(w_prev).alias("_np"),
-        F.sum("amount").over(w_prev).alias("_sp"),
-        F.collect_set("nameDest").over(w_prev).alias("_dp"),
-        F.count("tx_id").over(w_same).alias("_ns"),
-        F.sum("amount").over(w_same).alias("_ss"),
-        F.collect_set("nameDest").over(w_same).alias("_ds"),
-    ).where("_own")
-    n_hist = F.col("_np") + F.col("_ns")
-    return feats.select(
-        "tx_id",
-        (n_hist + 1).alias("orig_tx_count"),
-        (F.coalesce(F.col("_sp"), F.lit(0.0)) + F.coalesce(F.col("_ss"), F.lit(0.0)) + F.col("amount")).alias("orig_total_sent"),
-        F.when(n_hist > 0, F.size(F.array_union("_dp", "_ds"))).otherwise(F.lit(1)).cast("long").alias("orig_unique_dests"),
-    )
-
-
 def live_features(tx: DataFrame, window: int = HISTORY_WINDOW, keep: list[str] | None = None) -> DataFrame:
     """H2: the 26 model columns as computed at scoring time: z-score fixed 0,
     the fixed type code map, history aggregates from H1; single precision
     like the serving path, NaN/null -> 0. Apply ``prep.apply_scaler`` next."""
     keep = keep or ["tx_id"]
-    hist = history_features(tx, window)
-    rowf = tx.select(
-        *dict.fromkeys(keep + ["tx_id"]),
-        "amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest",
-        *X.row_features(),
-        F.lit(0.0).alias("amount_zscore"),
-        X.type_code().alias("type_encoded"),
+    hist = history_features(tx, window, keep=tx.columns)
+    j = hist.select(
+        "*", *X.row_features(), F.lit(0.0).alias("amount_zscore"), X.type_code().alias("type_encoded")
     )
-    j = rowf.join(hist, "tx_id", "inner")
     single = [
         F.nanvl(F.coalesce(F.col(c).cast("float").cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c)
         for c in FEATURE_COLS
     ]
+    overlap = [c for c in keep if c in FEATURE_COLS]
+    if overlap:
+        raise ValueError(f"columns of the model cannot be kept beside it: {overlap}")
     return j.select(*keep, *single)
 
 
@@ -118,6 +62,34 @@ def score_batch(df: DataFrame, proba: str = "ml_proba", threshold: float = ALERT
     return out
 
 
+def score_live(hist: DataFrame, raw_cols: list[str], ensemble, scaler_params: DataFrame,
+               threshold: float = ALERT_THRESHOLD) -> DataFrame:
+    """Rows with their history features -> the 26 live features -> scaler ->
+    ensemble -> alerts (H2, D3, F4, H3-H7). Works on a table or a stream: no
+    shuffle, no join with the rows themselves."""
+    from txrisk.operators.prep import apply_scaler
+
+    feats = hist.select(
+        "*", *X.row_features(), F.lit(0.0).alias("amount_zscore"), X.type_code().alias("type_encoded")
+    )
+    single = [
+        F.nanvl(F.coalesce(F.col(c).cast("float").cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in FEATURE_COLS
+    ]
+    # a raw column that is also a model column is kept aside under another name
+    aside = {c: f"_raw_{c}" if c in FEATURE_COLS else c for c in raw_cols}
+    live = feats.select(*[F.col(c).alias(a) for c, a in aside.items()], *single)
+    scored = ensemble.score(apply_scaler(live, scaler_params, keep=list(aside.values())))
+    restored = scored.select(*[F.col(a).alias(c) for c, a in aside.items()], "ml_proba")
+    return score_batch(restored, "ml_proba", threshold)
+
+
+def score_end_to_end(tx: DataFrame, ensemble, scaler_params: DataFrame, threshold: float = ALERT_THRESHOLD,
+                     window: int = HISTORY_WINDOW) -> DataFrame:
+    """H8 whole, as one batch plan from raw transactions to alerts."""
+    hist = history_features(tx, window, keep=tx.columns)
+    return score_live(hist, tx.columns, ensemble, scaler_params, threshold)
+
+
 def alert_stats(alerts: DataFrame) -> DataFrame:
     """H9: total scored, alerts, alert rate = alerts / max(total, 1)."""
     a = alerts.agg(
@@ -150,8 +122,12 @@ def alert_counts(alerts: DataFrame, threshold: float = ALERT_THRESHOLD) -> DataF
     )
 
 
-def history_features_by_intervals(tx: DataFrame, window: int = HISTORY_WINDOW) -> DataFrame:
-    """H1, skew-safe form (same result as ``history_features``).
+def history_features(tx: DataFrame, window: int = HISTORY_WINDOW, keep: list[str] | None = None) -> DataFrame:
+    """H1: per row, over earlier-arrived rows of the same origin within the
+    last ``window`` steps: count + 1 (orig_tx_count), amount sum + own amount
+    (orig_total_sent), and distinct destinations of the history only (1 when
+    the history is empty; orig_unique_dests). Rows come with their ``keep``
+    columns (default tx_id), so nothing is joined back to the source.
 
     No window holds more than one origin's *distinct steps* (or one origin's
     rows of a single step), and no per-row set is built:
@@ -165,7 +141,9 @@ def history_features_by_intervals(tx: DataFrame, window: int = HISTORY_WINDOW) -
     * same-step part: running counts over (tx_id) inside (origin, step), the
       distinct part counting only destinations not already seen in the
       previous ``window`` steps, at their first arrival in the step."""
-    base = tx.select("tx_id", "step", "nameOrig", "nameDest", "amount")
+    keep = keep or ["tx_id"]
+    source = tx.select("tx_id", "step", "nameOrig", "nameDest", "amount", F.struct(*keep).alias("_x"))
+    base = source.drop("_x")
     o, d, s = F.col("nameOrig"), F.col("nameDest"), F.col("step")
     per_step = base.groupBy("nameOrig", "step").agg(
         F.count("tx_id").alias("_n"), F.sum("amount").alias("_s")
@@ -193,21 +171,22 @@ def history_features_by_intervals(tx: DataFrame, window: int = HISTORY_WINDOW) -
     )
     is_new = (F.col("_prev").isNull() | (F.col("_prev") < s - window)).cast("long")
     firsts = trip.select(o, s, F.col("_first").alias("_t"), F.lit(1).alias("_kind"), is_new.alias("_inc"),
-                         F.lit(0).alias("_row"), F.lit(0.0).alias("_amt"), F.lit(None).cast("long").alias("tx_id"),
+                         F.lit(0).alias("_row"), F.lit(0.0).alias("_amt"), F.lit(None).cast(source.schema["_x"].dataType).alias("_x"),
                          F.lit(None).cast("double").alias("amount"))
-    rows = base.select(o, s, F.col("tx_id").alias("_t"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_inc"),
-                       F.lit(1).alias("_row"), F.col("amount").alias("_amt"), "tx_id", "amount")
+    rows = source.select(o, s, F.col("tx_id").alias("_t"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_inc"),
+                       F.lit(1).alias("_row"), F.col("amount").alias("_amt"), "_x", "amount")
     w_same = Window.partitionBy("nameOrig", "step").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, -1)
     same = firsts.unionByName(rows).select(
-        "nameOrig", "step", "tx_id", "amount", "_kind",
+        "nameOrig", "step", "_x", "amount", "_kind",
         F.coalesce(F.sum("_inc").over(w_same), F.lit(0)).alias("_ds"),
         F.coalesce(F.sum("_row").over(w_same), F.lit(0)).alias("_ns"),
         F.sum(F.when(F.col("_row") == 1, F.col("_amt"))).over(w_same).alias("_ss"),
     ).where(F.col("_kind") == 0)
-    j = same.join(prev, ["nameOrig", "step"], "left").join(covered, ["nameOrig", "step"], "left")
+    steps = prev.join(covered, ["nameOrig", "step"], "left")
+    j = same.join(steps, ["nameOrig", "step"], "left")
     n_hist = F.coalesce(F.col("_np"), F.lit(0)) + F.col("_ns")
     return j.select(
-        "tx_id",
+        "_x.*",
         (n_hist + 1).cast("long").alias("orig_tx_count"),
         (F.coalesce(F.col("_sp"), F.lit(0.0)) + F.coalesce(F.col("_ss"), F.lit(0.0)) + F.col("amount")).alias("orig_total_sent"),
         F.when(n_hist > 0, F.coalesce(F.col("_dp"), F.lit(0)) + F.col("_ds")).otherwise(F.lit(1)).cast("long").alias("orig_unique_dests"),

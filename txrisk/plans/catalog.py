@@ -21,8 +21,9 @@ from txrisk.operators import scoring as H
 from txrisk.plans.sqlparts import FEAT, RULE, SPLIT, TX, with_
 from txrisk.sources import io as A
 from txrisk.sources.fixtures import tx_events
+from txrisk.functions.distributed import checkpointed
 from txrisk.session import scratch_path
-from txrisk.sources.schema import FEATURE_COLS, TX_COLUMNS
+from txrisk.sources.schema import FEATURE_COLS, STREAM_SCHEMA, TX_COLUMNS
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[QueryFn, str | None]] = {}
@@ -922,12 +923,14 @@ def e19_aggregate_attention(spark, sf_dir):
 
 @register("e20_node_scores")
 def e20_node_scores(spark, sf_dir):
-    feat = _feat(spark, sf_dir)
-    nd, ed = E.nodes(feat), E.edges(feat)
-    gf = E.graph_features(feat, pagerank_iterations=PR_ITERS, with_betweenness=False)
-    nf = E.node_features(gf, E.account_aggregates(feat)).drop("x")
-    cols = [c for c in nf.columns if c not in ("account", "is_fraud")]
-    return EP.node_scores(ed, nf, cols, "sage", hops=3).select("account", "is_fraud", "fold", "gnn_proba")
+    return _node_scores(spark, sf_dir).select("account", "is_fraud", "fold", "gnn_proba")
+
+
+@register("e20_validation_metrics")
+def e20_validation_metrics(spark, sf_dir):
+    """The graph model on its validation fold."""
+    val = _node_scores(spark, sf_dir).where(F.col("fold") == "val")
+    return G.evaluate(val.select(F.col("is_fraud").alias("label"), F.col("gnn_proba").alias("score")), 0.5, "Val")
 
 
 @register(
@@ -944,9 +947,6 @@ def e21_join_node_scores(spark, sf_dir):
 from txrisk.operators import models as M  # noqa: E402
 from txrisk.operators import resample as R  # noqa: E402
 
-MODEL_ROUNDS = 40  # boosting rounds for the registered queries (library default: 500)
-
-
 def _model_frames(spark, sf_dir):
     """Scaled model matrix per split (scaler fitted on train, as in the reference)."""
     fm = C.feature_matrix(_split(spark, sf_dir), keep=["tx_id", "isFraud", "split", "nameOrig"])
@@ -987,22 +987,22 @@ def d7_stratified_split(spark, sf_dir):
 @register("f1_train_gbt_a")
 def f1_train_gbt_a(spark, sf_dir):
     train, val, test = _model_frames(spark, sf_dir)
-    model = M.train_gbt_a(train, val, rounds=MODEL_ROUNDS)
+    model = M.train_gbt_a(train, val)
     return M.predict_proba(model, test, "p_xgb").select("tx_id", "isFraud", "p_xgb")
 
 
 @register("f2_train_gbt_b")
 def f2_train_gbt_b(spark, sf_dir):
     train, val, test = _model_frames(spark, sf_dir)
-    model = M.train_gbt_b(train, val, rounds=MODEL_ROUNDS)
+    model = M.train_gbt_b(train, val)
     return M.predict_proba(model, test, "p_lgb").select("tx_id", "isFraud", "p_lgb")
 
 
 @register("f3_early_stopping")
 def f3_early_stopping(spark, sf_dir):
     train, val, _t = _model_frames(spark, sf_dir)
-    a = M.train_gbt_a(train, val, rounds=MODEL_ROUNDS)
-    b = M.train_gbt_b(train, val, rounds=MODEL_ROUNDS)
+    a = M.train_gbt_a(train, val)
+    b = M.train_gbt_b(train, val)
     return spark.createDataFrame([("gbt_a", a.getNumTrees), ("gbt_b", b.getNumTrees)], "model string, trees int")
 
 
@@ -1042,14 +1042,24 @@ def f5_fit_stacker(spark, sf_dir):
 @register("f8_feature_importance")
 def f8_feature_importance(spark, sf_dir):
     train, val, _t = _model_frames(spark, sf_dir)
-    return M.feature_importance(spark, M.train_gbt_a(train, val, rounds=MODEL_ROUNDS), name="gbt_a")
+    return M.feature_importance(spark, M.train_gbt_a(train, val), name="gbt_a")
+
+
+def _node_scores(spark, sf_dir):
+    feat = _feat(spark, sf_dir)
+    gf = E.graph_features(feat, pagerank_iterations=PR_ITERS, with_betweenness=False)
+    nf = E.node_features(gf, E.account_aggregates(feat)).drop("x")
+    cols = [c for c in nf.columns if c not in ("account", "is_fraud")]
+    return EP.node_scores(E.edges(feat), nf, cols, "sage", hops=3)
 
 
 @register("f9_fit_ensemble")
 def f9_fit_ensemble(spark, sf_dir):
-    train, val, test = _model_frames(spark, sf_dir)
-    ens = M.fit_ensemble(train.drop("split", "nameOrig"), val.drop("split", "nameOrig"), rounds=MODEL_ROUNDS)
-    scored = ens.score(test)
+    """Both tree models and the stacker on E20's node scores joined by account."""
+    scores = checkpointed(_node_scores(spark, sf_dir).select("account", "gnn_proba"))
+    train, val, test = (E.join_node_scores(d, scores).drop("split", "nameOrig") for d in _model_frames(spark, sf_dir))
+    ens = M.fit_ensemble(train, val, gnn="gnn_proba")
+    scored = ens.score(test, gnn="gnn_proba")
     return G.evaluate(scored.select(F.col("isFraud").alias("label"), F.col("ml_proba").alias("score")), 0.5, "Test")
 
 
@@ -1064,14 +1074,96 @@ def a4_write_read_splits(spark, sf_dir):
     return A.read_table(spark, path, "test").select("tx_id", "step", "isFraud")
 
 
-@register("a7_metrics_report")
+@register("a3_write_read_features", with_(TX, FEAT) + "SELECT tx_id, round(amount_log, 6) AS amount_log, orig_tx_count, orig_unique_dests FROM feat")
+def a3_write_read_features(spark, sf_dir):
+    path = scratch_path(spark, "features")
+    A.write_features(_feat(spark, sf_dir), path)
+    return A.read_table(spark, path).select("tx_id", "amount_log", "orig_tx_count", "orig_unique_dests")
+
+
+@register(
+    "a4_splits_with_scaler",
+    with_(TX, FEAT, SPLIT)
+    + """SELECT split, count(*) AS n, sum(isFraud)::BIGINT AS fraud, (SELECT round(avg(amount), 6) FROM sp WHERE split = 'train') AS train_mean
+FROM sp WHERE split = 'val' GROUP BY split""",
+)
+def a4_splits_with_scaler(spark, sf_dir):
+    """Splits and the scaler fitted on train, written and read back together."""
+    sp = _split(spark, sf_dir)
+    params = D.fit_scaler(C.feature_matrix(sp.where(F.col("split") == "train")))
+    path = scratch_path(spark, "splits-scaler")
+    A.write_splits(sp.select("tx_id", "isFraud", "split"), params, path)
+    rows, scaler = A.read_splits(spark, path, "val")
+    mean = scaler.where(F.col("feature") == "amount").select(F.col("mean").alias("train_mean"))
+    found = rows.groupBy("split").agg(F.count("*").alias("n"), F.sum("isFraud").cast("long").alias("fraud"))
+    one = F.lit(1).alias("_k")
+    return found.select("*", one).join(mean.select("*", one), "_k").drop("_k")
+
+
+@register(
+    "a5_write_read_graph",
+    with_(TX, FEAT, GRAPH)
+    + """SELECT nd.account, coalesce(o.c, 0) AS out_edges, coalesce(o.w, 0) AS out_amount, lb.is_fraud FROM nd JOIN lb USING (account)
+LEFT JOIN (SELECT src AS account, count(*) AS c, sum(amount) AS w FROM ed GROUP BY src) o USING (account)""",
+)
+def a5_write_read_graph(spark, sf_dir):
+    feat, nd, ed = _graph(spark, sf_dir)
+    path = scratch_path(spark, "graph")
+    A.write_graph(nd, ed, E.account_labels(feat, nd), path)
+    nodes, edges, labels = A.read_graph(spark, path)
+    out = edges.groupBy(F.col("src").alias("account")).agg(F.count("*").alias("out_edges"), F.sum("amount").alias("out_amount"))
+    return nodes.select("account").join(labels, "account").join(out, "account", "left").select(
+        "account", F.coalesce("out_edges", F.lit(0)).alias("out_edges"), F.coalesce("out_amount", F.lit(0.0)).alias("out_amount"), "is_fraud"
+    )
+
+
+@register("a6_save_load_ensemble")
+def a6_save_load_ensemble(spark, sf_dir):
+    """Scores of the saved and loaded ensemble beside those before."""
+    train, val, test = (d.drop("split", "nameOrig") for d in _model_frames(spark, sf_dir))
+    ens = M.fit_ensemble(train, val, use_smote=False)
+    path = scratch_path(spark, "ensemble")
+    ens.save(path)
+    before = ens.score(test, output="before").select("tx_id", "before")
+    return before.join(M.Ensemble.load(spark, path).score(test, output="after").select("tx_id", "after"), "tx_id")
+
+
+@register(
+    "a7_metrics_report",
+    with_(TX)
+    + """, s AS (SELECT isFraud AS label, score_stub AS score FROM tx WHERE step > 672),
+c AS (SELECT score, sum(label)::DOUBLE AS pos, sum(1 - label)::DOUBLE AS neg FROM s GROUP BY score),
+k AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM c WINDOW w AS (ORDER BY score DESC)),
+r AS (SELECT sum(pos * tp / (tp + fp)) / sum(pos) AS ap, sum(neg * (2 * tp - pos)) / (2 * sum(pos) * sum(neg)) AS auc FROM k),
+m AS (SELECT sum((score >= 0.5 AND label = 1)::INT)::BIGINT AS tp, sum((score >= 0.5 AND label = 0)::INT)::BIGINT AS fp,
+  sum((score < 0.5 AND label = 1)::INT)::BIGINT AS fn, sum((score < 0.5 AND label = 0)::INT)::BIGINT AS tn FROM s)
+SELECT round(ap, 4) AS auprc, round(auc, 4) AS auc_roc,
+  round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn)::DOUBLE ELSE 0 END, 4) AS f1,
+  round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END, 4) AS "precision", tn, fp, fn, tp,
+  (SELECT round(avg(amount), 6) FROM tx) AS mean_amount FROM r, m""",
+)
 def a7_metrics_report(spark, sf_dir):
+    """The report with an importance map, written as JSON and read back. The map
+    holds a number that SQL can check (a column's mean), not a model's."""
     s = _scored(spark, sf_dir).where(F.col("step") > 672)
-    rep = A.metrics_report(G.evaluate(s, 0.5, "Test"))
+    named = _tx(spark, sf_dir).agg(F.avg("amount").alias("importance")).select(
+        F.lit("xgb").alias("model"), F.lit("amount").alias("feature"), "importance"
+    )
     path = scratch_path(spark, "report")
-    A.write_metrics_report(rep, path)
+    A.write_metrics_report(A.metrics_report(G.evaluate(s, 0.5, "Test"), named), path)
     back = A.read_metrics_report(spark, path)
-    return back.select("metrics.*")
+    return back.select("metrics.*", F.col("feature_importance")["xgb"]["amount"].alias("mean_amount"))
+
+
+@register("a10_requests_from_json", with_(TX) + "SELECT step, type, amount, nameOrig, nameDest FROM tx WHERE step >= 0")
+def a10_requests_from_json(spark, sf_dir):
+    """Request bodies of many transactions each, parsed back into rows."""
+    tx = _tx(spark, sf_dir).select([f.name for f in STREAM_SCHEMA.fields if f.name in TX_COLUMNS])
+    bodies = tx.groupBy(F.pmod(F.xxhash64("nameOrig", "step"), F.lit(64))).agg(
+        F.to_json(F.struct(F.collect_list(F.struct(*tx.columns)).alias("transactions"))).alias("value")
+    )
+    rows = A.validate_rows(A.requests_from_json(spark, bodies))
+    return rows.where("step >= 0").select("step", "type", "amount", "nameOrig", "nameDest")
 
 
 # ------------------------------------------------------------------ I (streaming)
@@ -1083,17 +1175,22 @@ def _stream_src(spark, sf_dir):
     return _tx(spark, sf_dir).select(*TX_COLUMNS, "score_stub")
 
 
-@register("i1_stream_rule_alerts")
+_HISTORY_SQL = QUERIES["h1_history_features"][1]
+_ALERTS_SQL = with_(TX, RULE) + """SELECT tx_id, round(rule_score, 6) AS rule_score, fraud_proba, is_fraud, risk_level, alert_reason FROM al"""
+
+
+@register("i1_stream_rule_alerts", _ALERTS_SQL)
 def i1_stream_rule_alerts(spark, sf_dir):
-    return run_to_table(spark, _stream_src(spark, sf_dir), lambda s: S.stream_rule_alerts(s, "score_stub"))
+    out = run_to_table(spark, _stream_src(spark, sf_dir), lambda s: S.stream_rule_alerts(s, "score_stub"))
+    return out.select("tx_id", "rule_score", "fraud_proba", "is_fraud", "risk_level", "alert_reason")
 
 
-@register("i2_stream_history_features")
+@register("i2_stream_history_features", _HISTORY_SQL)
 def i2_stream_history_features(spark, sf_dir):
     return run_to_table(spark, _stream_src(spark, sf_dir), lambda s: S.stream_history_features(s))
 
 
-@register("i4_stream_alert_stats")
+@register("i4_stream_alert_stats", QUERIES["h9_alert_stats"][1])
 def i4_stream_alert_stats(spark, sf_dir):
     return run_to_table(
         spark, _stream_src(spark, sf_dir),
@@ -1101,19 +1198,39 @@ def i4_stream_alert_stats(spark, sf_dir):
     )
 
 
-@register("i5_stream_window_graph")
+@register(
+    "i5_stream_window_graph",
+    with_(TX)
+    + """, w AS (SELECT unnest(range(step - 24, step + 1))::INT AS window_step, nameOrig AS src, nameDest AS dst, step, tx_id, amount FROM tx),
+e AS (SELECT window_step, src, dst, arg_max(amount, (step, tx_id)) AS amount FROM w GROUP BY ALL),
+b AS (SELECT window_step, src AS account, amount, 1 AS o FROM e UNION ALL SELECT window_step, dst, amount, 0 FROM e)
+SELECT window_step, account, count(*) FILTER (WHERE o = 0) AS in_degree, count(*) FILTER (WHERE o = 1) AS out_degree,
+  coalesce(sum(amount) FILTER (WHERE o = 0), 0)::DOUBLE AS amount_in, coalesce(sum(amount) FILTER (WHERE o = 1), 0)::DOUBLE AS amount_out
+FROM b WHERE account IS NOT NULL GROUP BY ALL""",
+)
 def i5_stream_window_graph(spark, sf_dir):
-    return run_to_table(spark, _stream_src(spark, sf_dir), lambda s: S.stream_window_graph(s))
+    edges = run_to_table(spark, _stream_src(spark, sf_dir), S.stream_window_edges, mode="update", keys=S.WINDOW_KEYS)
+    return S.window_degrees(edges)
 
 
-@register("i6_stream_score")
-def i6_stream_score(spark, sf_dir):
+def _live_models(spark, sf_dir):
     train, val, _test = _model_frames(spark, sf_dir)
-    ens = M.fit_ensemble(train.drop("split", "nameOrig"), val.drop("split", "nameOrig"), rounds=MODEL_ROUNDS,
-                         use_smote=False)
+    ens = M.fit_ensemble(train.drop("split", "nameOrig"), val.drop("split", "nameOrig"), use_smote=False)
     fm = C.feature_matrix(_split(spark, sf_dir), keep=["split"])
-    params = D.fit_scaler(fm.where(F.col("split") == "train"))
     src = _tx(spark, sf_dir).select(*[c for c in TX_COLUMNS if c not in ("isFraud", "isFlaggedFraud")])
+    return src, ens, D.fit_scaler(fm.where(F.col("split") == "train"))
+
+
+@register("h8_score_end_to_end")
+def h8_score_end_to_end(spark, sf_dir):
+    """Live features, scaler, models, blend and alerts as one batch job."""
+    src, ens, params = _live_models(spark, sf_dir)
+    return H.score_end_to_end(src, ens, params)
+
+
+@register("i6_stream_score")
+def i6_stream_score(spark, sf_dir):
+    src, ens, params = _live_models(spark, sf_dir)
     return run_to_table(spark, src, lambda s: S.stream_score(s, ens, params))
 
 

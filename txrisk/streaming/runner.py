@@ -1,35 +1,34 @@
-"""Run a streaming plan over a table replayed as ordered files (tests, queries).
+"""Run a streaming plan over a table replayed in step order (tests, queries).
 
-The table is written in ``chunks`` step-ordered parquet appends under the
-session's shared checkpoint folder; the stream reads one file per trigger,
-runs with ``trigger(availableNow=True)`` and writes its sink (A9) there too.
+The table is staged once, in parallel, partitioned by slices of steps. Slices
+are then appended to the stream's source folder oldest first, and the query
+catches up with each (``trigger(availableNow=True)``) from its checkpoint. All
+folders lie under the session's shared checkpoint folder.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txrisk.session import scratch_path
+from txrisk.streaming.stream import read_stream
 
 
-def replay_as_files(df: DataFrame, chunks: int = 8) -> str:
-    """Write ``df`` as ``chunks`` files in (step, tx_id) order, oldest first."""
-    spark = df.sparkSession
-    path = scratch_path(spark, "stream-src")
-    bounds = df.agg(F.min("step"), F.max("step")).first()
-    lo, hi = bounds[0], bounds[1]
-    if lo is None:
-        df.limit(0).write.parquet(path)
-        return path
-    width = max(1, -(-(hi - lo + 1) // chunks))
-    for i in range(chunks):
-        a, b = lo + i * width, lo + (i + 1) * width
-        part = df.where((F.col("step") >= a) & (F.col("step") < b))
-        part.coalesce(1).sortWithinPartitions("step", "tx_id").write.mode("append").parquet(path)
-    return path
+def slices(df: DataFrame, chunks: int = 8) -> Iterator[DataFrame]:
+    """``df`` in ``chunks`` slices of steps, oldest first; one pass over ``df``."""
+    low, high = df.agg(F.min("step"), F.max("step")).first()
+    if low is None:
+        yield df.limit(0)
+        return
+    width = max(1, -(-(high - low + 1) // chunks))
+    staged = scratch_path(df.sparkSession, "stream-staged")
+    df.withColumn("_slice", F.floor((F.col("step") - low) / width).cast("int")).write.partitionBy("_slice").parquet(staged)
+    rows = df.sparkSession.read.parquet(staged)
+    for i in range(-(-(high - low + 1) // width)):
+        yield rows.where(F.col("_slice") == i).select(df.columns)
 
 
 def run_to_table(
@@ -38,22 +37,31 @@ def run_to_table(
     build: Callable[[DataFrame], DataFrame],
     mode: str = "append",
     chunks: int = 8,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Replay ``source`` as a stream through ``build`` and return the sink table.
 
     ``append``: parquet file sink (exactly-once with the checkpoint);
-    ``complete``: ``foreachBatch`` overwriting the sink with each new result."""
-    src = replay_as_files(source, chunks)
-    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    out = build(stream)
-    sink = scratch_path(spark, "stream-sink")
-    ckpt = scratch_path(spark, "stream-ckpt")
-    w = out.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
-    if mode == "append":
-        q = w.outputMode("append").format("parquet").option("path", sink).start()
-    else:
-        q = w.outputMode(mode).foreachBatch(lambda b, _id: b.write.mode("overwrite").parquet(sink)).start()
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
-    return spark.read.parquet(sink)
+    ``complete``: ``foreachBatch`` overwriting the sink with each new result;
+    ``update``: each batch's changed rows are kept with the batch's number, and
+    the table holds the latest row of each of ``keys``, open windows included."""
+    src, sink, checkpoint = (scratch_path(spark, f"stream-{n}") for n in ("src", "sink", "ckpt"))
+    for part in slices(source, chunks):
+        part.write.mode("append").parquet(src)
+        out = build(read_stream(spark, src, source.schema))
+        writer = out.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode(mode)
+        if mode == "append":
+            writer = writer.format("parquet").option("path", sink)
+        elif mode == "complete":
+            writer = writer.foreachBatch(lambda b, _id: b.write.mode("overwrite").parquet(sink))
+        else:
+            writer = writer.foreachBatch(
+                lambda b, n: b.withColumn("_batch", F.lit(n)).write.mode("append").parquet(sink)
+            )
+        writer.start().awaitTermination()
+    table = spark.read.parquet(sink)
+    if mode != "update":
+        return table
+    values = [c for c in table.columns if c not in (*keys, "_batch")]
+    latest = table.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("_v"))
+    return latest.select(*keys, "_v.*")
