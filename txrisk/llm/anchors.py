@@ -14,6 +14,7 @@ _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CHUNK = 1 << 22
+_ROWS = 1 << 14
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -24,38 +25,54 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(symbols: np.ndarray, k: int) -> np.ndarray:
-    """64-bit hash of each run of k symbols (uint64 each); len - k + 1 of them."""
+    """64-bit hash of each run of k symbols (uint64 each); len - k + 1 of them.
+    Runs of 1, 2, 4, ... symbols are joined by multiply-and-add."""
     n = len(symbols) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    power, size, level, out, have = symbols, 1, 0, None, 0
-    rest = k
+    power, size, level, out, have, rest = symbols, 1, 0, None, 0, k
     while rest:
         if rest & size:
             part = power[have : have + n]
-            out = part.copy() if out is None else _mix(out * _STEP[level + 32] + part)
+            if out is None:
+                out = part.copy()
+            else:
+                out *= _STEP[level + 32]
+                out += part
             have += size
             rest -= size
         if rest:
-            power = _mix(power[:-size] * _STEP[level] + power[size:])
+            longer = power[:-size] * _STEP[level]
+            longer += power[size:]
+            power = longer
             size *= 2
             level += 1
-    return out
+    return _mix(out)
 
 
-def owners(hashes: np.ndarray, width: int) -> np.ndarray:
-    """For each run of ``width`` hashes the place of its smallest, leftmost on ties."""
+def owners(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, last window, place) of each anchor: the runs of windows of
+    ``width`` hashes that share their smallest, leftmost on ties."""
     n = len(hashes) - width + 1
     if n <= 0:
-        return np.empty(0, np.int64)
-    low, at, size = hashes, np.arange(len(hashes), dtype=np.int32), 1
-    while True:
+        none = np.empty(0, np.int64)
+        return none, none, none
+    low, size = hashes, 1
+    while size < width:
         shift = min(size, width - size)
-        if not shift:
-            return at[:n].astype(np.int64)
-        left = low[:-shift] <= low[shift:]
-        low, at = np.where(left, low[:-shift], low[shift:]), np.where(left, at[:-shift], at[shift:])
+        low = np.minimum(low[:-shift], low[shift:])
         size += shift
+    # the owner changes where the minimum does, or where a window starts at its own minimum
+    leaves = hashes[:n] == low
+    first = np.concatenate(([0], np.flatnonzero((low[1:] != low[:-1]) | leaves[:-1]) + 1))
+    last = np.concatenate((first[1:] - 1, [n - 1]))
+    place = last.copy()
+    for at in range(0, len(first), _ROWS):
+        some = np.arange(at, min(at + _ROWS, len(first)))
+        some = some[~leaves[last[some]]]
+        seen = hashes[last[some][:, None] + np.arange(width)] == low[last[some]][:, None]
+        place[some] = last[some] + seen.argmax(axis=1)
+    return first, last, place
 
 
 def byte_symbols(data: bytes) -> np.ndarray:

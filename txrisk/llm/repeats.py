@@ -26,7 +26,7 @@ from txrisk.llm._common import materialise
 from txrisk.llm.anchors import gram_hashes, owners
 
 #: Classes that one block is meant to hold.
-BLOCK_CLASSES = 8_000
+BLOCK_CLASSES = 1_500
 #: An anchor of more classes than this is compared window by window in Spark.
 CROWDED_CLASSES = 200_000
 
@@ -76,13 +76,8 @@ def anchors_of(symbols: np.ndarray, length: int, gram: int) -> tuple[np.ndarray,
     """(hash, first window, last window, place) of each anchor, or None if the
     sequence is shorter than a window."""
     hashes = gram_hashes(symbols, gram)
-    own = owners(hashes, length - gram + 1)
-    if not len(own):
-        return None
-    cuts = np.flatnonzero(np.diff(own)) + 1
-    first, last = np.concatenate(([0], cuts)), np.concatenate((cuts - 1, [len(own) - 1]))
-    at = own[first]
-    return hashes[at], first, last, at
+    first, last, at = owners(hashes, length - gram + 1)
+    return (hashes[at], first, last, at) if len(first) else None
 
 
 def _context_rows(unit: Unit) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -111,11 +106,6 @@ def _context_rows(unit: Unit) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.
     return emit
 
 
-def release(spark) -> None:
-    """Let the driver's cleaner drop shuffle files that no frame refers to any more."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated_spans(docs: DataFrame, unit: Unit, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(texts, spans).
 
@@ -124,7 +114,6 @@ def repeated_spans(docs: DataFrame, unit: Unit, id_col: str, text_col: str) -> t
     end exclusive, of windows that also start earlier in the order of (doc, key,
     start); null ids come first. Spans overlap.
     """
-    spark = docs.sparkSession
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("doc"), data.alias("data")).withColumn("key", F.xxhash64("data"))
     id_type = dict(rows.dtypes)["doc"]
@@ -138,16 +127,12 @@ def repeated_spans(docs: DataFrame, unit: Unit, id_col: str, text_col: str) -> t
     live = placed.withColumn("shared", shared).where("shared").select("key", "anchor", "place")
     lists = live.groupBy("key").agg(F.collect_set(F.struct("place", "anchor")).alias("a"))
     lists = materialise(lists.select("key", F.col("a.place").alias("places"), F.col("a.anchor").alias("hashes")), "anchors")
-    del placed, live
-    release(spark)
 
     wanted = lists.join(texts.select("key", F.col("doc").alias("rep")), "key")
     chosen = rows.join(wanted, (rows["key"] == wanted["key"]) & rows["doc"].eqNullSafe(wanted["rep"]))
     chosen = chosen.select("doc", rows["key"], "data", "places", "hashes")
     schema = f"anchor long, class long, doc {id_type}, key long, start long, windows int, context binary"
     seen = materialise(chosen.mapInPandas(_context_rows(unit), schema), "contexts")
-    del chosen
-    release(spark)
 
     classes = seen.groupBy("anchor", "class").agg(
         F.min(F.struct("doc", "key", "start")).alias("first"),
@@ -155,7 +140,6 @@ def repeated_spans(docs: DataFrame, unit: Unit, id_col: str, text_col: str) -> t
         F.max("context").alias("context"),
     )
     classes = materialise(classes, "classes")
-    release(spark)
     again = seen.drop("context", "windows").withColumn("at", F.struct("doc", "key", "start"))
     again = again.join(classes.select("anchor", "class", "first", "windows"), ["anchor", "class"])
     again = again.where(~F.col("at").eqNullSafe(F.col("first")))
@@ -236,7 +220,6 @@ def without_repeats(
     rows = docs.select(F.col(id_col).alias("doc"), data.alias("data"), F.coalesce(text_col, F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("data"))
     joined = materialise(merged(spans), "spans")
-    release(docs.sparkSession)
 
     @F.pandas_udf("binary")
     def remove(datas: pd.Series, lists: pd.Series) -> pd.Series:

@@ -18,26 +18,30 @@ from txrisk.llm.repeats import Unit, without_repeats
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling, from 7 bytes a key on."""
+    """Suffix array by ranks of growing prefixes: 7 bytes to begin with, then
+    three ranks side by side in one key (two, for a text too long for that)."""
     n = len(text)
     padded = np.concatenate([text.astype(np.uint64) + 1, np.zeros(8, np.uint64)])
     key = np.zeros(n, np.uint64)
     for i in range(7):
         key = key * np.uint64(257) + padded[i : i + n]
     rank, step = _ranks(key), 7
+    bits = int(n).bit_length()
+    parts = 3 if 3 * bits <= 63 else 2
     while n and rank.max() < n - 1:
-        later = np.zeros(n, np.int64)
-        if step < n:
-            later[:-step] = rank[step:] + 1
-        rank = _ranks(rank * (n + 1) + later)
-        step *= 2
+        later = np.concatenate([rank + 1, np.zeros(2 * step, np.int64)])  # 0: past the end
+        key = later[:n]
+        for i in range(1, parts):
+            key = (key << bits) | later[i * step : i * step + n]
+        rank = _ranks(key)
+        step *= parts
     order = np.empty(n, np.int64)
     order[rank] = np.arange(n)
     return order
 
 
 def _ranks(key: np.ndarray) -> np.ndarray:
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     ordered = key[order]
     rank = np.empty(len(key), np.int64)
     rank[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1]))) if len(key) else order
