@@ -42,7 +42,7 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | None], ro
         names = cells.groupBy(dim).agg(F.sum("tokens").alias("__n")).where("__n > 0")
         names = names.select(dim, _target(dim, shares).alias("__t"))
         total = names.agg(F.sum("__t")).first()[0]
-        names = names.select(dim, (F.col("__t") / F.lit(total)).alias(f"__to_{dim}"))
+        names = names.select(dim, (F.col("__t") / F.lit(total or 1.0)).alias(f"__to_{dim}"))
         cells = cells.join(names, dim, "left")
     whole = cells.agg(F.sum("tokens").cast("double")).first()[0]
     fitted = materialise(cells.withColumn("weight", F.col("tokens") / F.lit(whole)), "cells")
@@ -86,23 +86,25 @@ def mix(
     table gives no rows.
     """
     dims = list(targets)
-    topic = F.lit("all") if topic is None else topic
-    made = {"n_tokens", "weight", "probability", "draw", "sampled"}
-    base = docs.drop(*[c for c in docs.columns if c in made]).withColumn("topic", topic)
-    base = base.withColumn("n_tokens", F.size(words(F.col(text_col))).cast("long"))
-    keys = [F.coalesce(F.col(d), F.lit(MISSING)).alias(f"__{d}") for d in dims]
-    cells = base.select(*keys, "n_tokens").groupBy(*[f"__{d}" for d in dims]).agg(F.sum("n_tokens").alias("tokens"))
-    raked = rake(cells, {f"__{d}": targets[d] for d in dims}, rounds)
-    whole = raked.agg(F.sum("tokens").cast("double")).first()[0]
-    odds = raked.select(
-        *[F.col(f"__{d}").alias(f"__at_{d}") for d in dims],
-        F.round(F.when(F.col("tokens") > 0, F.col("weight") * F.lit(whole) / F.col("tokens")).otherwise(0.0), 6).alias("weight"),
+    made = {"topic", "n_tokens", "weight", "probability", "draw", "sampled"}
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in made]
+    keys = [f"k{i}" for i in range(len(dims))]
+    base = docs.select(
+        F.struct(*own).alias("doc"),
+        (F.lit("all") if topic is None else topic).alias("topic"),
+        F.size(words(F.col(text_col))).cast("long").alias("n_tokens"),
+        F.col(id_col).alias("id"),
     )
-    for d in dims:
-        base = base.withColumn(f"__{d}", F.coalesce(F.col(d), F.lit(MISSING)))
-    joined = base.join(odds, [base[f"__{d}"] == odds[f"__at_{d}"] for d in dims], "left")
-    joined = joined.withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    of = {d: F.col("topic") if d == "topic" else F.col("doc")[d] for d in dims}
+    base = base.withColumns({k: F.coalesce(of[d].cast("string"), F.lit(MISSING)) for k, d in zip(keys, dims)})
+    cells = base.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens"))
+    raked = rake(cells, {k: targets[d] for k, d in zip(keys, dims)}, rounds)
+    whole = raked.agg(F.sum("tokens").cast("double")).first()[0]
+    per_token = F.when(F.col("tokens") > 0, F.col("weight") * F.lit(whole) / F.col("tokens")).otherwise(0.0)
+    odds = raked.select(*keys, F.round(per_token, 6).alias("weight"))
+    joined = base.join(odds, keys, "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     joined = joined.withColumn("probability", F.least(F.lit(1.0), F.round(F.lit(share) * F.col("weight"), 6)))
-    joined = joined.withColumn("draw", uniform_draw(F.col(id_col), seed))
-    joined = joined.withColumn("sampled", F.col("draw") < F.col("probability"))
-    return joined.drop(*[f"__{d}" for d in dims], *[f"__at_{d}" for d in dims])
+    joined = joined.withColumn("draw", uniform_draw(F.col("id"), seed))
+    return joined.select(
+        "doc.*", "topic", "n_tokens", "weight", "probability", "draw", (F.col("draw") < F.col("probability")).alias("sampled")
+    )

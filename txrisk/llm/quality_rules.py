@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.llm._common import WORD, let, materialise, words
+from txrisk.llm._common import WORD, let, materialise, unused, words
 
 SYMBOLS = "[#*$%&|<>]"
 #: Marks that shouted text repeats; counted beside SYMBOLS.
@@ -78,8 +78,10 @@ def _repeat_words(ws: Column) -> Column:
 
 
 def base_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` plus the columns BASE, shouts and capitals (long). Null text
-    counts as empty: all zero."""
+    """``docs`` plus the columns BASE, shouts and capitals (long), which replace
+    columns of these names. Null text counts as empty: all zero."""
+    docs = docs.drop(*[c for c in docs.columns if c in (*BASE, "shouts", "capitals")])
+    of_text, of_lines = unused(docs, "of_text"), unused(docs, "of_lines")
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD))
 
@@ -90,16 +92,16 @@ def base_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
             _repeat_words(ws).cast("long").alias("n_repeat_words"),
         )
 
-    stats = docs.withColumn("__w", let(words(F.col(text_col)), of_words)).withColumn(
-        "__dup", let(lines, lambda a: (F.size(a) - F.size(F.array_distinct(a))).cast("long"))
+    stats = docs.withColumn(of_text, let(words(F.col(text_col)), of_words)).withColumn(
+        of_lines, let(lines, lambda a: (F.size(a) - F.size(F.array_distinct(a))).cast("long"))
     )
     return stats.select(
         *[F.col(f"`{c}`") for c in docs.columns],
-        F.col("__w.n_words").alias("n_words"),
-        F.col("__w.word_chars").alias("word_chars"),
+        F.col(of_text)["n_words"].alias("n_words"),
+        F.col(of_text)["word_chars"].alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        F.col("__dup").alias("n_dup_lines"),
-        F.col("__w.n_repeat_words").alias("n_repeat_words"),
+        F.col(of_lines).alias("n_dup_lines"),
+        F.col(of_text)["n_repeat_words"].alias("n_repeat_words"),
         F.regexp_count(text, F.lit(SHOUTS)).cast("long").alias("shouts"),
         F.regexp_count(text, F.lit(CAPITALS)).cast("long").alias("capitals"),
     )

@@ -127,6 +127,22 @@ def link_parts(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     return seen.where(linked).groupBy("__key").agg(F.sort_array(F.collect_list("w")).alias("__linked"))
 
 
+def _scan(docs: DataFrame, text_col: str, scope: int, keep_text: bool) -> DataFrame:
+    """(doc, spans): each row's columns as a struct (with the text if asked
+    for) and its spans."""
+    cols = [c for c in docs.columns if keep_text or c != text_col] or docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("doc"), F.col(text_col).alias("text"))
+    found = find_parts(rows).select("doc", "__key", "__strong", "__weak")
+    if not keep_text:
+        found = materialise(found, "parts")
+    # rows without weak candidates have nothing to look up; they are spread out
+    lookup = F.when(F.size("__weak") > 0, F.col("__key")).otherwise(F.concat(F.lit("-"), F.xxhash64("doc").cast("string")))
+    linked = link_parts(found, scope).withColumnRenamed("__key", "__of")
+    joined = found.withColumn("__lookup", lookup).join(linked, F.col("__lookup") == F.col("__of"), "left")
+    none = F.array().cast(f"array<{SPAN}>")
+    return joined.select("doc", F.sort_array(F.concat("__strong", F.coalesce("__linked", none))).alias("spans"))
+
+
 def scan_secrets(docs: DataFrame, text_col: str = "text", scope: int = SCOPE, keep_text: bool = False) -> DataFrame:
     """``docs`` (without its text unless ``keep_text``) plus ``secrets``:
     array<SPAN> ordered by start, then kind.
@@ -134,15 +150,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", scope: int = SCOPE, ke
     Null and empty texts have no spans; repeated rows keep a row each; a column
     named ``secrets`` is replaced; an empty table gives no rows.
     """
-    cols = [c for c in docs.columns if c != "secrets" and (keep_text or c != text_col)]
-    found = find_parts(docs.drop("secrets"), text_col)
-    found = found.select(*[F.col(f"`{c}`") for c in cols], "__key", "__strong", "__weak")
-    if not keep_text:
-        found = materialise(found, "parts")
-    spans = found.join(link_parts(found, scope), "__key", "left")
-    none = F.array().cast(f"array<{SPAN}>")
-    secrets = F.sort_array(F.concat("__strong", F.coalesce("__linked", none)))
-    return spans.select(*[F.col(f"`{c}`") for c in cols], secrets.alias("secrets"))
+    return _scan(docs.drop("secrets"), text_col, scope, keep_text).select("doc.*", F.col("spans").alias("secrets"))
 
 
 def spans_text(spans: Column) -> Column:
@@ -153,8 +161,7 @@ def spans_text(spans: Column) -> Column:
 def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """``docs`` with every found span replaced by ``mark`` (overlapping spans by
     one mark); columns as they were. Null texts stay null."""
-    scanned = scan_secrets(docs, text_col, scope, keep_text=True)
-    text = F.col(text_col)
+    text = F.col("text")
 
     def cover(acc: Column, s: Column) -> Column:
         gap = F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
@@ -163,5 +170,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text", scop
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1))
-    clean = F.when(F.size("secrets") > 0, F.aggregate("secrets", start, cover, rest)).otherwise(text)
-    return scanned.withColumn(text_col, clean).select(*[F.col(f"`{c}`") for c in docs.columns])
+    clean = F.when(F.size("spans") > 0, F.aggregate("spans", start, cover, rest)).otherwise(text)
+    scanned = _scan(docs, text_col, scope, keep_text=True).withColumn("text", F.col("doc")[text_col])
+    return scanned.select(
+        *[clean.alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns]
+    )

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from txrisk.llm._common import materialise
+from txrisk.llm._common import materialise, unused
 from txrisk.llm.components import connected_components
 
 #: Variants that one task is meant to sort.
@@ -91,7 +91,8 @@ def close_links(prints: DataFrame, max_distance: int = 4) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that connect all
     pairs of at most ``max_distance`` differing bits: a spanning forest of each
     prefix's collisions rather than every pair, so a group of n near copies
-    gives O(n) rows. Each link is verified bit by bit."""
+    gives O(n) rows. Colliding pairs are verified bit by bit before the forest
+    is taken; a forest's link leads to the smallest member of its prefix."""
     wide, near = -(-max_distance // 2), max_distance // 2
     total = max(prints.count(), 1)
     ball = _ball(64, wide)
@@ -193,6 +194,7 @@ def drop_near_duplicates(
     classes = near_duplicates(named, id_col, text_col, shingle, max_distance)
     keep = classes.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     order = Window.partitionBy(id_col).orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != id_col])
-    kept = named.join(keep, id_col, "left_semi").withColumn("__nth", F.row_number().over(order))
-    kept = kept.where("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    nth = unused(docs, "nth")
+    kept = named.join(keep, id_col, "left_semi").withColumn(nth, F.row_number().over(order))
+    kept = kept.where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
     return kept.unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))

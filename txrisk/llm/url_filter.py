@@ -100,16 +100,16 @@ def judge_urls(
     made = ("host", "path", "rule", "n_strict", "n_soft", "verdict")
     kept = [F.col(f"`{c}`") for c in pages.columns if c not in made]
     host, path = split_url(F.col(url_col))
-    split = pages.select(*kept, F.col(url_col).alias("__url"), host.alias("host"), path.alias("path"))
-    split = split.withColumn("__rule", matching_rule(F.col("host"), F.col("path"), rules))
-    split = split.withColumn("__terms", terms("__url"))
-    bad = (F.col("__terms.n_strict") > 0) | (F.col("__terms.n_soft") >= min_soft)
+    page = F.struct(*kept) if kept else F.struct(F.lit(0))
+    split = pages.select(page.alias("page"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"))
+    split = split.withColumn("found", matching_rule(F.col("host"), F.col("path"), rules)).withColumn("terms", terms("url"))
+    bad = (F.col("terms.n_strict") > 0) | (F.col("terms.n_soft") >= min_soft)
     return split.select(
-        *kept,
+        *(["page.*"] if kept else []),
         "host",
         "path",
-        F.col("__rule.rule").alias("rule"),
-        F.col("__terms.n_strict").alias("n_strict"),
-        F.col("__terms.n_soft").alias("n_soft"),
-        F.coalesce(F.col("__rule.action"), F.when(bad, "block").otherwise("allow")).alias("verdict"),
+        F.col("found.rule").alias("rule"),
+        F.col("terms.n_strict").alias("n_strict"),
+        F.col("terms.n_soft").alias("n_soft"),
+        F.coalesce(F.col("found.action"), F.when(bad, "block").otherwise("allow")).alias("verdict"),
     )
