@@ -46,10 +46,29 @@ class Unit:
     solve: Callable[[list[bytes], int], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
+#: Anchors that a task gathers before it sends them.
+_GATHER = 200_000
+
+
 def _anchor_rows(unit: Unit) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows (route, anchor, key, place, known). Anchors that a task meets twice
+    are known to be shared: it sends their rows by another route, spread out,
+    and one row without a place that speaks for all of them. An anchor has one
+    row a gathering at most, however often it occurs."""
+
+    def send(parts: list[tuple]) -> pd.DataFrame:
+        anchor, key, place = (np.concatenate(c) for c in zip(*parts))
+        _, number, count = np.unique(anchor, return_inverse=True, return_counts=True)
+        known = count[number] > 1
+        spread = (key * np.int64(-7046029254386353131)) ^ (place * np.int64(0x2545F4914F6CDD1D))
+        rows = pd.DataFrame({"route": np.where(known, spread, anchor), "anchor": anchor, "key": key, "place": place, "known": known})
+        spoken = np.unique(anchor[known])
+        notes = pd.DataFrame({"route": spoken, "anchor": spoken, "key": 0, "place": -1, "known": False})
+        return pd.concat([rows, notes], ignore_index=True)
+
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, size = [], 0
         for frame in frames:
-            parts, size = [], 0
             for key, data in zip(frame["key"].to_numpy(np.int64), frame["data"].array):
                 found = anchors_of(unit.symbols(data), unit.length, unit.gram)
                 if found is None:
@@ -58,20 +77,15 @@ def _anchor_rows(unit: Unit) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
                 packed = (first << 16) | ((last - first) << 8) | (at - first)
                 parts.append((hashes.view(np.int64), np.full(len(first), key), packed))
                 size += len(first)
-                if size > 500_000:
-                    yield _stack(parts)
+                if size > _GATHER:
+                    yield send(parts)
                     parts, size = [], 0
-            if parts:
-                yield _stack(parts)
+        if parts:
+            yield send(parts)
 
     return emit
 
 
-def _stack(parts: list[tuple]) -> pd.DataFrame:
-    anchor, key, place = (np.concatenate(c) for c in zip(*parts))
-    return pd.DataFrame({"anchor": anchor, "key": key, "place": place})
-
-
 def anchors_of(symbols: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...] | None:
     """(hash, first window, last window, place) of each anchor, or None if the
     sequence is shorter than a window."""
@@ -122,9 +136,10 @@ def repeated_spans(docs: DataFrame, unit: Unit, id_col: str, text_col: str) -> t
     # min() passes over null, and null ids come first
     texts = materialise(listed.groupBy("sha", "key").agg(F.min(F.struct("doc"))["doc"].alias("doc")), "texts")
 
-    placed = rows.select("key", "data").mapInPandas(_anchor_rows(unit), "anchor long, key long, place long")
-    shared = F.count("*").over(Window.partitionBy("anchor")) > 1
-    live = placed.withColumn("shared", shared).where("shared").select("key", "anchor", "place")
+    schema = "route long, anchor long, key long, place long, known boolean"
+    placed = rows.select("key", "data").mapInPandas(_anchor_rows(unit), schema)
+    shared = F.col("known") | (F.count("*").over(Window.partitionBy("route")) > 1)
+    live = placed.withColumn("shared", shared).where("shared and place >= 0").select("key", "anchor", "place")
     lists = live.groupBy("key").agg(F.collect_set(F.struct("place", "anchor")).alias("a"))
     lists = materialise(lists.select("key", F.col("a.place").alias("places"), F.col("a.anchor").alias("hashes")), "anchors")
 
