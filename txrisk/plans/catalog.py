@@ -668,7 +668,7 @@ def alerts_by_type_level(alerts: DataFrame) -> DataFrame:
 from txrisk.operators import centrality as EC  # noqa: E402
 from txrisk.operators import graph as E  # noqa: E402
 from txrisk.operators import propagate as EP  # noqa: E402
-from txrisk.plans.sqlparts import GRAPH, pagerank_sql  # noqa: E402
+from txrisk.plans.sqlparts import GRAPH, betweenness_sql, pagerank_sql  # noqa: E402
 
 PR_ITERS = 30  # fixed-iteration mode for the oracle comparison
 
@@ -750,7 +750,15 @@ def e11_graph_features(spark, sf_dir):
     return E.graph_features(_feat(spark, sf_dir), pagerank_iterations=PR_ITERS, with_betweenness=False)
 
 
-@register("e7_betweenness")
+BETWEENNESS_HOPS = 20  # rounds of the unrolled SQL; paths of the fixture are shorter
+
+
+@register(
+    "e7_betweenness",
+    with_(TX, FEAT, GRAPH, betweenness_sql(BETWEENNESS_HOPS))
+    + """SELECT nd.account, round(coalesce(bt.b, 0) / ((n - 1) * (n - 2)), 6) AS betweenness
+FROM nd LEFT JOIN bt USING (account), (SELECT CAST(count(*) AS DOUBLE) AS n FROM nd)""",
+)
 def e7_betweenness(spark, sf_dir):
     _f, nd, ed = _graph(spark, sf_dir)
     return EC.betweenness(ed, nd)

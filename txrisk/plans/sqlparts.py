@@ -118,3 +118,35 @@ p0 AS MATERIALIZED (SELECT account, dangling, 1 / N AS x FROM fl, nn)"""
   (SELECT coalesce(sum(x), 0) AS ds FROM p{i - 1} WHERE dangling) d, nn)"""
         )
     return ",\n".join(parts)
+
+
+def betweenness_sql(hops: int) -> str:
+    """``bt`` (account, b): exact betweenness as a sum over pairs through each
+    node. Distances and path counts take ``hops`` unrolled rounds, enough for
+    shortest paths of that many edges."""
+    parts = [
+        """wt AS (SELECT src, dst, greatest(CAST(round(amount * 100) AS BIGINT), 1) AS w FROM ed),
+d0 AS (SELECT account AS s, account AS v, CAST(0 AS BIGINT) AS d FROM nd)"""
+    ]
+    for i in range(1, hops + 1):
+        parts.append(
+            f"""d{i} AS MATERIALIZED (SELECT s, v, min(d) AS d FROM (SELECT * FROM d{i - 1}
+  UNION ALL SELECT p.s, wt.dst, p.d + wt.w FROM d{i - 1} p JOIN wt ON wt.src = p.v) GROUP BY s, v)"""
+        )
+    parts.append(
+        f"""dg1 AS MATERIALIZED (SELECT a.s, wt.src AS u, wt.dst AS v FROM d{hops} a JOIN wt ON wt.src = a.v
+  JOIN d{hops} b ON b.s = a.s AND b.v = wt.dst WHERE a.d + wt.w = b.d),
+g0 AS (SELECT s, v, CASE WHEN s = v THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS g FROM d{hops})"""
+    )
+    for i in range(1, hops + 1):
+        parts.append(
+            f"""g{i} AS MATERIALIZED (SELECT g0.s, g0.v, g0.g + coalesce(m.g, 0) AS g FROM g0
+  LEFT JOIN (SELECT e.s, e.v, sum(p.g) AS g FROM dg1 e JOIN g{i - 1} p ON p.s = e.s AND p.v = e.u GROUP BY e.s, e.v) m
+  ON m.s = g0.s AND m.v = g0.v)"""
+        )
+    parts.append(
+        f"""sp1 AS MATERIALIZED (SELECT d.s, d.v, d.d, g.g FROM d{hops} d JOIN g{hops} g ON g.s = d.s AND g.v = d.v),
+bt AS (SELECT a.v AS account, sum(a.g * b.g / t.g) AS b FROM sp1 a JOIN sp1 b ON b.s = a.v JOIN sp1 t ON t.s = a.s AND t.v = b.v
+  WHERE a.s <> a.v AND b.v <> a.v AND a.s <> b.v AND a.d + b.d = t.d GROUP BY a.v)"""
+    )
+    return ",\n".join(parts)
