@@ -158,3 +158,18 @@ def test_batch_scoring_equals_stream_scoring(spark):
     streamed = run_to_table(spark, raw, lambda s: S.stream_score(s, ens, params), chunks=2)
     cols = ["tx_id", "fraud_proba", "is_fraud", "risk_level", "alert_reason"]
     assert sorted(map(tuple, batch.select(cols).collect())) == sorted(map(tuple, streamed.select(cols).collect()))
+
+
+def test_history_of_one_crowded_step(spark, monkeypatch):
+    """Nine in ten rows share an origin and a step; ranges of ids split them."""
+    monkeypatch.setattr(H, "RANGE_IDS", 7)
+    rnd = random.Random(8)
+    rows = sorted(
+        ((50 if rnd.random() < 0.9 else rnd.randint(1, 100), rnd.choice(["a", "b", "c", "d", None]), float(rnd.randint(1, 9))) for _ in range(300)),
+        key=lambda r: r[0],
+    )
+    tx = spark.createDataFrame(
+        [(i, s, "hot", d, a) for i, (s, d, a) in enumerate(rows)], "tx_id long, step int, nameOrig string, nameDest string, amount double"
+    )
+    got = [tuple(r)[1:] for r in H.history_features(tx).orderBy("tx_id").collect()]
+    assert got == _plain_history(rows, 24)

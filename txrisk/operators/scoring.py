@@ -2,7 +2,7 @@
 
 History features (H1) work on (origin, step) totals and (origin, destination,
 step) occurrences, so no window holds more than one origin's distinct steps or
-one step of its rows.
+a range of ids of one of its steps.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from txrisk.sources.schema import FEATURE_COLS
 
 # --- fixed values: scoring defaults ---
 HISTORY_WINDOW = 24
+RANGE_IDS = 100_000  # ids of one (origin, step) that a window takes together
 ALERT_THRESHOLD = 0.70
 RECENT_ALERTS = 20
 ACCOUNT_DISPLAY_CHARS = 12
@@ -129,8 +130,8 @@ def history_features(tx: DataFrame, window: int = HISTORY_WINDOW, keep: list[str
     the history is empty; orig_unique_dests). Rows come with their ``keep``
     columns (default tx_id), so nothing is joined back to the source.
 
-    No window holds more than one origin's *distinct steps* (or one origin's
-    rows of a single step), and no per-row set is built:
+    No window holds more than one origin's *distinct steps*, or the rows of one
+    of its steps with ids of one range, and no per-row set is built:
 
     * previous-step count / sum: per (origin, step) totals, then a RANGE
       frame over that origin's steps;
@@ -175,15 +176,33 @@ def history_features(tx: DataFrame, window: int = HISTORY_WINDOW, keep: list[str
                          F.lit(None).cast("double").alias("amount"))
     rows = source.select(o, s, F.col("tx_id").alias("_t"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_inc"),
                        F.lit(1).alias("_row"), F.col("amount").alias("_amt"), "_x", "amount")
-    w_same = Window.partitionBy("nameOrig", "step").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, -1)
-    same = firsts.unionByName(rows).select(
-        "nameOrig", "step", "_x", "amount", "_kind",
+    # inside (origin, step): running sums within a range of ids, plus the ranges before
+    both = firsts.unionByName(rows).withColumn("_r", F.floor(F.col("_t") / RANGE_IDS))
+    amount = F.when(F.col("_row") == 1, F.col("_amt"))
+    w_same = Window.partitionBy("nameOrig", "step", "_r").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, -1)
+    same = both.select(
+        "nameOrig", "step", "_r", "_x", "amount", "_kind",
         F.coalesce(F.sum("_inc").over(w_same), F.lit(0)).alias("_ds"),
         F.coalesce(F.sum("_row").over(w_same), F.lit(0)).alias("_ns"),
-        F.sum(F.when(F.col("_row") == 1, F.col("_amt"))).over(w_same).alias("_ss"),
+        F.sum(amount).over(w_same).alias("_ss"),
     ).where(F.col("_kind") == 0)
-    steps = prev.join(covered, ["nameOrig", "step"], "left")
-    j = same.join(steps, ["nameOrig", "step"], "left")
+    w_before = Window.partitionBy("nameOrig", "step").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = both.groupBy("nameOrig", "step", "_r").agg(
+        F.sum("_inc").alias("_i"), F.sum("_row").alias("_n"), F.sum(amount).alias("_s")
+    ).select(
+        "nameOrig", "step", "_r",
+        F.coalesce(F.sum("_i").over(w_before), F.lit(0)).alias("_bd"),
+        F.coalesce(F.sum("_n").over(w_before), F.lit(0)).alias("_bn"),
+        F.sum("_s").over(w_before).alias("_bs"),
+    )
+    before = ranges.join(prev, ["nameOrig", "step"], "left").join(covered, ["nameOrig", "step"], "left")
+    j = same.join(before, ["nameOrig", "step", "_r"], "left").withColumns(
+        {
+            "_ns": F.col("_ns") + F.coalesce("_bn", F.lit(0)),
+            "_ds": F.col("_ds") + F.coalesce("_bd", F.lit(0)),
+            "_ss": F.coalesce("_ss", F.lit(0.0)) + F.coalesce("_bs", F.lit(0.0)),
+        }
+    )
     n_hist = F.coalesce(F.col("_np"), F.lit(0)) + F.col("_ns")
     return j.select(
         "_x.*",
