@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from txrisk.llm import packing, quality_rules, queries, secret_scan, simhash_dedup
 from txrisk.llm._common import materialise, table
+from txrisk.llm.mixing import sample
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +32,13 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of the documents that follows the target shares."""
-    return queries.mixed(docs).where("sampled").select(*docs.columns)
+    """A sample of the documents that follows the target shares: rows in whole copies."""
+    return sample(queries.mixed(docs)).select(*docs.columns, "copy")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their place in sequences of 1,024."""
-    return packing.pack(docs, queries.vocabulary_path())
+    return packing.pack(docs, queries.vocabulary_path(), copy_col="copy")
 
 
 STAGES = [

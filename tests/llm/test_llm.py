@@ -359,3 +359,36 @@ def test_raking_meets_the_margins_and_samples_them(spark):
             kept = got[got.sampled]
             assert kept[kept[dim] == name].n_tokens.sum() / kept.n_tokens.sum() == pytest.approx(share, abs=0.05)
     assert got[got.sampled].n_tokens.sum() / got.n_tokens.sum() == pytest.approx(0.2, abs=0.03)
+
+
+def test_the_sample_meets_the_margins_at_the_production_share(spark):
+    """Rare languages and topics weigh far over 1 / share, so rows come in several copies."""
+    import corpus_pipeline
+
+    rnd = np.random.default_rng(8)
+    n = 8000
+    mark = {"prose": "", "legal": " licens", "contact": " a@b", "table": " |"}
+    topic = rnd.choice(list(mark), n, p=[0.94, 0.02, 0.02, 0.02])
+    pdf = pd.DataFrame({
+        "doc_id": range(n), "text": ["w " * int(k) + mark[t] for k, t in zip(rnd.integers(5, 40, n), topic)],
+        "lang": rnd.choice(["en", "de", "fr", "es"], n, p=[0.88, 0.04, 0.04, 0.04]), "source": rnd.choice(["a", "b"], n, p=[0.8, 0.2]),
+        "n_chars": 1,
+    })
+    rows = corpus_pipeline.mixing(spark, spark.createDataFrame(pdf), "").toPandas()
+    tokens = rows.text.str.split().str.len()
+    for name, share in {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}.items():
+        assert tokens[rows.lang == name].sum() / tokens.sum() == pytest.approx(share, abs=0.02)
+    for name, share in {"legal": 0.1, "contact": 0.1, "table": 0.1}.items():
+        assert tokens[rows.text.str.contains(mark[name], regex=False)].sum() / tokens.sum() == pytest.approx(share, abs=0.02)
+    assert tokens.sum() / pdf.text.str.split().str.len().sum() == pytest.approx(0.5, abs=0.02)
+    assert rows.groupby("doc_id").size().max() > 2 and not rows.duplicated(["doc_id", "copy"]).any()
+    mixed = queries.mixed(spark.createDataFrame(pdf)).toPandas()
+    assert (mixed.sampled == (mixed.copies > 0)).all()
+    assert (mixed.copies - 0.5 * mixed.weight).abs().max() < 1
+
+
+def test_copies_are_packed_each_and_dealt_over_shards(spark):
+    df = spark.range(40).selectExpr("7L AS doc_id", "'some words here' AS text", "id + 1 AS copy")
+    got = packing.pack(df, _vocabulary(), docs_per_shard=10, copy_col="copy").toPandas()
+    assert len(got) == 40 and not got.duplicated(["sequence_id", "offset"]).any()
+    assert (got.sequence_id // 2**32).nunique() > 1

@@ -2,8 +2,8 @@
 
 Token totals are summed per (source, language, topic) cell; the cell weights
 are raked in turn to the target share of each margin, and documents are
-sampled with the cell's calibrated probability. DataFrame operations only:
-cells stay a table, so any number of sources will do.
+sampled at the cell's calibrated rate: whole copies, and a draw on the fraction.
+DataFrame operations only: cells stay a table, so any number of sources will do.
 """
 
 from __future__ import annotations
@@ -73,20 +73,22 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """``docs`` plus topic, n_tokens, weight, probability, draw and sampled.
+    """``docs`` plus topic, n_tokens, weight, probability, draw, sampled and copies.
 
     ``targets`` names the dimensions to rake (columns, or ``topic``). n_tokens
     is the number of words. weight is the raked share of the row's cell per
-    share of tokens that it has; probability is min(1, share * weight), so the
-    expected sample has ``share`` of the tokens in the target mix (less what
-    the limit of one cuts off). A row is sampled if its draw, a hash of its id,
-    is below. Columns of these names are replaced. Null dimensions are a
+    share of tokens that it has, and share * weight the row's rate. copies is the
+    whole part of the rate, and one more if the draw, a hash of the row's id, is
+    below the rest, so the expected sample (each row ``copies`` times, see
+    ``sample``) has ``share`` of the tokens in the target mix. probability is
+    min(1, rate): that of at least one copy, which sampled tells. Columns of
+    these names are replaced. Null dimensions are a
     category of their own; null and empty texts have no tokens and, in a cell
     without tokens, probability 0; repeated rows share their draw; an empty
     table gives no rows.
     """
     dims = list(targets)
-    made = {"topic", "n_tokens", "weight", "probability", "draw", "sampled"}
+    made = {"topic", "n_tokens", "weight", "probability", "draw", "sampled", "copies"}
     own = [F.col(f"`{c}`") for c in docs.columns if c not in made]
     keys = [f"k{i}" for i in range(len(dims))]
     base = docs.select(
@@ -103,8 +105,17 @@ def mix(
     per_token = F.when(F.col("tokens") > 0, F.col("weight") * F.lit(whole) / F.col("tokens")).otherwise(0.0)
     odds = raked.select(*keys, F.round(per_token, 6).alias("weight"))
     joined = base.join(odds, keys, "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-    joined = joined.withColumn("probability", F.least(F.lit(1.0), F.round(F.lit(share) * F.col("weight"), 6)))
+    rate = F.round(F.lit(share) * F.col("weight"), 6)
+    joined = joined.withColumn("rate", rate).withColumn("probability", F.least(F.lit(1.0), F.col("rate")))
     joined = joined.withColumn("draw", uniform_draw(F.col("id"), seed))
+    whole_copies = F.floor("rate")
+    copies = whole_copies + (F.col("draw") < F.col("rate") - whole_copies).cast("long")
     return joined.select(
-        "doc.*", "topic", "n_tokens", "weight", "probability", "draw", (F.col("draw") < F.col("probability")).alias("sampled")
-    )
+        "doc.*", "topic", "n_tokens", "weight", "probability", "draw",
+        (F.col("draw") < F.col("probability")).alias("sampled"), copies.alias("copies"),
+    )
+
+
+def sample(mixed: DataFrame) -> DataFrame:
+    """The rows of ``mix`` as often as their copies say, numbered by copy (1, 2, ...)."""
+    return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))

@@ -83,30 +83,34 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return window, offset
 
 
-def cut(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """Pieces (doc_id, start, length, ids little-endian uint32, doc_tokens):
+def cut(
+    docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col: str, text_col: str, copy_col: str | None = None
+) -> DataFrame:
+    """Pieces (doc_id, start, length, ids little-endian uint32, doc_tokens, copy):
     full windows of ``capacity`` and a remainder. Null text is empty: its piece
-    is the end id alone."""
+    is the end id alone. copy is 0 without ``copy_col``."""
+    columns = ["doc_id", "start", "length", "ids", "doc_tokens", "copy"]
 
     def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _encoding(vocabulary).encode_to_numpy
         for frame in frames:
             rows: list[tuple] = []
             size = 0
-            for doc, text in zip(frame["doc_id"].array, frame["text"].array):
+            for doc, text, copy in zip(frame["doc_id"].array, frame["text"].array, frame["copy"].array):
                 ids = np.append(encode(text or "", disallowed_special=()), np.uint32(end_id)).astype("<u4")
                 for start in range(0, len(ids), capacity):
                     piece = ids[start : start + capacity]
-                    rows.append((doc, start, len(piece), piece.tobytes(), len(ids)))
+                    rows.append((doc, start, len(piece), piece.tobytes(), len(ids), copy))
                 size += ids.nbytes
                 if size > 16_000_000:
-                    yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "doc_tokens"])
+                    yield pd.DataFrame(rows, columns=columns)
                     rows, size = [], 0
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "doc_tokens"])
+            yield pd.DataFrame(rows, columns=columns)
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInPandas(pieces, f"doc_id {id_type}, start long, length long, ids binary, doc_tokens long")
+    copy = F.lit(0) if copy_col is None else F.col(copy_col)
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), copy.cast("long").alias("copy"))
+    return source.mapInPandas(pieces, f"doc_id {id_type}, start long, length long, ids binary, doc_tokens long, copy long")
 
 
 def pack(
@@ -117,6 +121,7 @@ def pack(
     docs_per_shard: int = 4096,
     id_col: str = "doc_id",
     text_col: str = "text",
+    copy_col: str | None = None,
 ) -> DataFrame:
     """All pieces with their place: doc_id, start, length, ids (binary, little-
     endian uint32), doc_tokens, sequence_id, offset.
@@ -124,14 +129,16 @@ def pack(
     ``vocabulary`` is the path of the rank file on every executor. Shards hold
     the pieces of about ``docs_per_shard`` documents, so their number grows
     with the input while a task's memory does not; pieces of a long document
-    spread over shards. A sequence_id is unique over all shards. Null and empty
+    spread over shards, and so do the copies of a document that ``copy_col``
+    numbers. A sequence_id is unique over all shards. Null and empty
     texts give one piece (the end id); a null id and repeated rows are packed
     like any other; an empty table gives no rows; other columns are ignored.
     """
     shards = max(1, -(-docs.count() // docs_per_shard))
     id_type = docs.schema[id_col].dataType.simpleString()
-    pieces = cut(docs, vocabulary, capacity, end_id, id_col, text_col)
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)))
+    pieces = cut(docs, vocabulary, capacity, end_id, id_col, text_col, copy_col)
+    dealt = ["doc_id", "start"] if copy_col is None else ["doc_id", "start", "copy"]
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64(*dealt), F.lit(shards))).drop("copy")
 
     def place(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "start"], kind="stable", na_position="first")

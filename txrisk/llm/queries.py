@@ -223,6 +223,12 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(docs).select(*cols)
 
 
+def op10_sample_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample itself: one row per copy of a document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    return mixing.sample(mixed(docs)).select("doc_id", "source", "lang", "topic", "n_tokens", "copy")
+
+
 def _op10_sql() -> str:
     dims = list(MIX_TARGETS)
     ctes = [
@@ -262,6 +268,14 @@ def _op10_sql() -> str:
     )
 
 
+def _op10_sample_sql() -> str:
+    rate = f"round({MIX_SHARE} * weight, 6)"
+    copies = f"(floor({rate}) + (draw < {rate} - floor({rate}))::INT)::BIGINT"
+    return (
+        f"SELECT doc_id, source, lang, topic, n_tokens, unnest(generate_series(1, {copies})) AS copy FROM ({_op10_sql()})"
+    )
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_pack_best_fit": (op1_pack_best_fit, None),
     "op2_vp_search": (op2_vp_search, None),
@@ -273,4 +287,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_simhash_dedup": (op8_simhash_dedup, None),
     "op9_secret_scan": (op9_secret_scan, None),
     "op10_mix_sources": (op10_mix_sources, _op10_sql()),
+    "op10_sample_sources": (op10_sample_sources, _op10_sample_sql()),
 }
