@@ -295,3 +295,16 @@ def test_history_by_intervals_matches_brute_force(spark):
         n = len(hist)
         exp = (n + 1, sum(q["amount"] for _, q in hist) + r["amount"], len({q["nameDest"] for _, q in hist}) if n else 1)
         assert got[i] == exp, (i, got[i], exp)
+
+
+def test_node_scores_are_trained_on_the_betweenness_of_e7(spark, monkeypatch):
+    from txrisk.plans import catalog as Q
+
+    feat = Q._feat(spark, "/root/testdata/sf0.001").where("tx_id % 12 = 0").persist()
+    monkeypatch.setattr(Q, "_feat", lambda *_a: feat)
+    monkeypatch.setattr(Q.EP, "node_scores", lambda e, nf, cols, *_a, **_k: nf.select("account", *cols))
+    got = {r["account"]: r["betweenness"] for r in Q._node_scores(spark, "").collect()}
+    links = [(r["src"], r["dst"], max(round(r["amount"] * 100), 1)) for r in E.edges(feat).collect()]
+    exp = _py_brandes(list(got), links)
+    assert len(set(exp.values())) > 2
+    assert got == pytest.approx(exp, abs=1e-9)

@@ -792,11 +792,37 @@ def e12_account_aggregates(spark, sf_dir):
     ),
 )
 def e13_node_features(spark, sf_dir):
-    feat = _feat(spark, sf_dir)
-    gf = E.graph_features(feat, pagerank_iterations=PR_ITERS, with_betweenness=False)
+    """Without E7, as its SQL; ``e13_node_features_full`` has all 18 features."""
+    return _node_features(_feat(spark, sf_dir), with_betweenness=False)
+
+
+def _node_features(feat: DataFrame, with_betweenness: bool = True) -> DataFrame:
+    gf = E.graph_features(feat, pagerank_iterations=PR_ITERS, with_betweenness=with_betweenness)
     return E.node_features(gf, E.account_aggregates(feat)).drop("x")
 
 
+GF_FULL = GF_SELECT.replace(
+    "CAST(0 AS DOUBLE) AS betweenness", "coalesce(bt.b, 0) / ((nn.N - 1) * (nn.N - 2)) AS betweenness"
+).replace("FROM lb ", "FROM nn, lb LEFT JOIN bt USING (account) ")
+
+
+@register(
+    "e13_node_features_full",
+    with_(
+        TX, FEAT, GRAPH, pagerank_sql(PR_ITERS), betweenness_sql(BETWEENNESS_HOPS), AA_SQL,
+        "gf AS (" + GF_FULL.format(it=PR_ITERS) + ")",
+    )
+    + _r6_all(
+        "SELECT gf.account, gf.is_fraud, " + ", ".join(f"gf.{c}" for c in _GF_COLS) + ", "
+        + ", ".join(f"coalesce(aa.{c}, 0) AS {c}" for c in _AA_COLS) + " FROM gf LEFT JOIN aa USING (account)",
+        _GF_COLS + _AA_COLS, ["account", "is_fraud"],
+    ),
+)
+def e13_node_features_full(spark, sf_dir):
+    """With betweenness from every node."""
+    return _node_features(_feat(spark, sf_dir))
+
+
 @register(
     "e14_edge_attributes",
     with_(TX, FEAT, GRAPH)
@@ -1055,8 +1081,7 @@ def f8_feature_importance(spark, sf_dir):
 
 def _node_scores(spark, sf_dir):
     feat = _feat(spark, sf_dir)
-    gf = E.graph_features(feat, pagerank_iterations=PR_ITERS, with_betweenness=False)
-    nf = E.node_features(gf, E.account_aggregates(feat)).drop("x")
+    nf = _node_features(feat)
     cols = [c for c in nf.columns if c not in ("account", "is_fraud")]
     return EP.node_scores(E.edges(feat), nf, cols, "sage", hops=3)
 
