@@ -308,3 +308,11 @@ def test_node_scores_are_trained_on_the_betweenness_of_e7(spark, monkeypatch):
     exp = _py_brandes(list(got), links)
     assert len(set(exp.values())) > 2
     assert got == pytest.approx(exp, abs=1e-9)
+
+
+def test_distribution_query_has_every_feature(spark):
+    from txrisk.operators.profile import DISTRIBUTION_FEATURES
+    from txrisk.plans import catalog as Q
+
+    rows = Q.QUERIES["b8_distribution_by_class_all"][0](spark, "/root/testdata/sf0.001").select("feature", "label").collect()
+    assert {r["feature"] for r in rows} == set(DISTRIBUTION_FEATURES) and len(rows) == 2 * len(DISTRIBUTION_FEATURES)

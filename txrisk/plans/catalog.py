@@ -8,6 +8,7 @@ grows with them. Double columns are rounded to 6 decimals on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -174,6 +175,22 @@ def b8_distribution_by_class(spark, sf_dir):
     return B.distribution_by_class(_tx(spark, sf_dir), "amount")
 
 
+def _distribution_sql(feature: str) -> str:
+    v = "ln(1 + amount)" if feature == "amount" else f"CAST({feature} AS DOUBLE)"
+    return f"""SELECT '{feature}' AS feature, label, count(*) AS n, round(min(v), 6) AS min, round(quantile_cont(v, 0.25), 6) AS q1,
+  round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.75), 6) AS q3, round(max(v), 6) AS max, round(avg(v), 6) AS mean
+FROM (SELECT isFraud AS label, {v} AS v FROM feat) WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY label"""
+
+
+@register(
+    "b8_distribution_by_class_all", with_(TX, FEAT) + " UNION ALL ".join(_distribution_sql(c) for c in B.DISTRIBUTION_FEATURES)
+)
+def b8_distribution_by_class_all(spark, sf_dir):
+    """Every selectable feature; ``b8_distribution_by_class`` has the amount alone, as its SQL."""
+    feat = _feat(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [B.distribution_by_class(feat, c) for c in B.DISTRIBUTION_FEATURES])
+
+
 _CORR_SQL = " UNION ALL ".join(
     f"SELECT '{c}' AS feature, CASE WHEN isnan(corr(CAST({c} AS DOUBLE), CAST(isFraud AS DOUBLE))) THEN NULL "
     f"ELSE round(corr(CAST({c} AS DOUBLE), CAST(isFraud AS DOUBLE)), 6) END AS corr FROM feat"
