@@ -86,3 +86,87 @@ def base_secrets(text: str) -> list[tuple[int, int, str]]:
     found += [(m.start(), 1, m.end(), "access") for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
     found += [(m.start(), 2, m.end(), "hex") for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
     return [(s, e, k) for s, _, e, k in sorted(found)]
+
+
+def _byte_letters() -> dict[str, int]:
+    shown = [b for b in range(256) if chr(b).isprintable() and b != 32 and b != 173]
+    hidden = [b for b in range(256) if b not in shown]
+    return {**{chr(b): b for b in shown}, **{chr(256 + i): b for i, b in enumerate(hidden)}}
+
+
+def alignments(docs: dict[int, str | None], a_path: str, b_path: str) -> dict[int, tuple]:
+    """doc_id: (n_a, n_b, n_groups, n_links, n_best, count_sum, groups), by the libraries and by loops."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a_lib, b_lib = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
+    a_lib.encode_special_tokens = True
+    letters = _byte_letters()
+
+    def a_bytes(i):
+        return bytes(letters[c] for c in a_lib.id_to_token(i))
+
+    def b_bytes(i):
+        p = b_lib.id_to_piece(i)
+        return bytes([int(p[3:5], 16)]) if re.fullmatch("<0x..>", p) else p.replace("▁", " ").encode()
+
+    groups: dict[int, list] = {}
+    for doc, text in docs.items():
+        groups[doc] = []
+        data = b" " + (text or "").encode()
+        a, b = a_lib.encode(" " + (text or ""), add_special_tokens=False).ids, b_lib.encode(text or "")
+        if not text or b"".join(map(a_bytes, a)) != data or b"".join(map(b_bytes, b)) != data:
+            continue
+        a_end, b_end = np.cumsum([len(a_bytes(i)) for i in a]), np.cumsum([len(b_bytes(i)) for i in b])
+        cuts = set(a_end.tolist()) & set(b_end.tolist())
+        left, right = iter(zip(a, a_end)), iter(zip(b, b_end))
+        for cut in sorted(cuts):
+            sides = []
+            for side in (left, right):
+                held = []
+                while not held or held[-1][1] < cut:
+                    held.append(next(side))
+                sides.append([i for i, _ in held])
+            groups[doc].append(tuple(sides))
+    holders: dict = {}
+    for doc, gs in groups.items():
+        for pair in {(x, y) for g in gs for x in g[0] for y in g[1]}:
+            holders[pair] = holders.get(pair, 0) + 1
+    top: dict = {}
+    for (x, _), n in holders.items():
+        top[x] = max(top.get(x, 0), n)
+    out = {}
+    for doc, gs in groups.items():
+        links = [(x, y) for g in gs for x in g[0] for y in g[1]]
+        text = ";".join(",".join(map(str, g[0])) + "|" + ",".join(map(str, g[1])) for g in gs)
+        out[doc] = (
+            sum(len(g[0]) for g in gs), sum(len(g[1]) for g in gs), len(gs), len(links),
+            sum(holders[p] == top[p[0]] for p in links), sum(holders[p] for p in links), text,
+        )
+    return out
+
+
+def ranked(docs: list[tuple], items: list[tuple], k: int) -> list[tuple]:
+    """(item_id, rank, doc_id, score) of each item row by scoring every document."""
+    term = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+    def terms(text):
+        return term.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+    held = [(doc, terms(text)) for doc, text in docs]
+    held = [(doc, ts) for doc, ts in held if ts]
+    df = {t: sum(t in kinds for kinds in [set(ts) for _, ts in held]) for t in {t for _, x in items for t in terms(x)}}
+    n_docs, n_terms = len(held), sum(len(ts) for _, ts in held)
+    out = []
+    for item, text in items:
+        found = []
+        for doc, ts in held:
+            m, score = 10 + 90 * len(ts) * n_docs // n_terms, 0
+            for t in set(terms(text)) & set(ts):
+                tf = ts.count(t)
+                score += int(np.floor(1000 * np.log((2 * n_docs + 2) / (2 * df[t] + 1)))) * (10**9 * tf // (1000 * tf + 8 * m))
+            if score > 0:
+                found.append((-score, doc is None, doc))
+        found.sort(key=lambda f: (f[0], f[1], f[2] or 0))
+        out += [(item, i + 1, doc, -s) for i, (s, _, doc) in enumerate(found[:k])]
+    return out

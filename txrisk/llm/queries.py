@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txrisk.llm import (
-    chat_format, mixing, packing, quality_rules, relative_lz, run_length_index, secret_scan, simhash_dedup, url_filter,
-    vp_search,
+    chat_format, lexical_search, mixing, packing, quality_rules, relative_lz, run_length_index, secret_scan,
+    simhash_dedup, token_alignment, token_counts, url_filter, vp_search,
 )
 from txrisk.llm._common import table
 
 #: Where executors find the public vocabularies (a parameter of the queries).
 VOCABULARY = "byte_bpe_50k.tiktoken"
+BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -276,6 +277,52 @@ def _op10_sample_sql() -> str:
     )
 
 
+# -- op11 --------------------------------------------------------------------
+
+
+def op11_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = token_alignment.link_statistics(docs, vocabulary_path(BYTE_BPE), vocabulary_path(PIECE_BPE))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+# -- op12 --------------------------------------------------------------------
+
+
+def op12_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, vocabulary_path(PIECE_BPE), limit=4096)
+
+
+# -- op13 --------------------------------------------------------------------
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+_ASCII_UPPER, _ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _op13_sql() -> str:
+    held = (
+        r"regexp_extract_all(translate(coalesce(text, ''), '{}', '{}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    ).format(_ASCII_UPPER, _ASCII_LOWER)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {held} AS terms FROM documents),
+s AS (SELECT count(*) AS big_n, sum(len(terms))::BIGINT AS big_l FROM d WHERE len(terms) > 0),
+q AS (SELECT row_number() OVER () AS place, item_id, unnest(list_distinct({held})) AS term FROM benchmark),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY term, big_n),
+m AS (SELECT r, doc_id, 10 + (90 * len(terms) * big_n) // big_l AS m FROM d, s WHERE len(terms) > 0),
+x AS (SELECT place, item_id, r, m.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (r) GROUP BY ALL HAVING score > 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY score DESC, doc_id NULLS LAST, r)::INT AS rank FROM x)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10
+"""
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_pack_best_fit": (op1_pack_best_fit, None),
     "op2_vp_search": (op2_vp_search, None),
@@ -288,4 +335,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op9_secret_scan": (op9_secret_scan, None),
     "op10_mix_sources": (op10_mix_sources, _op10_sql()),
     "op10_sample_sources": (op10_sample_sources, _op10_sample_sql()),
+    "op11_align_tokens": (op11_align_tokens, None),
+    "op12_count_tokens": (op12_count_tokens, None),
+    "op13_ranked_search": (op13_ranked_search, _op13_sql()),
 }
