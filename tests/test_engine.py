@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from txrisk.functions.distributed import group_quantiles, running_totals
+from txrisk.operators import boosting
 from txrisk.operators import models as M
 from txrisk.operators import scoring as H
 from txrisk.sources import io as A
@@ -114,17 +115,50 @@ def _noisy(spark, n=1500):
     return df.where("tx_id < 1000"), df.where("tx_id >= 1000"), float(y[1000:].mean())
 
 
-def test_early_stopping_keeps_the_best_round_and_models_beat_prevalence(spark, monkeypatch):
+def test_boosting_stops_by_patience_and_keeps_the_best_round(spark, monkeypatch):
     train, val, prevalence = _noisy(spark)
+    cols = list("abcd")
     monkeypatch.setitem(M.GBT_A, "early_stop", 4)
-    model = M.train_gbt_a(train, val, cols=list("abcd"), rounds=12)
-    ap = M.round_auprc(model, val, "isFraud", list("abcd"))
-    assert max(range(len(ap)), key=lambda i: (ap[i], -i)) == len(ap) - 1 or len(ap) == 12
-    assert prevalence + 0.1 < max(ap) < 1.0
+    monkeypatch.setitem(M.GBT_A, "max_depth", 3)
+    monkeypatch.setattr(boosting, "CUT_EVERY", 3)
+    found = M.boost_gbt_a(train, val, cols=cols, rounds=40)
+    best = max(range(len(found.precision)), key=lambda i: (found.precision[i], -i)) + 1
+    assert found.model.getNumTrees == best and found.rounds == len(found.precision) == best + 4
+    assert prevalence + 0.1 < found.precision[best - 1] < 1.0
+    # margins kept from round to round give what the finished model gives (sums in another order may split ties)
+    assert M.round_auprc(found.model, val, "isFraud", cols) == pytest.approx(found.precision[:best], abs=2e-3)
     from txrisk.operators.metrics import average_precision
 
-    scored = M.predict_proba(model, val, "score", list("abcd")).withColumnRenamed("isFraud", "label")
-    assert average_precision(scored).first()[0] == pytest.approx(ap[-1], abs=1e-6)
+    scored = M.predict_proba(found.model, val, "score", cols).withColumnRenamed("isFraud", "label")
+    assert average_precision(scored).first()[0] == pytest.approx(found.precision[best - 1], abs=2e-3)
+    assert found.model.featureImportances.size == 4
+
+
+def test_a_boosted_tree_holds_the_bounded_newton_step(spark, monkeypatch):
+    rows = [(float(x), int(x > 2 or x == 0)) for x in range(6) for _ in range(10)]
+    df = spark.createDataFrame(rows, "a double, isFraud int")
+    monkeypatch.setitem(M.GBT_B, "subsample", 1.0)
+    monkeypatch.setitem(M.GBT_B, "colsample", 1.0)
+    p = M.predict_proba(M.boost_gbt_b(df, None, cols=["a"], rounds=1).model, df, "p", ["a"]).select("isFraud", "p").distinct().collect()
+    assert sorted((r["isFraud"], round(r["p"], 9)) for r in p) == [
+        (y, round(1 / (1 + math.exp(-0.05 * step)), 9)) for y, step in ((0, -2.0), (1, 2.0))
+    ]
+
+
+def test_average_precision_by_ranges_of_scores(spark, monkeypatch):
+    rnd = random.Random(4)
+    rows = [(round(rnd.random(), 2), rnd.choice([True, False, None])) for _ in range(900)]
+    df = spark.createDataFrame(rows, "s double, hit boolean")
+    order = sorted({s for s, _ in rows}, reverse=True)
+    area = seen = hits = 0
+    for s in order:
+        new = sum(1 for x, h in rows if x == s and h)
+        seen, hits = seen + sum(x == s for x, _ in rows), hits + new
+        area += new * hits / seen
+    assert boosting.average_precision_of(df, "s", "hit") == pytest.approx(area / hits)
+    monkeypatch.setattr(boosting, "ROWS_A_RANGE", 120)
+    assert boosting.average_precision_of(df, "s", "hit") == pytest.approx(area / hits)
+    assert boosting.average_precision_of(df.where("hit is null"), "s", "hit") == 0.0
 
 
 def test_ensemble_round_trip_and_null_graph_score(spark, tmp_path):
