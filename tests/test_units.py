@@ -177,12 +177,53 @@ def test_pagerank_matches_power_iteration(spark):
 
 def test_betweenness_matches_brandes(spark):
     e, nd, nodes = _graph_df(spark)
-    got = {r[0]: r[1] for r in EC.betweenness(e, nd).collect()}
+    got = {r[0]: r[1] for r in EC.betweenness(e, nd, exact=True).collect()}
     exp = _py_brandes(nodes, [(u, v, int(w * 100)) for u, v, w in GRAPH])
     for u in nodes:
         assert got[u] == pytest.approx(exp[u], abs=1e-12)
 
 
+def _random_graph(spark, n=24, m=110, seed=6):
+    rnd = random.Random(seed)
+    links = {(f"n{rnd.randrange(n)}", f"n{rnd.randrange(n)}"): rnd.randint(1, 4) for _ in range(m)}
+    e = spark.createDataFrame([(u, v, float(w)) for (u, v), w in links.items()], "src string, dst string, amount double")
+    nodes = [f"n{i}" for i in range(n)]
+    exact = _py_brandes(nodes, [(u, v, w * 100) for (u, v), w in links.items()])
+    return e, spark.createDataFrame([(u,) for u in nodes], "account string"), exact
+
+
+def test_betweenness_with_many_equal_paths_in_chunks(spark):
+    e, nd, exp = _random_graph(spark)
+    got = {r[0]: r[1] for r in EC.betweenness(e, nd, exact=True, chunk=13).collect()}
+    assert got == pytest.approx(exp, abs=1e-12)
+
+
+def test_betweenness_pivots_are_drawn_until_the_bound_holds(spark, monkeypatch):
+    e, nd, exp = _random_graph(spark)
+    drawn = []
+    sums = EC._chunk_sums
+    monkeypatch.setattr(EC, "_chunk_sums", lambda p, w: drawn.append(p.count()) or sums(p, w))
+    monkeypatch.setattr(EC, "sampling_error", lambda var, k, n, f: 0.0 if k >= 10 else 1.0)
+    got = {r[0]: r[1] for r in EC.betweenness(e, nd, epsilon=0.2, chunk=5).collect()}
+    assert drawn == [5, 5]
+    assert max(abs(got[u] - exp[u]) for u in exp) <= 0.2
+    with pytest.raises(ValueError, match="one of k, exact or epsilon"):
+        EC.betweenness(e, nd)
+
+
+def test_sampling_error_covers_draws_without_replacement():
+    rnd = np.random.default_rng(3)
+    values = rnd.random(400) ** 6
+    for k in (40, 150, 300):
+        wrong = 0
+        for _ in range(300):
+            x = rnd.choice(values, k, replace=False)
+            wrong += abs(x.mean() - values.mean()) > EC.sampling_error(x.var(ddof=1), k, 400, 0.1)
+        assert wrong <= 30
+    assert EC.sampling_error(0.2, 400, 400, 0.1) == 0.0
+    assert EC.sampling_error(0.01, 300, 10**6, 1e-7) < EC.sampling_error(0.01, 100, 10**6, 1e-7)
+
+
 def test_clustering_matches_brute_force(spark):
     e, _nd, nodes = _graph_df(spark)
     got = {r[0]: r[1] for r in E.clustering(e).collect()}
@@ -301,9 +342,7 @@ def test_node_scores_are_trained_on_the_betweenness_of_e7(spark, monkeypatch):
     from txrisk.plans import catalog as Q
 
     feat = Q._feat(spark, "/root/testdata/sf0.001").where("tx_id % 12 = 0").persist()
-    monkeypatch.setattr(Q, "_feat", lambda *_a: feat)
-    monkeypatch.setattr(Q.EP, "node_scores", lambda e, nf, cols, *_a, **_k: nf.select("account", *cols))
-    got = {r["account"]: r["betweenness"] for r in Q._node_scores(spark, "").collect()}
+    got = {r["account"]: r["betweenness"] for r in Q._node_features(feat).collect()}
     links = [(r["src"], r["dst"], max(round(r["amount"] * 100), 1)) for r in E.edges(feat).collect()]
     exp = _py_brandes(list(got), links)
     assert len(set(exp.values())) > 2

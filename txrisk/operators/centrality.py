@@ -1,18 +1,21 @@
-"""E6 PageRank (weighted) and E7 betweenness (weighted, pivot-sampled).
+"""E6 PageRank (weighted) and E7 betweenness (weighted; exact, or from pivots).
 
 Both are driver loops over DataFrames: each round is one join of the state
-with the (pre-partitioned, persisted) edge table and one aggregation; the
-state is persisted per round and reliably checkpointed every few rounds
+with the edge table and one aggregation. PageRank's state is persisted per
+round and reliably checkpointed every few rounds, betweenness' every round
 (``spark.checkpoint.dir``), so lineage stays short and a lost executor only
 recomputes from the last checkpoint.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.functions.distributed import checkpointed
+from txrisk.functions.distributed import checkpointed, running_totals
 
 PR_ALPHA = 0.85
 PR_MAX_ITER = 100
@@ -20,10 +23,6 @@ PR_TOL = 1e-6
 CHECKPOINT_EVERY = 5
 
 
-def _nparts(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def pagerank(
     e: DataFrame,
     node_df: DataFrame,
@@ -88,141 +87,164 @@ def pagerank(
     return x.select("account", F.col("x").alias("pagerank"))
 
 
-def pick_pivots(node_df: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """k pivot nodes by a seeded hash order (top-k, bounded by k)."""
+PIVOTS_A_CHUNK = 500
+
+
+def ranked_pivots(node_df: DataFrame, seed: int = 42) -> DataFrame:
+    """All nodes (account) with their ``rank`` from 0 in a seeded hash order: the
+    first k are a random draw of k nodes. Ranked by value ranges, so the order
+    never passes one task or the driver."""
     h = F.md5(F.concat_ws("|", F.col("account"), F.lit(str(seed))))
-    return node_df.select("account", h.alias("_h")).orderBy("_h", "account").limit(k).select(
-        F.col("account").alias("pivot")
-    )
+    hashed = node_df.select("account", h.alias("_h"), F.lit(1.0).alias("_one"))
+    ranked = running_totals(hashed, [("_h", True), ("account", True)], ["_one"])
+    return ranked.select("account", (F.col("cum__one").cast("long") - 1).alias("rank"))
+
+
+def sampling_error(variance: float, k: int, n: int, failure: float) -> float:
+    """Empirical Bernstein-Serfling bound: a mean of k values in [0, 1], drawn
+    without replacement from n and of this sample variance, is off by more with
+    probability at most ``failure``."""
+    if k >= n:
+        return 0.0
+    rho = 1 - (k - 1) / n if k <= n / 2 else (1 - k / n) * (1 + 1 / k)
+    log = math.log(5 / failure)
+    return math.sqrt(2 * variance * rho * log / k) + (7 / 3 + 3 / math.sqrt(2)) * log / k
 
 
 def betweenness(
     e: DataFrame,
     node_df: DataFrame,
     k: int | None = None,
+    exact: bool = False,
+    epsilon: float | None = None,
+    failure: float = 0.1,
     seed: int = 42,
-    chunk: int = 500,
+    chunk: int = PIVOTS_A_CHUNK,
     normalized: bool = True,
-    checkpoint_every: int = CHECKPOINT_EVERY,
 ) -> DataFrame:
-    """Brandes betweenness from ``k`` pivots (None: from every node, exact),
-    directed, shortest paths weighted by amount (as integer cents; zero amounts
-    count as one cent), normalised by 1 / ((n-1)(n-2)) and scaled by n / k.
-    More pivots than nodes are an error.
-
-    Per chunk of pivots the state is (pivot, node, ...) rows:
-    1. distances: frontier Bellman-Ford relaxation by joins until no change;
-    2. path counts sigma along the shortest-path DAG, iterated to fixpoint;
-    3. dependencies delta backwards along the DAG, iterated to fixpoint;
-    then delta is summed per node over pivots."""
-    spark = e.sparkSession
+    """Brandes betweenness, directed, shortest paths weighted by amount (as
+    integer cents; zero amounts count as one cent), normalised by
+    1 / ((n-1)(n-2)).
+
+    The caller says from how many pivots: ``exact`` (every node), ``k`` of them
+    (scaled by n / k; more than there are is an error), or ``epsilon``: pivots
+    are drawn, chunk by chunk and at least doubling, until with probability
+    1 - ``failure`` no node's value is off by more than ``epsilon``
+    (``sampling_error``, shared out over nodes and looks), at the latest when
+    all have been drawn.
+
+    Pivots are a table with their rank in a seeded hash order; a chunk of them
+    is a range of ranks. Per chunk the state is (pivot, node) rows, and each
+    edge of a shortest-path graph is passed once per direction (``_chunk_sums``)."""
+    if (k is not None) + exact + (epsilon is not None) != 1:
+        raise ValueError("betweenness needs one of k, exact or epsilon")
     n = node_df.count()
     if k is not None and not 0 < k <= n:
         raise ValueError(f"{k} pivots asked for, {n} nodes")
-    kk = n if k is None else k
     if n <= 2:
         return node_df.select("account", F.lit(0.0).alias("betweenness"))
-    parts = _nparts(e)
-    w = e.select(
-        "src", "dst", F.greatest(F.round(F.col("amount") * 100).cast("long"), F.lit(1)).alias("w")
-    ).repartition(parts, "src").persist()
-    pivots = [r["pivot"] for r in pick_pivots(node_df, kk, seed).collect()]
-    total = None
-    for c0 in range(0, len(pivots), chunk):
-        piv = spark.createDataFrame([(p,) for p in pivots[c0:c0 + chunk]], "pivot string")
-        part = _brandes_chunk(piv, w, parts, checkpoint_every)
-        total = part if total is None else total.unionByName(part)
-        total = checkpointed(total.groupBy("account").agg(F.sum("delta").alias("delta")))
-    scale = 1.0
-    if normalized:
-        scale = 1.0 / ((n - 1) * (n - 2)) * (n / kk)
-    res = node_df.select("account").join(total, "account", "left")
-    w.unpersist()
-    return res.select("account", (F.coalesce(F.col("delta"), F.lit(0.0)) * F.lit(scale)).alias("betweenness"))
-
-
-def _converged(new: DataFrame, old: DataFrame, col: str) -> bool:
-    """No (pivot, node) value moved by more than a relative 1e-12 (sums may be
-    re-associated between rounds, so exact equality is not required)."""
-    moved = new.join(old.select("pivot", "node", F.col(col).alias("_o")), ["pivot", "node"]).where(
-        F.abs(F.col(col) - F.col("_o")) > F.lit(1e-12) * (F.lit(1.0) + F.abs(F.col("_o")))
-    )
-    return moved.isEmpty()
-
-
-def _brandes_chunk(piv: DataFrame, w: DataFrame, parts: int, checkpoint_every: int) -> DataFrame:
-    # 1. distances: relax from the frontier (nodes improved last round) until nothing improves
-    dist = checkpointed(
-        piv.select("pivot", F.col("pivot").alias("node"), F.lit(0).cast("long").alias("d")).repartition(parts, "pivot", "node")
+    ids = checkpointed(ranked_pivots(node_df, seed))  # the rank is the node's number as well
+    cents = F.greatest(F.round(F.col("amount") * 100).cast("long"), F.lit(1))
+    named = e.select("src", "dst", cents.alias("w")).where(F.col("src") != F.col("dst"))
+    w = checkpointed(
+        named.join(ids.select(F.col("account").alias("src"), F.col("rank").alias("u")), "src")
+        .join(ids.select(F.col("account").alias("dst"), F.col("rank").alias("v")), "dst")
+        .select("u", "v", "w")
     )
-    frontier = dist
+    last = n if k is None else k
+    total, done, looks = None, 0, max(1, math.ceil(math.log2(max(n / chunk, 1))) + 1)
+    look_at = chunk
+    while done < last:
+        upto = min(done + chunk, last)
+        part = _chunk_sums(ids.where((F.col("rank") >= done) & (F.col("rank") < upto)).select("rank"), w)
+        total = part if total is None else total.unionByName(part)
+        total = checkpointed(total.groupBy("node").agg(F.sum("s").alias("s"), F.sum("ss").alias("ss")))
+        done = upto
+        if epsilon is not None and done >= look_at and done < n:
+            look_at = 2 * done
+            mean = F.col("s") / F.lit(done * (n - 2.0))
+            spread = total.agg(F.max(F.col("ss") / F.lit(done * (n - 2.0) ** 2) - mean * mean)).first()[0] or 0.0
+            variance = max(spread, 0.0) * done / max(done - 1, 1)
+            if n / (n - 1) * sampling_error(variance, done, n, failure / (n * looks)) <= epsilon:
+                break
+    scale = 1.0 / ((n - 1) * (n - 2)) * (n / done) if normalized else n / done
+    found = ids.join(total.select(F.col("node").alias("rank"), "s"), "rank", "left")
+    return found.select("account", (F.coalesce(F.col("s"), F.lit(0.0)) * F.lit(scale)).alias("betweenness"))
+
+
+def _distances(pivots: DataFrame, w: DataFrame) -> DataFrame:
+    """(pivot, node, d) of all reachable nodes: the nodes that came nearer in a
+    round relax their edges in the next one."""
+    start = pivots.select(F.col("rank").alias("pivot"), F.col("rank").alias("node"), F.lit(0).cast("long").alias("d"))
+    best, frontier = start, start
     while True:
-        cand = (
-            frontier.select("pivot", F.col("node").alias("src"), "d")
-            .join(w, "src")
-            .groupBy("pivot", F.col("dst").alias("node"))
-            .agg(F.min(F.col("d") + F.col("w")).alias("d"))
-        )
-        improved = checkpointed(
-            cand.join(dist.select("pivot", "node", F.col("d").alias("_old")), ["pivot", "node"], "left")
-            .where(F.col("_old").isNull() | (F.col("d") < F.col("_old")))
-            .select("pivot", "node", "d")
+        reached = frontier.join(w, frontier["node"] == w["u"]).groupBy("pivot", F.col("v").alias("node")).agg(
+            F.min(F.col("d") + F.col("w")).alias("d")
         )
-        if improved.isEmpty():
-            break
-        dist = checkpointed(
-            dist.join(improved.select("pivot", "node", F.col("d").alias("_new")), ["pivot", "node"], "full")
-            .select("pivot", "node", F.coalesce("_new", "d").alias("d"))
+        both = best.select("pivot", "node", "d", F.col("d").alias("old")).unionByName(
+            reached.select("pivot", "node", "d", F.lit(None).cast("long").alias("old"))
         )
-        frontier = improved
-    # shortest-path DAG edges (pivot, src -> dst) with d(src) + w = d(dst)
-    du = dist.select("pivot", F.col("node").alias("src"), F.col("d").alias("du"))
-    dv = dist.select("pivot", F.col("node").alias("dst"), F.col("d").alias("dv"))
-    dag = checkpointed(
-        du.join(w, "src").join(dv, ["pivot", "dst"]).where(F.col("du") + F.col("w") == F.col("dv")).select("pivot", "src", "dst")
-    )
-    # 2. sigma(pivot) = 1; sigma(v) = sum of sigma over DAG predecessors (fixpoint)
-    base = dist.select("pivot", "node", F.when(F.col("node") == F.col("pivot"), 1.0).otherwise(0.0).alias("_b"))
-    sigma = checkpointed(base.select("pivot", "node", F.col("_b").alias("sigma")))
+        state = checkpointed(both.groupBy("pivot", "node").agg(F.min("d").alias("d"), F.min("old").alias("old")))
+        best = state.select("pivot", "node", "d")
+        frontier = state.where(F.col("old").isNull() | (F.col("d") < F.col("old"))).select("pivot", "node", "d")
+        if frontier.isEmpty():
+            return best
+
+
+def _path_counts(best: DataFrame, dag: DataFrame) -> list[DataFrame]:
+    """(pivot, node, sigma, level) by level: a node is settled, with its number of
+    shortest paths, once all its predecessors are, so each edge is passed once."""
+    first = best.where(F.col("node") == F.col("pivot")).select("pivot", "node", F.lit(1.0).alias("sigma"), F.lit(0).alias("level"))
+    levels = [first]
+    need = dag.groupBy("pivot", F.col("v").alias("node")).agg(F.count("*").alias("left"), F.lit(0.0).alias("sigma"))
+    waiting = need
     while True:
-        inc = (
-            sigma.select("pivot", F.col("node").alias("src"), "sigma")
-            .join(dag, ["pivot", "src"])
-            .groupBy("pivot", F.col("dst").alias("node"))
-            .agg(F.sum("sigma").alias("_s"))
-        )
-        nxt = checkpointed(
-            base.join(inc, ["pivot", "node"], "left").select(
-                "pivot", "node", (F.col("_b") + F.coalesce(F.col("_s"), F.lit(0.0))).alias("sigma")
-            )
-        )
-        done = _converged(nxt, sigma, "sigma")
-        sigma = nxt
-        if done:
-            break
-    # 3. delta(u) = sum over DAG successors v of sigma(u) / sigma(v) * (1 + delta(v)) (fixpoint)
-    coef = checkpointed(
-        dag.join(sigma.select("pivot", F.col("node").alias("src"), F.col("sigma").alias("su")), ["pivot", "src"])
-        .join(sigma.select("pivot", F.col("node").alias("dst"), F.col("sigma").alias("sv")), ["pivot", "dst"])
-        .select("pivot", "src", "dst", (F.col("su") / F.col("sv")).alias("c"))
+        sent = levels[-1].join(dag.withColumnRenamed("u", "node"), ["pivot", "node"]).groupBy(
+            "pivot", F.col("v").alias("node")
+        ).agg((-F.count("*")).alias("left"), F.sum("sigma").alias("sigma"))
+        both = waiting.unionByName(sent).groupBy("pivot", "node").agg(F.sum("left").alias("left"), F.sum("sigma").alias("sigma"))
+        state = checkpointed(both)
+        settled = state.where("left = 0")
+        if settled.isEmpty():
+            return levels
+        levels.append(settled.select("pivot", "node", "sigma", F.lit(len(levels)).alias("level")))
+        waiting = state.where("left > 0")
+
+
+def _chunk_sums(pivots: DataFrame, w: DataFrame) -> DataFrame:
+    """node, s, ss: sums of the dependencies of ``pivots`` on a node and of their squares.
+
+    1. distances by frontier relaxation; 2. the edges of shortest paths;
+    3. path counts level by level; 4. dependencies backwards, level by level:
+    the nodes of a level are complete when all levels behind it have sent."""
+    best = _distances(pivots, w)
+    dag = checkpointed(
+        best.join(w, best["node"] == w["u"])
+        .select("pivot", "u", "v", (F.col("d") + F.col("w")).alias("d"))
+        .join(best.withColumnRenamed("node", "v"), ["pivot", "v", "d"])
+        .select("pivot", "u", "v")
     )
-    nodes_ = dist.select("pivot", "node")
-    delta = checkpointed(nodes_.select("pivot", "node", F.lit(0.0).alias("delta")))
-    while True:
-        acc = (
-            coef.join(delta.select("pivot", F.col("node").alias("dst"), "delta"), ["pivot", "dst"])
-            .groupBy("pivot", F.col("src").alias("node"))
-            .agg(F.sum(F.col("c") * (F.lit(1.0) + F.col("delta"))).alias("_d"))
-        )
-        nxt = checkpointed(
-            nodes_.join(acc, ["pivot", "node"], "left").select(
-                "pivot", "node", F.coalesce(F.col("_d"), F.lit(0.0)).alias("delta")
-            )
+    levels = _path_counts(best, dag)
+    settled = reduce(DataFrame.unionByName, levels)
+    near = settled.select("pivot", F.col("node").alias("u"), F.col("sigma").alias("su"), F.col("level").alias("lu"))
+    far = settled.select("pivot", F.col("node").alias("v"), F.col("sigma").alias("sv"), F.col("level").alias("lv"))
+    shares = checkpointed(
+        dag.join(far, ["pivot", "v"]).join(near, ["pivot", "u"]).select(
+            "pivot", "u", "v", (F.col("su") / F.col("sv")).alias("share"), "lu", "lv"
         )
-        done = _converged(nxt, delta, "delta")
-        delta = nxt
-        if done:
-            break
-    return delta.where(F.col("node") != F.col("pivot")).groupBy(F.col("node").alias("account")).agg(
-        F.sum("delta").alias("delta")
     )
+    open_ = shares.limit(0).select("pivot", F.col("u").alias("node"), F.col("lu").alias("level"), F.lit(0.0).alias("delta"))
+    complete, results = open_, []
+    for level in range(len(levels) - 1, 0, -1):
+        behind = complete.select("pivot", F.col("node").alias("v"), "delta")
+        sent = shares.where(F.col("lv") == level).join(behind, ["pivot", "v"], "left").select(
+            "pivot", F.col("u").alias("node"), F.col("lu").alias("level"),
+            (F.col("share") * (F.lit(1.0) + F.coalesce(F.col("delta"), F.lit(0.0)))).alias("delta"),
+        )
+        both = open_.unionByName(sent).groupBy("pivot", "node", "level").agg(F.sum("delta").alias("delta"))
+        state = checkpointed(both)
+        complete, open_ = state.where(F.col("level") == level - 1), state.where(F.col("level") < level - 1)
+        if level > 1:  # at level 0 there are the pivots themselves
+            results.append(complete.select("node", "delta"))
+    found = reduce(DataFrame.unionByName, results) if results else complete.limit(0).select("node", "delta")
+    return found.groupBy("node").agg(F.sum("delta").alias("s"), F.sum(F.col("delta") * F.col("delta")).alias("ss"))

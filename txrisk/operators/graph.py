@@ -158,18 +158,21 @@ def local_fraud_rate(e: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+#: Pivots of E7 where betweenness is one feature among many.
+BETWEENNESS_PIVOTS = 500
+
+
 def graph_features(
     tx: DataFrame,
     pagerank_iterations: int | None = None,
-    with_betweenness: bool = True,
-    betweenness_k: int | None = None,
+    betweenness_k: int | None = BETWEENNESS_PIVOTS,
     seed: int = 42,
 ) -> DataFrame:
     """One row per node with the 10 structural features and the label.
 
     ``pagerank_iterations``: fixed number of power iterations (None: iterate
-    to the convergence test). ``betweenness_k``: pivots (None: all nodes).
-    ``with_betweenness=False`` leaves 0 there."""
+    to the convergence test). ``betweenness_k``: pivots of E7, all nodes where
+    there are fewer (None: exact, from every node)."""
     from txrisk.operators.centrality import betweenness, pagerank
 
     node_df = nodes(tx)
@@ -183,15 +186,10 @@ def graph_features(
         avg_neighbor_degree(e, deg),
         local_fraud_rate(e, labels),
     ]
-    if with_betweenness:
-        parts.append(betweenness(e, node_df, k=betweenness_k, seed=seed))
+    k = None if betweenness_k is None else min(betweenness_k, node_df.count())
+    parts.append(betweenness(e, node_df, k=k or None, exact=not k, seed=seed))
     j = reduce(lambda acc, p: acc.join(p, "account", "left"), parts, labels)
-    cols = []
-    for c in GRAPH_FEATURE_COLS:
-        if c in j.columns:
-            cols.append(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c))
-        else:
-            cols.append(F.lit(0.0).alias(c))
+    cols = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in GRAPH_FEATURE_COLS]
     return j.select("account", *cols, "is_fraud")
 
 

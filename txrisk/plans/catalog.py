@@ -24,7 +24,7 @@ from txrisk.sources import io as A
 from txrisk.sources.fixtures import tx_events
 from txrisk.functions.distributed import checkpointed
 from txrisk.session import scratch_path
-from txrisk.sources.schema import FEATURE_COLS, STREAM_SCHEMA, TX_COLUMNS
+from txrisk.sources.schema import ACCOUNT_AGGS, FEATURE_COLS, GRAPH_FEATURE_COLS, STREAM_SCHEMA, TX_COLUMNS
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[QueryFn, str | None]] = {}
@@ -744,10 +744,11 @@ def e10_local_fraud_rate(spark, sf_dir):
 GF_SELECT = """SELECT lb.account,
   CAST(coalesce(dg.in_degree, 0) AS DOUBLE) AS in_degree, CAST(coalesce(dg.out_degree, 0) AS DOUBLE) AS out_degree,
   CAST(coalesce(dg.degree, 0) AS DOUBLE) AS degree, coalesce(dg.weighted_in_deg, 0) AS weighted_in_deg,
-  coalesce(dg.weighted_out_deg, 0) AS weighted_out_deg, coalesce(pr.x, 0) AS pagerank, CAST(0 AS DOUBLE) AS betweenness,
+  coalesce(dg.weighted_out_deg, 0) AS weighted_out_deg, coalesce(pr.x, 0) AS pagerank,
+  coalesce(bt.b, 0) / ((nn.N - 1) * (nn.N - 2)) AS betweenness,
   coalesce(cc.clustering_coeff, 0) AS clustering_coeff, coalesce(an.avg_neighbor_deg, 0) AS avg_neighbor_deg,
   coalesce(lf.local_fraud_rate, 0) AS local_fraud_rate, lb.is_fraud
-FROM lb LEFT JOIN dg USING (account) LEFT JOIN p{it} pr USING (account) LEFT JOIN cc USING (account)
+FROM nn, lb LEFT JOIN bt USING (account) LEFT JOIN dg USING (account) LEFT JOIN p{it} pr USING (account) LEFT JOIN cc USING (account)
   LEFT JOIN an USING (account) LEFT JOIN lf USING (account)"""
 
 
@@ -755,18 +756,7 @@ def _r6_all(inner: str, cols: list[str], keep: list[str]) -> str:
     return "SELECT " + ", ".join(keep + [f"round({c}, 6) AS {c}" for c in cols]) + f" FROM ({inner})"
 
 
-_GF_COLS = ["in_degree", "out_degree", "degree", "weighted_in_deg", "weighted_out_deg", "pagerank", "betweenness",
-            "clustering_coeff", "avg_neighbor_deg", "local_fraud_rate"]
-
-
-@register(
-    "e11_graph_features",
-    with_(TX, FEAT, GRAPH, pagerank_sql(PR_ITERS)) + _r6_all(GF_SELECT.format(it=PR_ITERS), _GF_COLS, ["account", "is_fraud"]),
-)
-def e11_graph_features(spark, sf_dir):
-    return E.graph_features(_feat(spark, sf_dir), pagerank_iterations=PR_ITERS, with_betweenness=False)
-
-
+_GF_COLS = list(GRAPH_FEATURE_COLS)
 BETWEENNESS_HOPS = 20  # rounds of the unrolled SQL; paths of the fixture are shorter
 
 
@@ -778,20 +768,27 @@ FROM nd LEFT JOIN bt USING (account), (SELECT CAST(count(*) AS DOUBLE) AS n FROM
 )
 def e7_betweenness(spark, sf_dir):
     _f, nd, ed = _graph(spark, sf_dir)
-    return EC.betweenness(ed, nd)
+    return EC.betweenness(ed, nd, exact=True)
+
+
+_E11_SQL = with_(TX, FEAT, GRAPH, pagerank_sql(PR_ITERS), betweenness_sql(BETWEENNESS_HOPS)) + _r6_all(
+    GF_SELECT.format(it=PR_ITERS), _GF_COLS, ["account", "is_fraud"]
+)
 
 
-@register("e11_graph_features_full")
-def e11_graph_features_full(spark, sf_dir):
-    return E.graph_features(_feat(spark, sf_dir))
+@register("e11_graph_features", _E11_SQL)
+def e11_graph_features(spark, sf_dir):
+    return E.graph_features(_feat(spark, sf_dir), pagerank_iterations=PR_ITERS, betweenness_k=None)
+
+
+register("e11_graph_features_full", _E11_SQL)(e11_graph_features)
 
 
 AA_SQL = """aa AS (SELECT nameOrig AS account, avg(amount) AS amount, avg(amount_log) AS amount_log,
   avg(balance_diff_orig) AS balance_diff_orig, avg(balance_diff_dest) AS balance_diff_dest,
   CAST(max(orig_tx_count) AS DOUBLE) AS orig_tx_count, CAST(max(orig_total_sent) AS DOUBLE) AS orig_total_sent,
   CAST(max(orig_unique_dests) AS DOUBLE) AS orig_unique_dests, avg(type_encoded) AS type_encoded FROM feat GROUP BY nameOrig)"""
-_AA_COLS = ["amount", "amount_log", "balance_diff_orig", "balance_diff_dest", "orig_tx_count", "orig_total_sent",
-            "orig_unique_dests", "type_encoded"]
+_AA_COLS = [c for c, _ in ACCOUNT_AGGS]
 
 
 @register("e12_account_aggregates", with_(TX, FEAT, AA_SQL) + _r6_all("SELECT * FROM aa", _AA_COLS, ["account"]))
@@ -799,45 +796,28 @@ def e12_account_aggregates(spark, sf_dir):
     return E.account_aggregates(_feat(spark, sf_dir))
 
 
-@register(
-    "e13_node_features",
-    with_(TX, FEAT, GRAPH, pagerank_sql(PR_ITERS), AA_SQL, "gf AS (" + GF_SELECT.format(it=PR_ITERS) + ")")
-    + _r6_all(
-        "SELECT gf.account, gf.is_fraud, " + ", ".join(f"gf.{c}" for c in _GF_COLS) + ", "
-        + ", ".join(f"coalesce(aa.{c}, 0) AS {c}" for c in _AA_COLS) + " FROM gf LEFT JOIN aa USING (account)",
-        _GF_COLS + _AA_COLS, ["account", "is_fraud"],
-    ),
-)
-def e13_node_features(spark, sf_dir):
-    """Without E7, as its SQL; ``e13_node_features_full`` has all 18 features."""
-    return _node_features(_feat(spark, sf_dir), with_betweenness=False)
+_E13_SQL = with_(
+    TX, FEAT, GRAPH, pagerank_sql(PR_ITERS), betweenness_sql(BETWEENNESS_HOPS), AA_SQL,
+    "gf AS (" + GF_SELECT.format(it=PR_ITERS) + ")",
+) + _r6_all(
+    "SELECT gf.account, gf.is_fraud, " + ", ".join(f"gf.{c}" for c in _GF_COLS) + ", "
+    + ", ".join(f"coalesce(aa.{c}, 0) AS {c}" for c in _AA_COLS) + " FROM gf LEFT JOIN aa USING (account)",
+    _GF_COLS + _AA_COLS, ["account", "is_fraud"],
+)
 
 
-def _node_features(feat: DataFrame, with_betweenness: bool = True) -> DataFrame:
-    gf = E.graph_features(feat, pagerank_iterations=PR_ITERS, with_betweenness=with_betweenness)
+def _node_features(feat: DataFrame, pagerank_iterations: int | None = None, **pivots) -> DataFrame:
+    gf = E.graph_features(feat, pagerank_iterations=pagerank_iterations, **pivots)
     return E.node_features(gf, E.account_aggregates(feat)).drop("x")
 
 
-GF_FULL = GF_SELECT.replace(
-    "CAST(0 AS DOUBLE) AS betweenness", "coalesce(bt.b, 0) / ((nn.N - 1) * (nn.N - 2)) AS betweenness"
-).replace("FROM lb ", "FROM nn, lb LEFT JOIN bt USING (account) ")
+@register("e13_node_features", _E13_SQL)
+def e13_node_features(spark, sf_dir):
+    """All 18 features, betweenness from every node."""
+    return _node_features(_feat(spark, sf_dir), PR_ITERS, betweenness_k=None)
 
 
-@register(
-    "e13_node_features_full",
-    with_(
-        TX, FEAT, GRAPH, pagerank_sql(PR_ITERS), betweenness_sql(BETWEENNESS_HOPS), AA_SQL,
-        "gf AS (" + GF_FULL.format(it=PR_ITERS) + ")",
-    )
-    + _r6_all(
-        "SELECT gf.account, gf.is_fraud, " + ", ".join(f"gf.{c}" for c in _GF_COLS) + ", "
-        + ", ".join(f"coalesce(aa.{c}, 0) AS {c}" for c in _AA_COLS) + " FROM gf LEFT JOIN aa USING (account)",
-        _GF_COLS + _AA_COLS, ["account", "is_fraud"],
-    ),
-)
-def e13_node_features_full(spark, sf_dir):
-    """With betweenness from every node."""
-    return _node_features(_feat(spark, sf_dir))
+register("e13_node_features_full", _E13_SQL)(e13_node_features)
 
 
 @register(
@@ -1114,6 +1094,7 @@ def f8_feature_importance(spark, sf_dir):
 
 
 def _node_scores(spark, sf_dir):
+    """PageRank to its tolerance, betweenness from at most ``BETWEENNESS_PIVOTS`` nodes."""
     feat = _feat(spark, sf_dir)
     nf = _node_features(feat)
     cols = [c for c in nf.columns if c not in ("account", "is_fraud")]
