@@ -272,6 +272,29 @@ def test_exact_knn_matches_numpy(spark):
         assert [nn[i][r] for r in range(4)] == exp
 
 
+def test_approximate_neighbours_against_exhaustive_search(spark):
+    rnd = np.random.default_rng(9)
+    x = rnd.normal(size=(1500, 3)) @ rnd.normal(size=(3, 8)) + 0.05 * rnd.normal(size=(1500, 8))
+    x[400:460] = x[7]  # equal rows do not make a leaf larger
+    cols = [f"c{i}" for i in range(8)]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "i long, " + ", ".join(f"{c} double" for c in cols))
+    d = ((x[:, None, :] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    kth = np.sort(d, 1)[:, 4]
+    found = R.approximate_knn(df, "i", cols, 5, leaf_rows=128).collect()
+    assert len(found) == 1500 * 5 and len({(r["i"], r["_nb"]) for r in found}) == 1500 * 5
+    assert np.mean([d[r["i"], r["_nb"]] <= kth[r["i"]] + 1e-9 for r in found]) >= 0.9
+    one_leaf = R.approximate_knn(df, "i", cols, 5).collect()
+    assert sorted(map(tuple, one_leaf)) == sorted(map(tuple, R.exact_knn(df, "i", cols, 5, block_rows=400).collect()))
+
+
+def test_projection_trees_bound_their_leaves(spark):
+    rows = [(i, [1.0, 2.0] if i % 3 else [float(i), -1.0]) for i in range(2000)]
+    base = spark.createDataFrame(rows, "_q long, _v array<double>")
+    sizes = R._leaves(base, 2000, 3, 100, 2, 1).groupBy("_tree", "_leaf").count().collect()
+    assert sum(r["count"] for r in sizes) == 3 * 2000 and max(r["count"] for r in sizes) <= 110
+
+
 def test_smote_count_and_rows(spark):
     assert R.smote_count(10, 1000) == 90
     with pytest.raises(ValueError):
