@@ -1249,7 +1249,8 @@ def a10_requests_from_json(spark, sf_dir):
 
 # ------------------------------------------------------------------ I (streaming)
 from txrisk.streaming import stream as S  # noqa: E402
-from txrisk.streaming.runner import run_to_table  # noqa: E402
+from txrisk.streaming.runner import run_to_sink, run_to_table  # noqa: E402
+from txrisk.streaming.sinks import BatchSinks  # noqa: E402
 
 
 def _stream_src(spark, sf_dir):
@@ -1279,6 +1280,19 @@ def i4_stream_alert_stats(spark, sf_dir):
     )
 
 
+@register("a9_alert_sinks", _ALERTS_SQL + " WHERE is_fraud")
+def a9_alert_sinks(spark, sf_dir):
+    """The alerts read back from sinks to which every batch was handed twice."""
+    sinks = BatchSinks(scratch_path(spark, "alert-sinks"), {"alerts": lambda b: b.where("is_fraud"), "stats": H.alert_stats})
+
+    def twice(batch, number):
+        sinks(batch, number)
+        sinks(batch, number)
+
+    run_to_sink(spark, _stream_src(spark, sf_dir), lambda s: S.stream_rule_alerts(s, "score_stub"), twice)
+    return sinks.read(spark, "alerts").select("tx_id", "rule_score", "fraud_proba", "is_fraud", "risk_level", "alert_reason")
+
+
 @register(
     "i5_stream_window_graph",
     with_(TX)
@@ -1290,8 +1304,8 @@ SELECT window_step, account, count(*) FILTER (WHERE o = 0) AS in_degree, count(*
 FROM b WHERE account IS NOT NULL GROUP BY ALL""",
 )
 def i5_stream_window_graph(spark, sf_dir):
-    edges = run_to_table(spark, _stream_src(spark, sf_dir), S.stream_window_edges, mode="update", keys=S.WINDOW_KEYS)
-    return S.window_degrees(edges)
+    panes = run_to_table(spark, _stream_src(spark, sf_dir), S.stream_panes, mode="update", keys=S.PANE_KEYS)
+    return S.window_graph(panes)
 
 
 def _live_models(spark, sf_dir):

@@ -65,3 +65,19 @@ def run_to_table(
     values = [c for c in table.columns if c not in (*keys, "_batch")]
     latest = table.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("_v"))
     return latest.select(*keys, "_v.*")
+
+
+def run_to_sink(
+    spark: SparkSession,
+    source: DataFrame,
+    build: Callable[[DataFrame], DataFrame],
+    sink: Callable[[DataFrame, int], None],
+    chunks: int = 8,
+) -> None:
+    """Replay ``source`` as a stream through ``build`` into a ``foreachBatch`` sink."""
+    src, checkpoint = (scratch_path(spark, f"stream-{n}") for n in ("src", "ckpt"))
+    for part in slices(source, chunks):
+        part.write.mode("append").parquet(src)
+        out = build(read_stream(spark, src, source.schema))
+        writer = out.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        writer.foreachBatch(sink).start().awaitTermination()
