@@ -172,11 +172,16 @@ def test_ensemble_round_trip_and_null_graph_score(spark, tmp_path):
     before = {r["tx_id"]: r["ml_proba"] for r in ens.score(rows, gnn="g").collect()}
     two = {r["tx_id"]: r["ml_proba"] for r in M.Ensemble(a, b, None, 0.4, cols).score(rows).collect()}
     assert all(before[i] == pytest.approx(two[i]) for i in before if i % 3 == 0)
+    from txrisk.operators import prep as D
+
+    ens.scaler = D.fit_scaler(train, cols)
     ens.save(str(tmp_path / "e"))
     again = M.Ensemble.load(spark, str(tmp_path / "e"))
     assert again.threshold == 0.4 and again.cols == cols and again.stacker is not None
     after = {r["tx_id"]: r["ml_proba"] for r in again.score(rows, gnn="g").collect()}
     assert before == after
+    plain = {r["tx_id"]: r["a"] for r in D.apply_scaler(rows, ens.scaler, ["tx_id"]).collect()}
+    assert {r["tx_id"]: r["a"] for r in again.scale(rows).collect()} == plain and "g" in again.scale(rows).columns
 
 
 def test_batch_scoring_equals_stream_scoring(spark):

@@ -1109,11 +1109,20 @@ def f4_blend(spark, sf_dir):
 
 @register("f5_fit_stacker")
 def f5_fit_stacker(spark, sf_dir):
-    p = _stub_probas(spark, sf_dir).na.fill(0.0, ["p_gnn"])
-    tx = _tx(spark, sf_dir).select("tx_id", "step")
-    p = p.join(tx, "tx_id")
-    model = M.fit_stacker(p.where(F.col("step") <= 600))
-    return M.apply_stacker(model, p.where(F.col("step") > 672)).select("tx_id", "isFraud", "ml_proba")
+    """A stacker on the scores of both tree models (10 rounds each) and of the graph model, fitted on the
+    validation split, which none of them was fitted on, and applied to the test split."""
+    train, val, test = _noisy_frames(spark, sf_dir)
+    a, b = (m.model for m in M.boost_both(train, rounds=10))
+    nodes, edges = _degree_nodes(_split(spark, sf_dir).where("split = 'train'").drop("split"))
+    graph = EN.NodeClassifier(inputCols=_DEGREE_COLS + _AA_COLS, hops=2).on_edges(edges).fit(nodes).transform(nodes)
+    scores = checkpointed(graph.select("account", F.col("gnn_proba").alias("p_gnn")))
+
+    def scored(rows):
+        both = M.predict_proba(b, M.predict_proba(a, rows, "p_xgb"), "p_lgb")
+        return both.join(scores.withColumnRenamed("account", "nameOrig"), "nameOrig", "left")
+
+    model = M.fit_stacker(scored(val).na.fill(0.0, ["p_gnn"]))
+    return M.apply_stacker(model, scored(test)).select("tx_id", "isFraud", "ml_proba")
 
 
 @register("f8_feature_importance")
@@ -1203,6 +1212,7 @@ def a6_save_load_ensemble(spark, sf_dir):
     """Scores of the saved and loaded ensemble beside those before."""
     train, val, test = (d.drop("split", "nameOrig") for d in _noisy_frames(spark, sf_dir))
     ens = M.fit_ensemble(train, val, use_smote=False)
+    ens.scaler = D.fit_scaler(C.feature_matrix(_split(spark, sf_dir), keep=["split"]).where(F.col("split") == "train"))
     path = scratch_path(spark, "ensemble")
     ens.save(path)
     before = ens.score(test, output="before").select("tx_id", "before")
