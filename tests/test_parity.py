@@ -16,7 +16,11 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", [n for n, (_f, s) in QUERIES.items() if s is not None])
+#: A query of two names is compared once: e11_..._full and e13_..._full are e11_... and e13_....
+NAMES = [n for n, (_f, s) in QUERIES.items() if s is not None and not (n.endswith("_full") and QUERIES[n[:-5]][1] == s)]
+
+
+@pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
     fn, sql = QUERIES[name]
     r = compare(spark, con, name, fn, sql, SF)
