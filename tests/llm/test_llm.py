@@ -341,6 +341,68 @@ def test_secrets_match_brute_force_and_link_weak_parts(spark, docs):
     assert clean[1] == "[SECRET] [SECRET] at [SECRET]" and clean[2] == rows[1][1]
 
 
+def test_secrets_of_a_text_with_very_many_matches(spark):
+    """Matches on both sides of every stretch of running totals, overlapping
+    spans, and weak candidates hidden by strong ones; in a time that grows with
+    the matches."""
+    rnd = random.Random(3)
+    hexes = ["".join(rnd.choices("0123456789abcdef", k=24)) for _ in range(32_000)]
+    texts = [
+        " é".join(hexes),
+        " ".join(f"token={h} " if i % 3 else f"user: secret:{h} https://ex.org/{h}" for i, h in enumerate(hexes[:3000])),
+        " ".join(f"x{i} " + h for i, h in enumerate(hexes[:256])), " ".join(hexes[:257]) + " end", "none",
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    strong = {p.kind for p in secret_scan.STRONG}
+    found = {r["doc_id"]: r["secrets"] for r in secret_scan.scan_secrets(df).collect()}
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(df).collect()}
+    for i, text in enumerate(texts):
+        assert [(s["start"], s["end"], s["kind"]) for s in found[i] if s["kind"] in strong] == B.base_secrets(text)
+        at, out = 0, []
+        for s in found[i]:
+            if s["start"] >= at:
+                out += [text[at : s["start"]], "[SECRET]"]
+            at = max(at, s["end"])
+        assert clean[i] == "".join(out) + text[at:]
+    # "user: secret:..." and the endpoints overlap strong spans, so they are no candidates
+    assert {s["kind"] for s in found[1]} == {"assign", "hex"}
+
+
+def test_near_duplicates_keep_a_row_of_each_component(spark):
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [
+        (1, a, "x"), (1, b, "x"), (2, b, "x"), (None, a, "x"), (3, a, "y"), (1, a, "x"),
+        (None, "lonely words here", "x"), (None, "lonely words here", "x"), (None, None, None), (4, "", "x"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    kept = simhash_dedup.drop_near_duplicates(df)
+    got = sorted(map(tuple, kept.collect()), key=str)
+    assert kept.columns == df.columns
+    assert got == sorted([(1, a, "x"), (1, b, "x"), (None, "lonely words here", "x"), (4, "", "x")], key=str)
+
+
+def test_pipeline_stages_with_odd_and_empty_documents(spark):
+    """Columns named like those that the stages make come out as they went in."""
+    import corpus_pipeline
+
+    clash = ["copy", "copies", "doc", "row", "quality", "base_failed", "draw"]
+    docs = _odd(spark).select("*", *[F.lit("clash").alias(c) for c in clash])
+    prints = [B.simhash(r["text"] or "") for r in docs.collect()]
+    groups = len(set(B.components(range(len(prints)), prints).values()))
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, docs, "/root/testdata/sf0.001")
+        assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0, name
+        if name == "packing":
+            continue
+        assert made.columns[: len(docs.columns)] == docs.columns
+        rows = made.collect()
+        assert all(r[c] == "clash" for r in rows for c in [*clash, "topic", "weight", "n_words", "__key"])
+        assert name in ("quality_rules", "mixing") or len(rows) == {"secret_scan": len(prints), "simhash_near_dedup": groups}[name]
+    mixed = corpus_pipeline.mixing(spark, docs, "")
+    packed = corpus_pipeline.pack(spark, mixed, "").count()
+    assert mixed.columns[-1] == "copy_" and packed >= mixed.count()
+
+
 def test_raking_meets_the_margins_and_samples_them(spark):
     rnd = np.random.default_rng(6)
     n = 6000

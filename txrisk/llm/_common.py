@@ -55,6 +55,37 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Entries that a running total goes through one by one.
+RUN = 256
+
+
+def blocks_of(values: Column, body: Callable[[Column], Column]) -> Column:
+    """Array of ``body`` of each stretch of at most RUN entries of a non-empty array."""
+    last = F.floor((F.size(values) - 1) / RUN).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda b: body(F.slice(values, b * RUN + 1, RUN)))
+
+
+def running(values: Column, plus: Callable[[Column, Column], Column]) -> Column:
+    """For each entry of a non-empty array of ints, the total of those before it
+    (0 for the first). ``plus`` is associative, 0 leaves it unchanged. An
+    accumulated array is copied at every step, so totals are taken inside short
+    stretches and over the stretches."""
+
+    def short(items: Column) -> Column:
+        start = F.struct(F.lit(0).alias("total"), F.array().cast("array<int>").alias("before"))
+        return F.aggregate(items, start, lambda acc, x: F.struct(
+            plus(acc["total"], x).alias("total"), F.concat(acc["before"], F.array(acc["total"])).alias("before")
+        ))
+
+    def whole(stretches: Column) -> Column:
+        before = short(F.transform(stretches, lambda s: s["total"]))["before"]
+        return F.flatten(
+            F.zip_with(stretches, before, lambda s, so_far: F.transform(s["before"], lambda x: plus(so_far, x)))
+        )
+
+    return let(values, lambda v: let(blocks_of(v, short), whole))
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; none for null."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))

@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -79,14 +79,19 @@ def near_duplicates(
         docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), shingle).alias("fp")), "fingerprints"
     )
     distinct = materialise(prints.groupBy("fp").agg(F.min("id").alias("low")), "distinct-fingerprints")
-    roots = connected_components(close_links(distinct.select("fp"), max_distance))
-    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    placed = placed.select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    placed = _with_root(distinct, max_distance)
     lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = placed.join(lowest, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
 
 
+def _with_root(distinct: DataFrame, max_distance: int) -> DataFrame:
+    """``distinct`` (one row per fp) plus root, the fingerprint that names the component."""
+    roots = connected_components(close_links(distinct.select("fp"), max_distance))
+    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return placed.withColumn("root", F.coalesce("root", "fp"))
+
+
 def close_links(prints: DataFrame, max_distance: int = 4) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that connect all
     pairs of at most ``max_distance`` differing bits: a spanning forest of each
@@ -186,15 +191,18 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def drop_near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4
 ) -> DataFrame:
-    """One document of each component stays: that of the smallest id, columns
-    unchanged. Of rows that repeat that id, the first by their columns stays.
-    Rows without an id cannot be named by a component; of these one per equal
-    text stays."""
-    named = docs.where(F.col(id_col).isNotNull())
-    classes = near_duplicates(named, id_col, text_col, shingle, max_distance)
-    keep = classes.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    order = Window.partitionBy(id_col).orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != id_col])
-    nth = unused(docs, "nth")
-    kept = named.join(keep, id_col, "left_semi").withColumn(nth, F.row_number().over(order))
-    kept = kept.where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
+    """One row of each component stays, columns unchanged: that of the smallest
+    id, null ids last; of rows that share this id, the one of the smallest
+    digest of all columns. Rows are told apart by that digest, so ids may be null
+    or repeated. Null and empty texts are one component; an empty table gives
+    no rows."""
+    row = unused(docs, "row")
+    # null fields are left out, so a digest names the columns that it covers
+    digest = F.unhex(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])), 256))
+    order = F.struct(F.col("id").isNull().alias("unnamed"), "id", "row")
+    prints = docs.select(F.col(id_col).alias("id"), digest.alias("row"), fingerprint(F.col(text_col), shingle).alias("fp"))
+    distinct = materialise(prints.groupBy("fp").agg(F.min(order).alias("first")), "first-rows")
+    keep = _with_root(distinct, max_distance).groupBy("root").agg(F.min("first").alias("first"))
+    # equal rows have one digest; they meet map-side before the texts are shuffled
+    rows = docs.withColumn(row, digest).dropDuplicates([row])
+    return rows.join(keep.select(F.col("first.row").alias(row)), row, "left_semi").drop(row)
