@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and calls one operator of ``txrisk.llm``
 on everything its predecessor kept. Stages are written as Parquet and reread.
+An empty table gives no rows in every stage; null and empty texts end at the
+quality rules; repeated rows are one near-duplicate component; further columns
+are handed on unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,14 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txrisk.llm import packing, quality_rules, queries, secret_scan, simhash_dedup
-from txrisk.llm._common import materialise, table
+from txrisk.llm._common import materialise, table, unused
 from txrisk.llm.mixing import sample
 
 
+def boxed(docs: DataFrame, *needed: str) -> DataFrame:
+    """All columns as one struct and those that an operator needs beside it, so
+    columns named like the operator's own stay as they are."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), *needed)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base test and the learned decision list."""
     rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.judge(docs, rules).where("kept").select(*docs.columns)
+    return quality_rules.judge(boxed(docs, "text"), rules).where("kept").select("__doc.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,17 +37,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with found secrets replaced by a mark; n_chars follows the text."""
     clean = secret_scan.redact(docs)
-    return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return clean.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of the documents that follows the target shares: rows in whole copies."""
-    return sample(queries.mixed(docs)).select(*docs.columns, "copy")
+    """A sample of the documents that follows the target shares: rows in whole
+    copies, whose number is the last column."""
+    mixed = queries.mixed(boxed(docs, "doc_id", "source", "lang", "text"))
+    return sample(mixed).select("__doc.*", F.col("copy").alias(unused(docs, "copy")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their place in sequences of 1,024."""
-    return packing.pack(docs, queries.vocabulary_path(), copy_col="copy")
+    return packing.pack(docs, queries.vocabulary_path(), copy_col=docs.columns[-1])
 
 
 STAGES = [
