@@ -193,16 +193,18 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """One row of each component stays, columns unchanged: that of the smallest
     id, null ids last; of rows that share this id, the one of the smallest
-    digest of all columns. Rows are told apart by that digest, so ids may be null
-    or repeated. Null and empty texts are one component; an empty table gives
-    no rows."""
-    row = unused(docs, "row")
-    # null fields are left out, so a digest names the columns that it covers
+    digest of all columns, and one of rows equal in every column. Rows are
+    numbered and written with their number, so ids may be null or repeated. Null
+    and empty texts are one component; an empty table gives no rows."""
+    row, fp = unused(docs, "row"), unused(docs, "fp")
+    numbered = docs.withColumns({row: F.monotonically_increasing_id(), fp: fingerprint(F.col(f"`{text_col}`"), shingle)})
+    numbered = materialise(numbered, "numbered")
+    # null fields are left out of the JSON, so a digest names the columns that it covers
     digest = F.unhex(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])), 256))
-    order = F.struct(F.col("id").isNull().alias("unnamed"), "id", "row")
-    prints = docs.select(F.col(id_col).alias("id"), digest.alias("row"), fingerprint(F.col(text_col), shingle).alias("fp"))
-    distinct = materialise(prints.groupBy("fp").agg(F.min(order).alias("first")), "first-rows")
+    order = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), digest.alias("digest"), F.col(row).alias("row"))
+    distinct = numbered.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("first"))
+    distinct = materialise(distinct, "first-rows")
     keep = _with_root(distinct, max_distance).groupBy("root").agg(F.min("first").alias("first"))
-    # equal rows have one digest; they meet map-side before the texts are shuffled
-    rows = docs.withColumn(row, digest).dropDuplicates([row])
-    return rows.join(keep.select(F.col("first.row").alias(row)), row, "left_semi").drop(row)
+    return numbered.join(keep.select(F.col("first.row").alias(row)), row, "left_semi").select(
+        *[F.col(f"`{c}`") for c in docs.columns]
+    )
