@@ -298,7 +298,8 @@ def fit(
     """Learn from at most ``max_labelled`` labelled documents (those of the
     smallest hash of their id), a documented bound of the fitting sample; that
     list of ids is small by this bound and is broadcast. Ids with labels that
-    differ, null ids and null labels take no part."""
+    differ, null ids and null labels take no part; repeated ids of ``docs`` count
+    once each; no labels or no documents give an empty list."""
     picked = (
         labels.where(F.col(id_col).isNotNull() & F.col("quality").isin(0, 1))
         .groupBy(id_col)
@@ -308,7 +309,8 @@ def fit(
         .orderBy(F.xxhash64(id_col), id_col)
         .limit(max_labelled)
     )
-    texts = docs.select(id_col, "text").join(F.broadcast(picked), id_col)
+    # written first: else the base test is pushed below the join, over every document
+    texts = materialise(docs.select(id_col, "text").join(F.broadcast(picked), id_col), "labelled-texts")
     # texts that fail the base test need no rule
     return learn(features(base_statistics(texts)).where(~base_failed()), "quality", **options)
 
