@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.llm._common import let, materialise
+from txrisk.llm._common import blocks_of, let, materialise, running
 
 _GAP = r"""["']?\x20*[:=]\x20*["']?"""
 
@@ -61,59 +61,63 @@ def matches(text: Column, pattern: Pattern) -> Column:
     none = F.array().cast(f"array<{SPAN}>")
 
     def place(found: Column) -> Column:
-        gaps = F.split(text, pattern.regex, -1)
-        start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-
-        def step(acc: Column, pair: Column) -> Column:
-            begin = acc["at"] + pair["gap"]
-            end = begin + F.char_length(pair["hit"])
-            hit = pair["hit"] if not pattern.group else F.regexp_extract(pair["hit"], pattern.regex, pattern.group)
-            span = F.struct(
-                begin.alias("start"), F.lit(RANK[pattern.kind]).alias("rank"), end.alias("end"),
-                F.lit(pattern.kind).alias("kind"), F.lit(pattern.part).alias("part"),
-            )
-            more = F.when(F.char_length(hit) >= pattern.least, F.array(span)).otherwise(none)
-            return F.struct(end.alias("at"), F.concat(acc["spans"], more).alias("spans"))
-
-        pairs = F.zip_with(
-            F.transform(gaps, F.char_length), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))
+        gaps = F.slice(F.transform(F.split(text, pattern.regex, -1), F.char_length), 1, F.size(found))
+        pairs = F.zip_with(gaps, found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"), F.char_length(h).alias("size")))
+        return let(pairs, spans)
+
+    def spans(pairs: Column) -> Column:
+        before = running(F.transform(pairs, lambda p: p["gap"] + p["size"]), lambda a, b: a + b)
+        placed = F.zip_with(
+            pairs, before, lambda p, at: F.struct((at + p["gap"]).alias("start"), p["size"].alias("size"), p["hit"].alias("hit"))
         )
-        return F.aggregate(F.filter(pairs, lambda p: p["hit"].isNotNull()), start, step, lambda acc: acc["spans"])
+        value = lambda p: p["hit"] if not pattern.group else F.regexp_extract(p["hit"], pattern.regex, pattern.group)
+        return F.transform(
+            F.filter(placed, lambda p: F.char_length(value(p)) >= pattern.least),
+            lambda p: F.struct(
+                p["start"].alias("start"), F.lit(RANK[pattern.kind]).alias("rank"), (p["start"] + p["size"]).alias("end"),
+                F.lit(pattern.kind).alias("kind"), F.lit(pattern.part).alias("part"),
+            ),
+        )
 
     found = F.regexp_extract_all(text, F.lit(pattern.regex), F.lit(0))
     return F.when(text.rlike(pattern.regex), let(found, place)).otherwise(none)
 
 
 def find_parts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` plus __key (digest of the text), __strong and __weak spans. Weak
-    matches that overlap a strong one are left out."""
+    """``docs`` plus __key (digest of the text), __strong spans and __weak candidates."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     strong = F.concat(*[matches(text, p) for p in STRONG])
     weak = F.concat(*[matches(text, p) for p in WEAK])
-    found = docs.withColumns({"__key": F.sha2(text, 256), "__strong": F.sort_array(strong), "__all_weak": weak})
-    clear = F.filter(
-        "__all_weak",
-        lambda w: ~F.exists("__strong", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])),
-    )
-    return found.withColumn("__weak", clear).drop("__all_weak")
+    return docs.withColumns({"__key": F.sha2(text, 256), "__strong": F.sort_array(strong), "__weak": weak})
+
+
+def _by_bucket(spans: DataFrame, column: str, scope: int, margin: int = 0) -> DataFrame:
+    """One row per span and bucket of ``scope`` code points that it touches,
+    widened by ``margin`` on both sides."""
+    first = F.floor((F.col(f"{column}.start") - margin) / scope)
+    last = F.floor((F.col(f"{column}.end") - 1 + margin) / scope)
+    return spans.withColumn("bucket", F.explode(F.sequence(first, last)))
 
 
 def link_parts(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(__key, __linked): the weak spans of each text that complementary parts
-    support. Equal texts are looked at once. Each part's scope is an interval
-    dealt to the buckets it touches; matches of one pattern do not overlap, so
-    a scope holds a bounded number of them however long the text is."""
+    support. Weak candidates that overlap a strong span are left out. Equal
+    texts are looked at once. Spans and scopes are intervals dealt to the
+    buckets they touch; matches of one pattern do not overlap, so a bucket
+    holds a bounded number of them however long the text is."""
     texts = found.where(F.size("__weak") > 0).select("__key", "__strong", "__weak").dropDuplicates(["__key"])
-    parts = texts.select("__key", F.explode(F.concat("__strong", "__weak")).alias("p"))
-    reach = parts.select(
-        "__key",
-        F.col("p.part").alias("other"),
-        F.col("p.start").alias("at"),
-        F.explode(
-            F.sequence(F.floor((F.col("p.start") - scope) / scope), F.floor((F.col("p.start") + scope) / scope))
-        ).alias("bucket"),
-    )
-    weak = texts.select("__key", F.explode("__weak").alias("w")).withColumn("bucket", F.floor(F.col("w.start") / scope))
+    strong = texts.select("__key", F.explode("__strong").alias("s"))
+    candidates = texts.select("__key", F.explode("__weak").alias("w"))
+    beside = _by_bucket(candidates, "w", scope).join(_by_bucket(strong, "s", scope), ["__key", "bucket"])
+    hidden = beside.where("s.start < w.end AND w.start < s.end").select("__key", "w")
+    weak = materialise(candidates.join(hidden, ["__key", "w"], "left_anti"), "weak")
+    parts = strong.select("__key", F.col("s").alias("p")).unionByName(weak.select("__key", F.col("w").alias("p")))
+    starts = parts.select(
+        "__key", F.col("p.part").alias("other"), F.col("p.start").alias("at"),
+        F.struct(F.col("p.start").alias("start"), (F.col("p.start") + 1).alias("end")).alias("place"),
+    )
+    reach = _by_bucket(starts, "place", scope, margin=scope).drop("place")
+    weak = weak.withColumn("bucket", F.floor(F.col("w.start") / scope))
     near = weak.join(reach, ["__key", "bucket"]).where(F.abs(F.col("at") - F.col("w.start")) <= scope)
     seen = near.groupBy("__key", "w").agg(
         *[F.max((F.col("other") == part).cast("int")).alias(f"has_{part}") for part in NEEDS]
@@ -129,18 +133,16 @@ def link_parts(found: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 def _scan(docs: DataFrame, text_col: str, scope: int, keep_text: bool) -> DataFrame:
     """(doc, spans): each row's columns as a struct (with the text if asked
-    for) and its spans."""
+    for) and its spans. Every text is matched once: what was found is written
+    down, and only rows with weak candidates look up their links."""
     cols = [c for c in docs.columns if keep_text or c != text_col] or docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("doc"), F.col(text_col).alias("text"))
-    found = find_parts(rows).select("doc", "__key", "__strong", "__weak")
-    if not keep_text:
-        found = materialise(found, "parts")
-    # rows without weak candidates have nothing to look up; they are spread out
-    lookup = F.when(F.size("__weak") > 0, F.col("__key")).otherwise(F.concat(F.lit("-"), F.xxhash64("doc").cast("string")))
-    linked = link_parts(found, scope).withColumnRenamed("__key", "__of")
-    joined = found.withColumn("__lookup", lookup).join(linked, F.col("__lookup") == F.col("__of"), "left")
+    found = materialise(find_parts(rows).select("doc", "__key", "__strong", "__weak"), "parts")
+    plain = found.where(F.size("__weak") == 0).select("doc", F.col("__strong").alias("spans"))
+    joined = found.where(F.size("__weak") > 0).join(link_parts(found, scope), "__key", "left")
     none = F.array().cast(f"array<{SPAN}>")
-    return joined.select("doc", F.sort_array(F.concat("__strong", F.coalesce("__linked", none))).alias("spans"))
+    both = F.sort_array(F.concat("__strong", F.coalesce("__linked", none)))
+    return plain.unionByName(joined.select("doc", both.alias("spans")))
 
 
 def scan_secrets(docs: DataFrame, text_col: str = "text", scope: int = SCOPE, keep_text: bool = False) -> DataFrame:
@@ -158,20 +160,35 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _covered(text: Column, spans: Column, mark: str) -> Column:
+    """``text`` with the spans (ordered by start, at least one) replaced by
+    ``mark``. A stretch of spans cuts its own piece of the text first, so that
+    no span looks for its place from the beginning."""
+    ends = F.transform(spans, lambda s: s["end"])
+    before = running(ends, F.greatest)
+    marks = F.filter(
+        F.zip_with(spans, before, lambda s, b: F.struct(b.alias("from"), s["start"].alias("to"))), lambda m: m["to"] >= m["from"]
+    )
+
+    def stretch(some: Column) -> Column:
+        base, end = F.element_at(some, 1)["from"], F.element_at(some, -1)["to"]
+        piece = let(
+            F.substr(text, base + 1, end - base),
+            lambda here: F.array_join(
+                F.transform(some, lambda m: F.concat(F.substr(here, m["from"] - base + 1, m["to"] - m["from"]), F.lit(mark))), ""
+            ),
+        )
+        return piece
+
+    pieces = let(marks, lambda m: blocks_of(m, lambda some: let(some, stretch)))
+    return F.concat(F.array_join(pieces, ""), F.substr(text, F.array_max(ends) + 1))
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """``docs`` with every found span replaced by ``mark`` (overlapping spans by
-    one mark); columns as they were. Null texts stay null."""
-    text = F.col("text")
-
-    def cover(acc: Column, s: Column) -> Column:
-        gap = F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        piece = F.when(s["start"] >= acc["at"], F.array(F.concat(gap, F.lit(mark)))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1))
-    clean = F.when(F.size("spans") > 0, F.aggregate("spans", start, cover, rest)).otherwise(text)
-    scanned = _scan(docs, text_col, scope, keep_text=True).withColumn("text", F.col("doc")[text_col])
-    return scanned.select(
-        *[clean.alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns]
-    )
+    one mark); columns as they were, whatever their names. Null texts stay null;
+    repeated rows stay; an empty table gives no rows."""
+    text = F.col("doc")[text_col]
+    clean = F.when(F.size("spans") > 0, _covered(text, F.col("spans"), mark)).otherwise(text)
+    scanned = _scan(docs, text_col, scope, keep_text=True)
+    return scanned.select(*[clean.alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns])
