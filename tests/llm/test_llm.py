@@ -98,7 +98,9 @@ def test_pack_holds_every_token_once_and_fills_windows(spark, docs):
     import public_tokenizers
 
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
+    special = [(-1, "<|endoftext|>"), (-2, "a <|endoftext|> b<|endoftext|><|endoftext|>\n<|endoftext"), (-3, " <| endoftext|>")]
+    marked = docs.limit(3).drop("doc_id", "text").limit(1).crossJoin(docs.sparkSession.createDataFrame(special, "doc_id long, text string"))
+    docs = docs.unionByName(marked)
     got = packing.pack(docs, _vocabulary(), docs_per_shard=30).toPandas()
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     for doc, pieces in got.groupby("doc_id"):
@@ -266,6 +268,15 @@ def test_url_rules_and_terms(spark):
     assert got[7] == ("", "", None, "block") and got[8] == got[9] == ("", "", None, "allow")
     assert got[10][0] == "u:" and got[11][2] is None and got[12][2] is None
     assert url_filter.judge_urls(df.limit(0), queries.URL_RULES).count() == 0
+    # only ASCII letters and digits continue a word, as in the SQL
+    assert url_filter.count_terms("x://\u00e9casino\u00df/win\u0663/1free/HOT", url_filter.STRICT, url_filter.SOFT) == (1, 2)
+
+
+@pytest.mark.parametrize("make", [run_length_index.byte_unit, relative_lz.word_unit])
+def test_window_lengths_that_do_not_fit_are_refused(make):
+    for length in (0, -1, 281):
+        with pytest.raises(ValueError):
+            make(length)
 
 
 def test_simhash_matches_brute_force(docs):

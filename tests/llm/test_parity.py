@@ -26,6 +26,51 @@ def _rows(spark, name):
     return {r["doc_id"]: r for r in QUERIES[name][0](spark, SF).collect()}
 
 
+def test_op1_pieces_of_the_whole_table(spark):
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = QUERIES["op1_pack_best_fit"][0](spark, SF).toPandas()
+    assert set(got.doc_id) == set(_TEXTS)
+    for doc, pieces in got.groupby("doc_id"):
+        ids = np.array(library.encode(_TEXTS[doc], add_special_tokens=False).ids + [0], "<u4")
+        at = 0
+        for p in pieces.sort_values("start").itertuples():
+            assert (p.start, p.ids_crc32, p.doc_tokens) == (at, zlib.crc32(ids[at : at + p.length].tobytes()), len(ids))
+            at += p.length
+        assert at == len(ids)
+    tokens = got.length.sum()
+    for _, seq in got.sort_values("offset").groupby("sequence_id"):
+        assert seq.offset.tolist() == [0, *seq.length.cumsum()[:-1]] and seq.length.sum() <= 1024
+    assert got.sequence_id.nunique() * 1024 < tokens * 1.05 + 1024
+
+
+def test_op2_finds_the_nearest_of_the_whole_table(spark):
+    import numpy as np
+
+    rows = pd.read_parquet(f"{SF}/embeddings.parquet")
+    vector = next(c for c in rows.columns if isinstance(rows[c].iloc[0], np.ndarray))
+    vectors = {i: v.astype(float) for i, v in zip(rows.vec_id, rows[vector]) if v is not None}
+    vectors = {i: v for i, v in vectors.items() if np.isfinite(v).all() and v.any()}
+    ids, held = np.array(sorted(vectors)), np.stack([vectors[i] for i in sorted(vectors)])
+    got = QUERIES["op2_vp_search"][0](spark, SF).toPandas()
+    hits = asked = 0
+    for q in ids[ids % 20 == 0]:
+        scores = held @ vectors[q]
+        order = [i for i in np.lexsort((ids, -scores)) if ids[i] != q][:20]
+        mine = got[got.query_id == q].sort_values("rank")
+        assert mine["rank"].tolist() == list(range(1, len(order) + 1))
+        assert mine["score"].tolist() == pytest.approx([float(vectors[i] @ vectors[q]) for i in mine.vec_id], abs=1e-12)
+        assert mine["score"].is_monotonic_decreasing
+        hits += len(set(mine.vec_id) & set(ids[order]))
+        asked += len(order)
+    assert asked and hits >= 0.9 * asked
+
+
 def test_op3_statistics_and_verdicts(spark):
     for doc, r in _rows(spark, "op3_quality_rules").items():
         s = B.text_statistics(_TEXTS[doc])

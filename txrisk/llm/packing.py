@@ -8,8 +8,7 @@ remaining capacity.
 
 from __future__ import annotations
 
-import base64
-import zlib
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,9 +25,16 @@ PIECES = "doc_id {id_type}, start long, length long, ids binary, doc_tokens long
 
 @lru_cache(maxsize=2)
 def _encoding(path: str) -> tiktoken.Encoding:
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    """Encoder of a byte-level BPE vocabulary file (JSON). As in that file, the
+    strings of its special tokens stand for them, inside texts as well."""
+    from txrisk.llm.token_alignment import byte_letters
+
+    with open(path, encoding="utf-8") as file:
+        held = json.load(file)
+    special = {token["content"]: token["id"] for token in held["added_tokens"]}
+    letters = byte_letters()
+    ranks = {bytes(letters[c] for c in entry): n for entry, n in held["model"]["vocab"].items() if entry not in special}
+    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 class CapacityTree:
@@ -88,7 +94,8 @@ def cut(
 ) -> DataFrame:
     """Pieces (doc_id, start, length, ids little-endian uint32, doc_tokens, copy):
     full windows of ``capacity`` and a remainder. Null text is empty: its piece
-    is the end id alone. copy is 0 without ``copy_col``."""
+    is the end id alone. The strings of special tokens stand for those tokens.
+    copy is 0 without ``copy_col``."""
     columns = ["doc_id", "start", "length", "ids", "doc_tokens", "copy"]
 
     def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,7 +104,7 @@ def cut(
             rows: list[tuple] = []
             size = 0
             for doc, text, copy in zip(frame["doc_id"].array, frame["text"].array, frame["copy"].array):
-                ids = np.append(encode(text or "", disallowed_special=()), np.uint32(end_id)).astype("<u4")
+                ids = np.append(encode(text or "", allowed_special="all"), np.uint32(end_id)).astype("<u4")
                 for start in range(0, len(ids), capacity):
                     piece = ids[start : start + capacity]
                     rows.append((doc, start, len(piece), piece.tobytes(), len(ids), copy))
@@ -126,7 +133,7 @@ def pack(
     """All pieces with their place: doc_id, start, length, ids (binary, little-
     endian uint32), doc_tokens, sequence_id, offset.
 
-    ``vocabulary`` is the path of the rank file on every executor. Shards hold
+    ``vocabulary`` is the path of the JSON vocabulary on every executor. Shards hold
     the pieces of about ``docs_per_shard`` documents, so their number grows
     with the input while a task's memory does not; pieces of a long document
     spread over shards, and so do the copies of a document that ``copy_col``
@@ -146,7 +153,3 @@ def pack(
         return frame.drop(columns="shard").assign(sequence_id=(int(key[0]) << 32) + window, offset=offset)
 
     return pieces.groupBy("shard").applyInPandas(place, PIECES.format(id_type=id_type))
-
-
-def crc32_of(ids: bytes) -> int:
-    return zlib.crc32(ids)

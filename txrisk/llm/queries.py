@@ -14,7 +14,7 @@ from txrisk.llm import (
 from txrisk.llm._common import table
 
 #: Where executors find the public vocabularies (a parameter of the queries).
-VOCABULARY = "byte_bpe_50k.tiktoken"
+VOCABULARY = "byte_bpe_50k.json"
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 

@@ -80,7 +80,13 @@ def _words(data: bytes) -> np.ndarray:
     return word_symbols(data, starts, ends)
 
 
+#: The windows of an anchor and its place in them are kept in eight bits each.
+MAX_LENGTH = 250
+
+
 def word_unit(length: int = 20) -> Unit:
+    if not 1 <= length <= MAX_LENGTH:
+        raise ValueError(f"length must be 1 to {MAX_LENGTH}, not {length}")
     return Unit(length, min(8, max(1, length // 2)), 8, _words, _words, parse)
 
 
@@ -103,7 +109,7 @@ def drop_repeated_words(docs: DataFrame, length: int = 20, id_col: str = "doc_id
     share an id but differ in text are ordered by a digest of it, rows equal in
     both count as copies of the first; texts that differ only in white space
     are different texts with equal words; an empty table gives no rows; other
-    columns are ignored. ``length`` is at most 250.
+    columns are ignored. A ``length`` outside 1 to 250 is refused.
     """
     said = words(F.col("text"))
     return without_repeats(docs, word_unit(length), cut_words, F.size(said), F.array_join(said, " "), id_col, text_col)

@@ -135,7 +135,13 @@ def _bytes(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint8)
 
 
+#: The windows of an anchor and its place in them are kept in eight bits each.
+MAX_LENGTH = 280
+
+
 def byte_unit(length: int = 100) -> Unit:
+    if not 1 <= length <= MAX_LENGTH:
+        raise ValueError(f"length must be 1 to {MAX_LENGTH}, not {length}")
     gram = min(32, max(4, length // 3))
     return Unit(length, gram, 1, byte_symbols, _bytes, long_matches)
 
@@ -158,6 +164,6 @@ def drop_repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc_i
     nothing; a null id counts as the smallest; rows that share an id but differ
     in text are ordered by a digest of it, rows equal in both count as copies
     of the first; an empty table gives no rows; other columns are ignored.
-    ``length`` is at most 280.
+    A ``length`` outside 1 to 280 is refused.
     """
     return without_repeats(docs, byte_unit(length), cut_bytes, F.octet_length("text"), F.col("text"), id_col, text_col)

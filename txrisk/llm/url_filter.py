@@ -64,20 +64,21 @@ def _automaton(strict: tuple[str, ...], soft: tuple[str, ...]) -> ahocorasick.Au
 
 def count_terms(url: str, strict: tuple[str, ...], soft: tuple[str, ...]) -> tuple[int, int]:
     """(distinct strict terms, distinct soft terms) between boundaries: no
-    letter or digit before or after."""
+    ASCII letter or digit before or after."""
     text = url.translate(_FOLD)
     automaton = _automaton(strict, soft)
     hits: dict[str, bool] = {}
     if len(automaton):
         for end, (term, strong) in automaton.iter(text):
             start = end - len(term) + 1
-            if (start == 0 or not text[start - 1].isalnum()) and (end + 1 == len(text) or not text[end + 1].isalnum()):
+            if text[start - 1 : start] not in _INNER and text[end + 1 : end + 2] not in _INNER:
                 hits[term] = strong
     n_strict = sum(hits.values())
     return n_strict, len(hits) - n_strict
 
 
 _FOLD = str.maketrans(UPPER, LOWER)
+_INNER = frozenset(LOWER + "0123456789")
 
 
 def judge_urls(
