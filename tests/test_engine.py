@@ -95,6 +95,40 @@ def test_stream_state_scores_a_late_row_by_its_own_window():
     assert after[0] == [30, 40]
 
 
+def test_a_late_row_does_not_bring_its_destination_back_in_time():
+    first = pd.DataFrame([(40, "a", 1.0)], columns=["step", "nameDest", "amount"])
+    _, state = S.history_of_batch(first, None, 24)
+    rows = pd.DataFrame([(30, "a", 2.0), (60, "b", 4.0)], columns=["step", "nameDest", "amount"])
+    made, _ = S.history_of_batch(rows, state, 24)
+    # "a" was last met at 40, within the window of step 60, whatever came late
+    assert made["orig_unique_dests"].tolist() == [1, 1] and made["orig_tx_count"].tolist() == [2, 2]
+
+
+class _Clock:
+    """The state handle of one account, as Spark hands it to the function."""
+
+    def __init__(self, value, watermark_ms):
+        self.get, self.watermark_ms, self.hasTimedOut, self.exists = value, watermark_ms, True, True
+        self.removed, self.armed = False, None
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark_ms
+
+    def remove(self):
+        self.removed = True
+
+    def setTimeoutDuration(self, ms):
+        self.armed = ms
+
+
+def test_an_idle_account_is_dropped_only_when_event_time_has_passed_its_window():
+    fn, hour = S._history_fn(24, ["tx_id"], 1000), 3_600_000
+    for watermark, gone in ((100 * hour, False), (124 * hour, False), (124 * hour + 1, True)):
+        state = _Clock(([100], [1], [1.0], [], [], 100 * hour), watermark)
+        assert list(fn(("x",), iter([]), state)) == []
+        assert (state.removed, state.armed) == (gone, None if gone else 1000)
+
+
 def test_stream_state_is_linear_for_a_busy_account():
     def seconds(n):
         part = pd.DataFrame({"step": np.arange(n) // 1000, "nameDest": [f"d{i % 997}" for i in range(n)], "amount": 1.0})
@@ -194,7 +228,7 @@ def test_batch_scoring_equals_stream_scoring(spark):
     train = D.apply_scaler(fm, params, keep=["tx_id", "isFraud"])
     ens = M.Ensemble(M.train_gbt_a(train, rounds=2), M.train_gbt_b(train, rounds=2))
     batch = H.score_end_to_end(raw, ens, params)
-    streamed = run_to_table(spark, raw, lambda s: S.stream_score(s, ens, params), chunks=2)
+    streamed = run_to_table(spark, raw, lambda s: S.stream_score(s, ens, params), chunks=2, timers=True)
     cols = ["tx_id", "fraud_proba", "is_fraud", "risk_level", "alert_reason"]
     assert sorted(map(tuple, batch.select(cols).collect())) == sorted(map(tuple, streamed.select(cols).collect()))
 

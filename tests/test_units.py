@@ -314,7 +314,7 @@ def test_stream_history_equals_batch(spark):
 
     tx = tx_events(spark, SF).select([f.name for f in TX_SCHEMA.fields])
     batch = {r[0]: tuple(r[1:]) for r in H.history_features(tx).collect()}
-    streamed = run_to_table(spark, tx, lambda s: S.stream_history_features(s), chunks=4)
+    streamed = run_to_table(spark, tx, lambda s: S.stream_history_features(s), chunks=4, timers=True)
     got = {r["tx_id"]: (r["orig_tx_count"], r["orig_total_sent"], r["orig_unique_dests"]) for r in streamed.collect()}
     assert len(got) == len(batch)
     for k, v in batch.items():

@@ -102,6 +102,43 @@ def a10_validate_rows(spark, sf_dir):
     return A.validate_rows(_tx(spark, sf_dir)).select("tx_id", "valid", "reason")
 
 
+#: Requests of which some are refused: an amount from which a part is taken, a step before the start, no receiver.
+REQ = """rq AS (SELECT * REPLACE (CASE WHEN tx_id % 11 = 3 THEN step - 700 ELSE step END AS step,
+  amount - 20 AS amount, CASE WHEN tx_id % 13 = 5 THEN NULL ELSE nameDest END AS nameDest) FROM tx),
+rv AS (SELECT *, coalesce(step >= 0, false) AND coalesce(amount > 0, false) AND type IS NOT NULL AND nameOrig IS NOT NULL
+  AND nameDest IS NOT NULL AND oldbalanceOrg IS NOT NULL AND newbalanceOrig IS NOT NULL AND oldbalanceDest IS NOT NULL
+  AND newbalanceDest IS NOT NULL AS valid FROM rq)"""
+_COUNTED = """count(*) AS total, count(*) FILTER (WHERE valid) AS valid, count(*) FILTER (WHERE NOT valid) AS rejected,
+  count(*) FILTER (WHERE step IS NULL OR step < 0) AS bad_step, count(*) FILTER (WHERE amount IS NULL OR amount <= 0) AS bad_amount,
+  count(*) FILTER (WHERE type IS NULL) AS bad_type, count(*) FILTER (WHERE nameOrig IS NULL) AS bad_nameOrig,
+  count(*) FILTER (WHERE nameDest IS NULL) AS bad_nameDest,
+  CAST(coalesce(sum(isFraud) FILTER (WHERE valid), 0) AS BIGINT) AS fraud_count,
+  round(coalesce(sum(amount) FILTER (WHERE valid), 0), 6) AS amount"""
+
+
+def _requests(spark, sf_dir):
+    return _tx(spark, sf_dir).select(*TX_COLUMNS).withColumns({
+        "step": F.when(F.col("tx_id") % 11 == 3, F.col("step") - 700).otherwise(F.col("step")),
+        "amount": F.col("amount") - 20,
+        "nameDest": F.when(F.col("tx_id") % 13 == 5, F.lit(None)).otherwise(F.col("nameDest")),
+    })
+
+
+@register(
+    "a10_quarantine",
+    with_(TX, REQ) + f"SELECT {_COUNTED}, count(*) FILTER (WHERE valid) AS kept, count(*) FILTER (WHERE NOT valid) AS quarantined FROM rv",
+)
+def a10_quarantine(spark, sf_dir):
+    """Valid and quarantined requests written in one pass, the counters of that
+    pass, and the rows read back from both parts."""
+    path = scratch_path(spark, "requests")
+    seen = A.write_validated(_requests(spark, sf_dir), path)
+    back = A.read_validated(spark, path)
+    return back.agg(
+        *[F.lit(v).cast("double" if c == "amount" else "long").alias(c) for c, v in seen.items()], F.count_if("valid").alias("kept"), F.count_if(~F.col("valid")).alias("quarantined")
+    )
+
+
 # ------------------------------------------------------------------ B
 @register("b1_fraud_rate", with_(TX) + "SELECT round(avg(isFraud), 6) AS fraud_rate FROM tx")
 def b1_fraud_rate(spark, sf_dir):
@@ -191,6 +228,34 @@ def b8_distribution_by_class_all(spark, sf_dir):
     return reduce(DataFrame.unionByName, [B.distribution_by_class(feat, c) for c in B.DISTRIBUTION_FEATURES])
 
 
+@register(
+    "b8_distribution_sketch",
+    with_(TX, FEAT) + "SELECT feature, label, n, min, max, mean, true AS q1_near, true AS median_near, true AS q3_near FROM ("
+    + " UNION ALL ".join(_distribution_sql(c) for c in B.DISTRIBUTION_FEATURES) + ")",
+)
+def b8_distribution_sketch(spark, sf_dir):
+    """Every feature from mergeable sketches: one a month of 30 days, written and merged.
+    ``near``: the true rank of the sketched quartile is within twice the stated error."""
+    k, feat = 1024, _feat(spark, sf_dir)
+    months = feat.withColumn("_class", F.struct(F.col("isFraud").alias("label"), F.floor(F.col("step") / 720).alias("month")))
+    path = scratch_path(spark, "sketches")
+    B.distribution_sketches(months, label="_class", k=k).write.parquet(path)
+    parts = spark.read.parquet(path).withColumn("label", F.col("label.label"))
+    found = checkpointed(B.sketched_quartiles(B.merge_distributions(parts, k)))
+    values = F.array(*[
+        F.struct(F.lit(c).alias("feature"), (F.log1p(c) if c == "amount" else F.col(c).cast("double")).alias("v"))
+        for c in B.DISTRIBUTION_FEATURES
+    ])
+    rows = feat.select(F.col("isFraud").alias("label"), F.explode(values).alias("x")).select("label", "x.*").where("v IS NOT NULL AND NOT isnan(v)")
+    error = F.lit(2 * B.sketch_rank_error(k))
+    near = lambda c, p: (
+        (F.count_if(F.col("v") < F.col(c)) / F.count("v") <= p + error) & (F.count_if(F.col("v") <= F.col(c)) / F.count("v") >= p - error)
+    )
+    return rows.join(found, ["feature", "label"]).groupBy("feature", "label", "n", "min", "max", "mean").agg(
+        *[near(c, F.lit(p)).alias(f"{c}_near") for c, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))]
+    )
+
+
 _CORR_SQL = " UNION ALL ".join(
     f"SELECT '{c}' AS feature, CASE WHEN isnan(corr(CAST({c} AS DOUBLE), CAST(isFraud AS DOUBLE))) THEN NULL "
     f"ELSE round(corr(CAST({c} AS DOUBLE), CAST(isFraud AS DOUBLE)), 6) END AS corr FROM feat"
@@ -1267,6 +1332,10 @@ def _stream_src(spark, sf_dir):
     return _tx(spark, sf_dir).select(*TX_COLUMNS, "score_stub")
 
 
+_COUNTER_SCHEMA = (
+    "total long, valid long, rejected long, bad_step long, bad_amount long, bad_type long, bad_nameOrig long, "
+    "bad_nameDest long, fraud_count long, amount double"
+)
 _HISTORY_SQL = QUERIES["h1_history_features"][1]
 _ALERTS_SQL = with_(TX, RULE) + """SELECT tx_id, round(rule_score, 6) AS rule_score, fraud_proba, is_fraud, risk_level, alert_reason FROM al"""
 
@@ -1279,7 +1348,34 @@ def i1_stream_rule_alerts(spark, sf_dir):
 
 @register("i2_stream_history_features", _HISTORY_SQL)
 def i2_stream_history_features(spark, sf_dir):
-    return run_to_table(spark, _stream_src(spark, sf_dir), lambda s: S.stream_history_features(s))
+    return run_to_table(spark, _stream_src(spark, sf_dir), lambda s: S.stream_history_features(s), timers=True)
+
+
+#: Of the replay with late rows: every how many-th row is late, and by how many steps; far behind the watermark.
+LATE_EVERY, LATE_BY = 20, 60
+
+
+@register(
+    "i3_late_rows",
+    with_(TX)
+    + f""", t AS (SELECT *, step + CASE WHEN tx_id % {LATE_EVERY} = 0 THEN {LATE_BY} ELSE 0 END AS arrival FROM tx),
+l AS (SELECT min(arrival) AS lo, greatest(1, ceil((max(arrival) - min(arrival) + 1) / 8.0)) AS width FROM t),
+b AS (SELECT tx_id, nameOrig, nameDest, step, amount, floor((arrival - lo) / width) AS b FROM t, l),
+o AS (SELECT nameOrig, b, max(max(step)) OVER (PARTITION BY nameOrig ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top
+  FROM b GROUP BY nameOrig, b),
+r AS (SELECT b.*, o.top FROM b JOIN o ON o.b = b.b AND o.nameOrig IS NOT DISTINCT FROM b.nameOrig)
+SELECT r.tx_id, count(q.tx_id) + 1 AS orig_tx_count, round(coalesce(sum(q.amount), 0) + r.amount, 6) AS orig_total_sent,
+  CASE WHEN count(q.tx_id) > 0 THEN count(DISTINCT q.nameDest) ELSE 1 END AS orig_unique_dests
+FROM r LEFT JOIN b q ON q.nameOrig IS NOT DISTINCT FROM r.nameOrig AND q.step >= r.step - 24
+  AND ((q.b = r.b AND (q.step < r.step OR (q.step = r.step AND q.tx_id < r.tx_id))) OR (q.b < r.b AND q.step >= r.top - 24))
+GROUP BY r.tx_id, r.amount""",
+)
+def i3_late_rows(spark, sf_dir):
+    """History of a stream in which some rows arrive long after the watermark has passed
+    them: each is scored by what its account's state holds of its window."""
+    late = F.when(F.col("tx_id") % LATE_EVERY == 0, F.lit(LATE_BY)).otherwise(F.lit(0))
+    src = _stream_src(spark, sf_dir).withColumn("arrival", F.col("step") + late)
+    return run_to_table(spark, src, lambda s: S.stream_history_features(s), by="arrival", timers=True)
 
 
 @register("i4_stream_alert_stats", QUERIES["h9_alert_stats"][1])
@@ -1290,6 +1386,18 @@ def i4_stream_alert_stats(spark, sf_dir):
     )
 
 
+@register("i4_observed_counters", with_(TX, REQ) + f"SELECT {_COUNTED} FROM rv")
+def i4_observed_counters(spark, sf_dir):
+    """Running totals of a stream taken from its progress: what each batch counted
+    while its valid and quarantined rows went to their sinks, summed up."""
+    sinks = BatchSinks(scratch_path(spark, "validated"), {"valid": lambda b: b.where("valid"), "refused": lambda b: b.where("NOT valid")})
+    src = _requests(spark, sf_dir).withColumn("arrival", F.col("tx_id"))
+    batches = run_to_sink(spark, src, lambda s: A.counted(A.validate_rows(s)), sinks, chunks=3, by="arrival")
+    counters = [b[A.REQUESTS] for b in batches if A.REQUESTS in b]  # a row of counters a batch
+    seen = spark.createDataFrame(counters, schema=_COUNTER_SCHEMA)
+    return seen.agg(*[F.sum(c).alias(c) for c in seen.columns])
+
+
 @register("a9_alert_sinks", _ALERTS_SQL + " WHERE is_fraud")
 def a9_alert_sinks(spark, sf_dir):
     """The alerts read back from sinks to which every batch was handed twice."""
@@ -1336,7 +1444,7 @@ def h8_score_end_to_end(spark, sf_dir):
 @register("i6_stream_score")
 def i6_stream_score(spark, sf_dir):
     src, ens, params = _live_models(spark, sf_dir)
-    return run_to_table(spark, src, lambda s: S.stream_score(s, ens, params))
+    return run_to_table(spark, src, lambda s: S.stream_score(s, ens, params), timers=True)
 
 
 def _h2_sql() -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,6 +143,41 @@ def validate_rows(df: DataFrame) -> DataFrame:
     return df.select("*", (reason == "").alias("valid"), F.when(reason == "", None).otherwise(reason).alias("reason"))
 
 
+#: Name of the counters that ``counted`` observes.
+REQUESTS = "requests"
+
+
+def counted(validated: DataFrame, observation: Observation | str = REQUESTS, label: str | None = "isFraud") -> DataFrame:
+    """Rows of ``validate_rows``, counted on their way to wherever they
+    are written: total, valid, rejected, rejections by field and, of valid rows,
+    those of the ``label`` and their amount. No second pass; in a stream the
+    counters are in each batch's progress under the name given."""
+    ok = F.col("valid")
+    fields = ("step", "amount", "type", "nameOrig", "nameDest")
+    broken = [F.count_if(F.coalesce(F.col("reason"), F.lit("")).rlike(rf"(^|; ){c} (must|is)")).alias(f"bad_{c}") for c in fields]
+    has_label = label is not None and label in validated.columns
+    return validated.observe(
+        observation, F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("valid"), F.count_if(~ok).alias("rejected"), *broken,
+        *([F.coalesce(F.sum(F.when(ok, F.col(label))), F.lit(0)).cast("long").alias("fraud_count")] if has_label else []),
+        F.coalesce(F.sum(F.when(ok, F.col("amount"))), F.lit(0.0)).alias("amount"),
+    )
+
+
+def write_validated(df: DataFrame, path: str) -> dict:
+    """A10: valid rows and quarantined ones written in one pass, as two partitions
+    of one table (column ``valid``); returns the counters of that pass."""
+    seen = Observation(REQUESTS)
+    write_table(counted(validate_rows(df), seen), path, ["valid"])
+    return seen.get
+
+
+def read_validated(spark: SparkSession, path: str, valid: bool | None = None) -> DataFrame:
+    """What ``write_validated`` wrote; ``valid`` reads one part only (pruned)."""
+    rows = spark.read.parquet(path)
+    part = rows if valid is None else rows.where(F.col("valid") == F.lit(valid).cast("string"))
+    return part.withColumn("valid", F.col("valid").cast("boolean"))
+
+
 def requests_from_json(spark: SparkSession, lines: DataFrame, column: str = "value") -> DataFrame:
     """Batch request bodies (``{"transactions": [...]}``) to rows."""
     item = T.StructType([f for f in STREAM_SCHEMA.fields])
