@@ -25,3 +25,28 @@ def test_boosting_deals_rows_over_all_cores(spark, monkeypatch):
     finally:
         few.close()
     assert boosting.tasks_for(100 * cores + 1, cores) == 2 * cores
+
+
+def test_betweenness_takes_all_pivots_at_once_where_few_rows_are_passed(spark, monkeypatch):
+    """A sparse reach needs one chunk for more than 500 pivots; with a small bound on rows there are several."""
+    from txrisk.operators import centrality
+
+    edges = spark.range(600).select(
+        F.concat(F.lit("S"), F.col("id")).alias("src"), F.concat(F.lit("T"), F.col("id") % 3).alias("dst"), F.lit(1.0).alias("amount")
+    )
+    nodes = edges.select(F.col("src").alias("account")).union(edges.select("dst")).distinct()
+    chunks, sums = [], centrality._chunk_sums
+
+    def counted(pivots, w):
+        chunks.append(pivots.count())
+        return sums(pivots, w)
+
+    monkeypatch.setattr(centrality, "_chunk_sums", counted)
+    got = centrality.betweenness(edges, nodes, exact=True).collect()
+    assert chunks == [603] and len(got) == 603 and not any(r["betweenness"] for r in got)
+    w = spark.createDataFrame([(0, 1, 1), (1, 2, 1), (5, 6, 1)], "u long, v long, w long")
+    monkeypatch.setattr(centrality, "PIVOTS_A_CHUNK", 2)
+    monkeypatch.setattr(centrality, "ROWS_A_CHUNK", 30)
+    assert centrality._pivots_a_chunk(w) == 10  # three nodes receive
+    monkeypatch.setattr(centrality, "ROWS_A_CHUNK", 3)
+    assert centrality._pivots_a_chunk(w) == 2

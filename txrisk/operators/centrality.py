@@ -88,6 +88,8 @@ def pagerank(
 
 
 PIVOTS_A_CHUNK = 500
+#: (pivot, edge) rows that a round of a chunk may pass, all tasks together.
+ROWS_A_CHUNK = 50_000_000
 
 
 def ranked_pivots(node_df: DataFrame, seed: int = 42) -> DataFrame:
@@ -119,7 +121,7 @@ def betweenness(
     epsilon: float | None = None,
     failure: float = 0.1,
     seed: int = 42,
-    chunk: int = PIVOTS_A_CHUNK,
+    chunk: int | None = None,
     normalized: bool = True,
 ) -> DataFrame:
     """Brandes betweenness, directed, shortest paths weighted by amount (as
@@ -135,7 +137,9 @@ def betweenness(
 
     Pivots are a table with their rank in a seeded hash order; a chunk of them
     is a range of ranks. Per chunk the state is (pivot, node) rows, and each
-    edge of a shortest-path graph is passed once per direction (``_chunk_sums``)."""
+    edge of a shortest-path graph is passed once per direction (``_chunk_sums``).
+    ``chunk`` pivots make one; if not given, ``PIVOTS_A_CHUNK``, and with a known
+    number of pivots as many as ``ROWS_A_CHUNK`` allows (``_pivots_a_chunk``)."""
     if (k is not None) + exact + (epsilon is not None) != 1:
         raise ValueError("betweenness needs one of k, exact or epsilon")
     n = node_df.count()
@@ -152,6 +156,8 @@ def betweenness(
         .select("u", "v", "w")
     )
     last = n if k is None else k
+    if chunk is None:
+        chunk = PIVOTS_A_CHUNK if epsilon is not None else _pivots_a_chunk(w)
     total, done, looks = None, 0, max(1, math.ceil(math.log2(max(n / chunk, 1))) + 1)
     look_at = chunk
     while done < last:
@@ -172,6 +178,16 @@ def betweenness(
     return found.select("account", (F.coalesce(F.col("s"), F.lit(0.0)) * F.lit(scale)).alias("betweenness"))
 
 
+def _pivots_a_chunk(w: DataFrame) -> int:
+    """Pivots whose rounds pass at most ``ROWS_A_CHUNK`` rows (``PIVOTS_A_CHUNK`` at least).
+    A pivot reaches only nodes that receive, and passes, beside its own edges,
+    only those that such nodes send: a chunk's rounds cost the same few
+    jobs whatever it holds, so a sparse reach allows many pivots."""
+    receivers = w.select(F.col("v").alias("u")).distinct()
+    passed = w.join(receivers, "u", "left_semi").count()
+    return max(PIVOTS_A_CHUNK, ROWS_A_CHUNK // max(passed, receivers.count(), 1))
+
+
 def _distances(pivots: DataFrame, w: DataFrame) -> DataFrame:
     """(pivot, node, d) of all reachable nodes: the nodes that came nearer in a
     round relax their edges in the next one."""
