@@ -50,3 +50,33 @@ def test_betweenness_takes_all_pivots_at_once_where_few_rows_are_passed(spark, m
     assert centrality._pivots_a_chunk(w) == 10  # three nodes receive
     monkeypatch.setattr(centrality, "ROWS_A_CHUNK", 3)
     assert centrality._pivots_a_chunk(w) == 2
+
+
+def test_history_of_a_batch_builds_no_frames_by_account():
+    """Rows, late rows, nulls and state of one account against a plain count; no grouping by pandas in between."""
+    import numpy as np
+    import pandas as pd
+
+    from txrisk.streaming import stream
+
+    def refuse(*_a, **_k):
+        raise AssertionError("a frame is grouped for each account")
+
+    rng, state, held = np.random.default_rng(3), None, []
+    for batch in range(5):
+        steps = np.sort(rng.integers(20 * batch, 20 * batch + 30, 12))
+        dests = np.array([f"D{x}" if x else None for x in rng.integers(0, 4, 12)], object)
+        rows = pd.DataFrame({"step": steps, "tx_id": np.arange(12), "nameDest": dests, "amount": rng.integers(1, 9, 12) * 50.0})
+        top = max((s for s, _d, _a in held), default=0)
+        groupby, pd.DataFrame.groupby = pd.DataFrame.groupby, refuse
+        try:
+            made, state = stream.history_of_batch(rows, state, 24)
+        finally:
+            pd.DataFrame.groupby = groupby
+        known = [h for h in held if h[0] >= top - 24]
+        for (step, dest, amount), got in zip(rows[["step", "nameDest", "amount"]].itertuples(index=False), made.itertuples(index=False)):
+            window = [h for h in known if h[0] >= step - 24]
+            distinct = len({d for _s, d, _a in window if d is not None}) if window else 1
+            assert tuple(got) == (len(window) + 1, sum(a for _s, _d, a in window) + amount, distinct)
+            known.append((step, dest, amount))
+            held.append((step, dest, amount))
