@@ -80,3 +80,19 @@ def test_history_of_a_batch_builds_no_frames_by_account():
             assert tuple(got) == (len(window) + 1, sum(a for _s, _d, a in window) + amount, distinct)
             known.append((step, dest, amount))
             held.append((step, dest, amount))
+
+
+def test_feature_rows_are_not_dealt_by_type(spark):
+    """Where the size of the statistics is not known to be small, rows still are not shuffled by their few types."""
+    from txrisk.operators.features import engineer_features
+    from txrisk.sources.fixtures import tx_events
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = engineer_features(tx_events(spark, "/root/testdata/sf0.001"))
+        plan = made._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    by_type = [line for line in plan.splitlines() if "Join [type#" in line]
+    assert len(by_type) == 1 and "BroadcastHashJoin" in by_type[0]

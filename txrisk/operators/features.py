@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txrisk.functions import columns as X
+from txrisk.functions.distributed import checked_broadcast
 from txrisk.sources.schema import FEATURE_COLS
 
 ZSCORE_EPS = 1e-9
@@ -73,7 +74,7 @@ def engineer_features(df: DataFrame, fit: DataFrame | None = None) -> DataFrame:
     orig = origin_stats(fit)
     base = df.select("*", *X.row_features())
     joined = (
-        base.join(types, "type", "left")
+        base.join(checked_broadcast(types), "type", "left")
         .join(orig, "nameOrig", "left")
     )
     zscore = (F.col("amount") - F.col("type_mean")) / (F.col("type_std") + F.lit(ZSCORE_EPS))
