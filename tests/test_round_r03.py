@@ -96,3 +96,77 @@ def test_feature_rows_are_not_dealt_by_type(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     by_type = [line for line in plan.splitlines() if "Join [type#" in line]
     assert len(by_type) == 1 and "BroadcastHashJoin" in by_type[0]
+
+
+def test_pagerank_rounds_send_only_from_nodes_that_receive(spark, monkeypatch):
+    """Nodes without incoming edges have one value; only edges of the others are joined in a round."""
+    from txrisk.operators import centrality
+
+    rows = [(f"S{i}", f"T{i % 3}", 1.0 + i) for i in range(20)] + [("T0", "T1", 2.0), ("T1", "T0", 1.0), ("T1", "T2", 4.0), ("Z", "T0", 0.0)]
+    edges = spark.createDataFrame(rows, "src string, dst string, amount double")
+    nodes = edges.select(F.col("src").alias("account")).union(edges.select("dst")).distinct()
+    written, write = [], centrality.checkpointed
+
+    def counted(df):
+        out = write(df)
+        written.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(centrality, "checkpointed", counted)
+    got = {r["account"]: r["pagerank"] for r in centrality.pagerank(edges, nodes, iterations=7).collect()}
+    assert min(n for columns, n in written if "w" in columns) == 3
+    names, out = [r["account"] for r in nodes.collect()], {}
+    for s, _d, a in rows:
+        out[s] = out.get(s, 0.0) + a
+    x = {v: 1 / len(names) for v in names}
+    for _ in range(7):
+        base = (0.85 * sum(x[v] for v in names if not out.get(v)) + 0.15) / len(names)
+        y = {v: base for v in names}
+        for s, d, a in rows:
+            if out[s]:
+                y[d] += 0.85 * x[s] * a / out[s]
+        x = y
+    assert set(got) == set(names) and all(abs(got[v] - x[v]) < 1e-12 for v in names)
+
+
+def test_betweenness_from_pivots_numbers_only_edges_they_can_reach(spark, monkeypatch):
+    from txrisk.operators import centrality
+
+    rows = [(f"S{i}", "A", 1.0) for i in range(50)] + [("A", "B", 1.0), ("B", "C", 1.0)]
+    edges = spark.createDataFrame(rows, "src string, dst string, amount double")
+    nodes = edges.select(F.col("src").alias("account")).union(edges.select("dst")).distinct()
+    passed, sums = [], centrality._chunk_sums
+
+    def counted(pivots, w):
+        passed.append(w.count())
+        return sums(pivots, w)
+
+    monkeypatch.setattr(centrality, "_chunk_sums", counted)
+    some = {r["account"]: r["betweenness"] for r in centrality.betweenness(edges, nodes, k=2, chunk=2).collect()}
+    assert passed[0] <= 4 and len(some) == 53
+    ranks = {r["account"]: r["rank"] for r in centrality.ranked_pivots(nodes).collect()}
+    drawn = [a for a, r in ranks.items() if r < 2]
+    before = {"A": 2 * sum(a[0] == "S" for a in drawn), "B": sum(a[0] == "S" or a == "A" for a in drawn)}
+    for name, value in some.items():
+        assert abs(value - before.get(name, 0) / (52 * 51) * 53 / 2) < 1e-12
+
+
+def test_triangles_need_no_shuffle_of_wedges(spark):
+    """Wedges end only in edges between reached vertices; values against a plain count."""
+    from itertools import combinations
+
+    from txrisk.operators.graph import clustering
+
+    pairs = {(a, b) for a in range(30) for b in range(30) if a < b and (a * 7 + b * 3) % 4 == 0}
+    edges = spark.createDataFrame([(f"N{a}", f"N{b}") for a, b in pairs] + [("N3", "N3"), ("X", "N1")], "src string, dst string")
+    found = clustering(edges)
+    got = {r["account"]: r["clustering_coeff"] for r in found.collect()}
+    near = {}
+    for a, b in [(f"N{a}", f"N{b}") for a, b in pairs] + [("X", "N1")]:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for v, ns in near.items():
+        closed = sum(b in near[a] for a, b in combinations(ns, 2))
+        assert abs(got[v] - (2 * closed / (len(ns) * (len(ns) - 1)) if len(ns) > 1 else 0.0)) < 1e-12
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert any("BroadcastHashJoin [v#" in line and "LeftSemi" in line for line in plan.splitlines())
