@@ -170,3 +170,66 @@ def test_triangles_need_no_shuffle_of_wedges(spark):
         assert abs(got[v] - (2 * closed / (len(ns) * (len(ns) - 1)) if len(ns) > 1 else 0.0)) < 1e-12
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert any("BroadcastHashJoin [v#" in line and "LeftSemi" in line for line in plan.splitlines())
+
+
+def test_nearest_in_leaf_keeps_order_and_ties():
+    """The k nearest by (distance, index), equal distances included, without sorting whole rows."""
+    import numpy as np
+
+    from txrisk.operators.resample import _nearest_in
+
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 3, (60, 2)).astype(float)
+    x[7] = np.nan
+    i = rng.permutation(60)
+    lexsort, sorted_rows = np.lexsort, []
+    np.lexsort = lambda keys, **a: (sorted_rows.append(np.size(keys[0])), lexsort(keys, **a))[1]
+    try:
+        got = _nearest_in(x[:50], i[:50], x, i, 4)
+    finally:
+        np.lexsort = lexsort
+    want = []
+    for q in range(50):
+        d = np.maximum((x[q] * x[q]).sum() + (x * x).sum(1) - 2.0 * x[q] @ x.T, 0.0)
+        near = sorted((d[p], i[p]) for p in range(60) if p != q and np.isfinite(d[p]))[:4]
+        want += [(i[q], b, a) for a, b in near]
+    assert [tuple(r) for r in got[["_q", "_nb", "_d"]].itertuples(index=False)] == want
+    assert max(sorted_rows) < 50 * 60
+
+
+def test_rows_of_a_projection_forest_are_written_once(spark, monkeypatch):
+    """A level writes its medians, one row a node, not all rows of all trees; the neighbours hold."""
+    import numpy as np
+
+    from txrisk.operators import resample
+
+    written, write = [], resample.checkpointed
+
+    def counted(df):
+        out = write(df)
+        written.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(resample, "checkpointed", counted)
+    x = np.random.default_rng(2).normal(size=(300, 3))
+    points = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "i long, a double, b double, c double")
+    got = resample.approximate_knn(points, "i", ["a", "b", "c"], 4, leaf_rows=64).collect()
+    assert sum("_p" in columns for columns, _n in written) == 1
+    assert [n for columns, n in written if "_m" in columns] == [6, 12, 24]
+    true = {(i, j) for i in range(300) for j in np.argsort(((x[i] - x) ** 2).sum(1))[1:5]}
+    found = {(r["i"], r["_nb"]) for r in got}
+    assert len(got) == len(found) == 1200 and len(found & true) > 1080
+
+
+def test_model_frames_work_out_features_once(spark):
+    """The pass of the scaler fills the cache that the frames read."""
+    from txrisk.plans import catalog
+
+    spark.catalog.clearCache()
+    frames = catalog._model_frames(spark, "/root/testdata/sf0.001")
+    try:
+        held = spark.sparkContext._jsc.sc().getRDDStorageInfo()
+        assert any(info.numCachedPartitions() for info in held)
+        assert "InMemory" in frames[0]._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.catalog.clearCache()
