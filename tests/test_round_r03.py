@@ -233,3 +233,44 @@ def test_model_frames_work_out_features_once(spark):
         assert "InMemory" in frames[0]._jdf.queryExecution().sparkPlan().toString()
     finally:
         spark.catalog.clearCache()
+
+
+def test_saved_graph_models_read_a_written_graph(spark, monkeypatch):
+    """Every round of every method reads edges from buckets; a method's scores are written as they are made."""
+    from txrisk.plans import catalog
+    from txrisk.sources.graph_store import GraphStore
+
+    kinds, held = [], []
+
+    class Model:
+        def __init__(self, **_k):
+            pass
+
+        def on_edges(self, e):
+            kinds.append(type(e))
+            return self
+
+        def fit(self, _nodes):
+            return self
+
+        def write(self):
+            return self
+
+        def save(self, _path):
+            pass
+
+        def transform(self, nodes):
+            return nodes.select("account", F.lit(0.5).alias("gnn_proba"))
+
+        @classmethod
+        def load(cls, _path):
+            return cls()
+
+    nodes = spark.createDataFrame([("a", 0), ("b", 1)], "account string, is_fraud int")
+    edges = spark.createDataFrame([("a", "b")], "src string, dst string")
+    monkeypatch.setattr(catalog, "_degree_nodes", lambda _rows: (nodes, edges))
+    monkeypatch.setattr(catalog.EN, "NodeClassifier", Model)
+    monkeypatch.setattr(catalog.EN, "NodeClassifierModel", Model)
+    monkeypatch.setattr(catalog, "checkpointed", lambda df: held.append(df) or df)
+    got = catalog.e20_save_load_by_method(spark, "/root/testdata/sf0.001").collect()
+    assert set(kinds) == {GraphStore} and len(kinds) == 9 and len(held) == 3 and len(got) == 6
