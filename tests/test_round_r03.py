@@ -294,3 +294,66 @@ def test_ensemble_scores_are_written_before_they_are_measured(spark, monkeypatch
     got = catalog.f9_fit_ensemble(spark, "").collect()
     assert sorted(map(tuple, got)) == [(0, 0.1), (1, 0.9)]
     assert "Join" not in measured[0]._jdf.queryExecution().logical().toString()
+
+
+def _labelled(spark, n):
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = spark.range(n).select("id", F.pmod(F.col("id") * 37, F.lit(101)).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"))
+    rows = rows.withColumn("isFraud", ((F.col("a") > 60) & (F.col("b") < 5) | (F.col("id") % 23 == 0)).cast("int"))
+    return VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows)
+
+
+def test_both_tree_models_share_their_rows(spark, monkeypatch):
+    """Rows are cached once for both models, a round of many rows caches nothing, and the models are those fitted alone."""
+    from pyspark.ml.regression import RandomForestRegressor
+
+    from txrisk.operators import models as M
+
+    rows, cached = _labelled(spark, 600), []
+
+    class Fitter(RandomForestRegressor):
+        def fit(self, targets):
+            cached.append((targets.storageLevel.useMemory, spark.sparkContext._jsc.sc().getPersistentRDDs().size()))
+            return super().fit(targets)
+
+    spark.catalog.clearCache()
+    before = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    monkeypatch.setattr(boosting, "RandomForestRegressor", Fitter)
+    monkeypatch.setattr(M, "ROWS_SIDE_BY_SIDE", 0)
+    monkeypatch.setattr(boosting, "ROWS_CACHED_A_ROUND", 0)
+    both = M.boost_both(rows, cols=["a", "b"], rounds=3)
+    assert len(cached) == 6 and not any(held for held, _n in cached)
+    assert len({n for _held, n in cached}) == 1 and cached[0][1] <= before + 3  # rows, and two of the class counts
+    monkeypatch.setattr(boosting, "ROWS_CACHED_A_ROUND", 600)
+    alone = [fit(rows, cols=["a", "b"], rounds=3) for fit in (M.boost_gbt_a, M.boost_gbt_b)]
+    for one, other in zip(both, alone):
+        trees = [[t.toDebugString.split("\n", 1)[1] for t in m.model.trees] for m in (one, other)]
+        assert len(trees[0]) == 3 and trees[0] == trees[1]
+
+
+def test_tree_models_of_many_rows_run_one_after_the_other(spark, monkeypatch):
+    """Beyond a bound MLlib holds the binned rows of one model's tree at a time."""
+    import threading
+    import time
+
+    from txrisk.operators import models as M
+
+    running, most, lock = [0], [0], threading.Lock()
+
+    def fit(*_a):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        time.sleep(0.3)
+        with lock:
+            running[0] -= 1
+
+    monkeypatch.setattr(M, "_fit", fit)
+    rows = _labelled(spark, 50)
+    M.boost_both(rows, cols=["a", "b"])
+    assert most == [2]
+    most[0] = 0
+    monkeypatch.setattr(M, "ROWS_SIDE_BY_SIDE", 49)
+    M.boost_both(rows, cols=["a", "b"])
+    assert most == [1]
