@@ -1,7 +1,9 @@
 """E6 PageRank (weighted) and E7 betweenness (weighted; exact, or from pivots).
 
-Both are driver loops over DataFrames: each round is one join of the state
-with the edge table and one aggregation. PageRank's state is persisted per
+PageRank is a driver loop over DataFrames: each round is one join of the state
+with the edge table and one aggregation. So is betweenness where many edges lead
+on from a node that receives; where they are few, they are broadcast, and each task
+follows the paths of its own pivots in one pass. PageRank's state is persisted per
 round and reliably checkpointed every few rounds, betweenness' every round
 (``spark.checkpoint.dir``), so lineage stays short and a lost executor only
 recomputes from the last checkpoint.
@@ -10,8 +12,13 @@ recomputes from the last checkpoint.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
+from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,6 +114,10 @@ def pagerank(
 PIVOTS_A_CHUNK = 500
 #: (pivot, edge) rows that a round of a chunk may pass, all tasks together.
 ROWS_A_CHUNK = 50_000_000
+#: Edges behind the first one of a path (those of nodes that receive) up to which they are broadcast.
+CORE_EDGES = 1_000_000
+#: (edge, pivot) pairs that a task works on at once, and all in all.
+PAIRS_A_BLOCK, PAIRS_A_TASK = 320_000, 1_000_000_000
 
 
 def ranked_pivots(node_df: DataFrame, seed: int = 42) -> DataFrame:
@@ -153,12 +164,12 @@ def betweenness(
     all have been drawn.
 
     Pivots are a table with their rank in a seeded hash order; a chunk of them
-    is a range of ranks. Per chunk the state is (pivot, node) rows, and each
-    edge of a shortest-path graph is passed once per direction (``_chunk_sums``).
-    ``chunk`` pivots make one; if not given, ``PIVOTS_A_CHUNK``, and with a known
-    number of pivots as many as ``ROWS_A_CHUNK`` allows (``_pivots_a_chunk``)."""
+    is a range of ranks (``_chunk_sums``). ``chunk`` pivots make one; if not given,
+    ``PIVOTS_A_CHUNK``, and with a known number of pivots all of them where the edges
+    are broadcast, else as many as ``ROWS_A_CHUNK`` allows (``_pivots_a_chunk``)."""
     if (k is not None) + exact + (epsilon is not None) != 1:
         raise ValueError("betweenness needs one of k, exact or epsilon")
+    node_df = checkpointed(node_df.select("account"))  # counted, ranked and joined: worked out once
     n = node_df.count()
     if k is not None and not 0 < k <= n:
         raise ValueError(f"{k} pivots asked for, {n} nodes")
@@ -177,7 +188,7 @@ def betweenness(
     )
     last = n if k is None else k
     if chunk is None:
-        chunk = PIVOTS_A_CHUNK if epsilon is not None else _pivots_a_chunk(w)
+        chunk = PIVOTS_A_CHUNK if epsilon is not None else last if _few(_passed(w)) else _pivots_a_chunk(w)
     total, done, looks = None, 0, max(1, math.ceil(math.log2(max(n / chunk, 1))) + 1)
     look_at = chunk
     while done < last:
@@ -203,9 +214,124 @@ def _pivots_a_chunk(w: DataFrame) -> int:
     A pivot reaches only nodes that receive, and passes, beside its own edges,
     only those that such nodes send: a chunk's rounds cost the same few
     jobs whatever it holds, so a sparse reach allows many pivots."""
-    receivers = w.select(F.col("v").alias("u")).distinct()
-    passed = w.join(receivers, "u", "left_semi").count()
-    return max(PIVOTS_A_CHUNK, ROWS_A_CHUNK // max(passed, receivers.count(), 1))
+    return max(PIVOTS_A_CHUNK, ROWS_A_CHUNK // max(_passed(w).count(), _receivers(w).count(), 1))
+
+
+def _receivers(w: DataFrame) -> DataFrame:
+    return w.select(F.col("v").alias("u")).distinct()
+
+
+def _passed(w: DataFrame) -> DataFrame:
+    """Edges of nodes that receive: a path passes only such behind its first one."""
+    return w.join(_receivers(w), "u", "left_semi").select("u", "v", "w")
+
+
+def _few(passed: DataFrame) -> bool:
+    return passed.limit(CORE_EDGES + 1).count() <= CORE_EDGES
+
+
+def _chunk_sums(pivots: DataFrame, w: DataFrame) -> DataFrame:
+    """node, s, ss: sums of the dependencies of ``pivots`` on a node and of their
+    squares; from a broadcast of the edges that paths pass where these are few,
+    by (pivot, node) rows and shuffles where not."""
+    passed = _passed(w)
+    return _sums_of_blocks(pivots, w, passed) if _few(passed) else _sums_of_rows(pivots, w)
+
+
+class _Core(NamedTuple):
+    """Edges that paths pass behind their first one, by receiver: numbers of their
+    ends within ``ids`` (the ranks, ascending) and weights."""
+
+    ids: np.ndarray
+    u: np.ndarray
+    v: np.ndarray
+    w: np.ndarray
+
+
+def _core_of(passed: DataFrame) -> _Core:
+    edges = passed.toArrow()
+    u, v, w = (edges.column(c).to_numpy() for c in ("u", "v", "w"))
+    order = np.argsort(v, kind="stable")
+    ids, ends = np.unique(np.concatenate((u[order], v[order])), return_inverse=True)
+    return _Core(ids, ends[: len(order)], ends[len(order) :], w[order])
+
+
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """First place of each run of equal ``keys``."""
+    return np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+
+
+def _dependencies(core: _Core, node: np.ndarray, column: np.ndarray, d: np.ndarray, width: int) -> np.ndarray:
+    """Brandes' dependencies (nodes x ``width`` pivots). A pivot's paths begin at
+    the nodes ``node``, in its ``column``, at the distances ``d``: behind its own
+    edges, or at itself with 0. Rounds relax, count and sum along all edges, for all
+    pivots side by side, until nothing changes; weights are positive, so each
+    takes as many rounds as the longest shortest path has edges."""
+    w, into, by_u = core.w[:, None], _runs(core.v), np.argsort(core.u, kind="stable")
+    heads, out = core.v[into], _runs(core.u[by_u])
+    tails = core.u[by_u][out]
+    dist = np.full((len(core.ids), width), np.iinfo(np.int64).max // 4)
+    np.minimum.at(dist, (node, column), d)
+    while True:
+        nearer = np.minimum(dist[heads], np.minimum.reduceat(dist[core.u] + w, into, axis=0))
+        if np.array_equal(nearer, dist[heads]):
+            break
+        dist[heads] = nearer
+    shortest = dist[core.u] + w == dist[core.v]
+    begun = np.zeros(dist.shape)
+    tight = dist[node, column] == d
+    np.add.at(begun, (node[tight], column[tight]), 1.0)
+    paths, before = begun, None
+    while before is None or not np.array_equal(paths, before):
+        before, paths = paths, begun.copy()
+        paths[heads] += np.add.reduceat(np.where(shortest, before[core.u], 0.0), into, axis=0)
+    share = np.divide(paths[core.u], paths[core.v], out=np.zeros(shortest.shape), where=shortest)
+    delta, before = np.zeros(dist.shape), None
+    while before is None or not np.array_equal(delta, before, equal_nan=True):
+        before, delta = delta, np.zeros(dist.shape)
+        delta[tails] = np.add.reduceat((share * (1.0 + before[core.v]))[by_u], out, axis=0)
+    delta[dist == 0] = 0.0  # the pivots themselves
+    return delta
+
+
+def _sums_of_blocks(pivots: DataFrame, w: DataFrame, passed: DataFrame) -> DataFrame:
+    """``_chunk_sums`` with the edges ``passed`` in a broadcast. Pivots are dealt over
+    tasks with where their paths begin; a task adds up its pivots, block by block,
+    and gives one row a node."""
+    core = _core_of(passed)
+    if not len(core.w):
+        return pivots.limit(0).select(F.col("rank").alias("node"), F.lit(0.0).alias("s"), F.lit(0.0).alias("ss"))
+    receivers = _receivers(w).withColumnRenamed("u", "rank")
+    own = pivots.join(receivers, "rank", "left_anti").join(w.withColumnRenamed("u", "rank"), "rank").select("rank", F.col("v").alias("node"), F.col("w").alias("d"))
+    itself = pivots.join(receivers, "rank", "left_semi").select("rank", F.col("rank").alias("node"), F.lit(0).cast("long").alias("d"))
+    context = pivots.sparkSession.sparkContext
+    tasks = max(2 * context.defaultParallelism, -(-pivots.count() * len(core.w) // PAIRS_A_TASK))
+    shared, width = context.broadcast(core), min(512, max(1, PAIRS_A_BLOCK // len(core.w)))
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        core = shared.value
+        s, ss, held = np.zeros(len(core.ids)), np.zeros(len(core.ids)), None
+        for frame in chain(frames, [None]):
+            rows = held if frame is None else frame if held is None else pd.concat([held, frame])
+            if rows is None or rows.empty:
+                continue
+            begin = np.append(_runs(rows["rank"].to_numpy()), len(rows))
+            whole = len(begin) - 1 if frame is None else (len(begin) - 2) // width * width  # the last pivot may go on
+            for i in range(0, whole, width):
+                upto = min(i + width, whole)
+                part = rows.iloc[begin[i] : begin[upto]]
+                column = np.repeat(np.arange(upto - i), np.diff(begin[i : upto + 1]))
+                node = np.minimum(np.searchsorted(core.ids, part["node"].to_numpy()), len(core.ids) - 1)
+                met = core.ids[node] == part["node"].to_numpy()
+                delta = _dependencies(core, node[met], column[met], part["d"].to_numpy()[met], upto - i)
+                s, ss = s + delta.sum(axis=1), ss + (delta * delta).sum(axis=1)
+            held = rows.iloc[begin[whole] :]
+        on = s > 0
+        yield pd.DataFrame({"node": core.ids[on], "s": s[on], "ss": ss[on]})
+
+    begun = own.unionByName(itself).repartition(tasks, "rank").sortWithinPartitions("rank")
+    found = begun.mapInPandas(sums, "node long, s double, ss double")
+    return found.groupBy("node").agg(F.sum("s").alias("s"), F.sum("ss").alias("ss"))
 
 
 def _distances(pivots: DataFrame, w: DataFrame) -> DataFrame:
@@ -247,8 +373,9 @@ def _path_counts(best: DataFrame, dag: DataFrame) -> list[DataFrame]:
         waiting = state.where("left > 0")
 
 
-def _chunk_sums(pivots: DataFrame, w: DataFrame) -> DataFrame:
-    """node, s, ss: sums of the dependencies of ``pivots`` on a node and of their squares.
+def _sums_of_rows(pivots: DataFrame, w: DataFrame) -> DataFrame:
+    """``_chunk_sums`` with (pivot, node) rows; each edge of a shortest-path graph is
+    passed once per direction.
 
     1. distances by frontier relaxation; 2. the edges of shortest paths;
     3. path counts level by level; 4. dependencies backwards, level by level:
