@@ -1,4 +1,4 @@
-"""Steps mended after round 4: betweenness from a broadcast of the edges that paths pass."""
+"""Steps mended after round 4: betweenness from a broadcast of the edges that paths pass, stream state of many accounts."""
 
 from __future__ import annotations
 
@@ -53,3 +53,69 @@ def test_betweenness_of_many_passed_edges_stays_with_rows(spark, monkeypatch):
     for column in ("s", "ss"):
         one, other = ({r["node"]: r[column] for r in df.where("s > 0").collect()} for df in (few, many))
         assert one == pytest.approx(other) and sorted(one) == [0, 1, 2]
+
+
+def test_history_of_a_bucket_is_that_of_each_of_its_accounts():
+    """Rows of many accounts in one call, with late rows, nulls and endless amounts, as account by account."""
+    import numpy as np
+    import pandas as pd
+
+    from txrisk.streaming import stream
+
+    rng, state, alone = np.random.default_rng(4), None, {}
+    for batch in range(6):
+        n = 200
+        rows = pd.DataFrame({
+            "account": rng.integers(0, 9, n) if batch != 3 else 4, "step": rng.integers(20 * batch, 20 * batch + 40, n), "tx_id": np.arange(n),
+            "nameDest": np.array([f"D{x}" if x else None for x in rng.integers(0, 5, n)], object), "amount": rng.integers(1, 10**6, n) / 100,
+        }).sort_values(["account", "step", "tx_id"], ignore_index=True)
+        rows.loc[rng.integers(0, n, 3), "amount"] = [np.nan, np.inf, np.nan]
+        made, state = stream.history_of_accounts(rows["account"].to_numpy(), rows, state, 24)
+        for a, part in rows.groupby("account"):
+            one, alone[a] = stream.history_of_batch(part.reset_index(drop=True), alone.get(a), 24)
+            pd.testing.assert_frame_equal(made.loc[part.index].reset_index(drop=True), one)
+        for a, (steps, counts, sums, dests, dest_steps) in alone.items():
+            mine, met = [i for i, x in enumerate(state[5]) if x == a], [i for i, x in enumerate(state[6]) if x == a]
+            assert [state[0][i] for i in mine] == steps and [state[1][i] for i in mine] == counts
+            assert [state[2][i] for i in mine] == pytest.approx(sums, nan_ok=True)
+            assert sorted((state[3][i], state[4][i]) for i in met) == sorted(zip(dests, dest_steps))
+
+
+class _State:
+    """The handle of a bucket's state, as Spark hands it to the function."""
+
+    hasTimedOut, exists, get, watermark, now = False, False, None, 0, 0
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+    def getCurrentProcessingTimeMs(self):
+        return self.now
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+    def setTimeoutDuration(self, ms):
+        self.armed = ms
+
+
+def test_a_bucket_drops_accounts_that_are_idle_and_past():
+    import pandas as pd
+
+    from txrisk.streaming import stream
+
+    state, calls = _State(), []
+    fn = stream._history_fn(24, ["tx_id"], 1000)
+
+    def send(now, watermark_step, *rows):
+        state.now, state.watermark = now, stream.EPOCH_SECONDS * 1000 + watermark_step * 3_600_000
+        frame = pd.DataFrame(rows, columns=["tx_id", "nameOrig", "nameDest", "step", "amount"])
+        calls.append([tuple(r) for out in fn((3,), iter([frame]), state) for r in out.itertuples(index=False)])
+        return state.get[8]
+
+    assert send(0, 0, (1, "a", "x", 10, 1.0), (2, "b", "x", 10, 2.0), (3, None, "y", 11, 4.0)) == ["a", "b", None]
+    assert send(500, 90, (4, "a", "y", 12, 8.0)) == ["a", "b", None]  # past, but not idle
+    assert send(1200, 34, (5, "a", "x", 34, 1.0)) == ["a", "b", None]  # idle, but not past
+    assert send(1300, 90, (6, "c", "x", 35, 1.0)) == ["a", "c"]
+    assert send(1400, 90, (7, "a", "x", 36, 1.0), (8, None, "y", 36, 1.0)) == ["a", "c", None]
+    assert calls[1] == [(4, 2, 9.0, 1)] and calls[2] == [(5, 3, 10.0, 2)] and calls[4] == [(7, 3, 10.0, 2), (8, 1, 1.0, 1)]
