@@ -1,4 +1,5 @@
-"""Steps mended after round 4: betweenness from a broadcast of the edges that paths pass, stream state of many accounts."""
+"""Steps mended after round 4: betweenness from a broadcast of the edges that paths pass, stream state of many accounts,
+trees from rows that are binned once."""
 
 from __future__ import annotations
 
@@ -119,3 +120,70 @@ def test_a_bucket_drops_accounts_that_are_idle_and_past():
     assert send(1300, 90, (6, "c", "x", 35, 1.0)) == ["a", "c"]
     assert send(1400, 90, (7, "a", "x", 36, 1.0), (8, None, "y", 36, 1.0)) == ["a", "c", None]
     assert calls[1] == [(4, 2, 9.0, 1)] and calls[2] == [(5, 3, 10.0, 2)] and calls[4] == [(7, 3, 10.0, 2), (8, 1, 1.0, 1)]
+
+
+def _tree_rows(spark, n=900):
+    """Features of few values, so that MLlib's bins hold one value each as well."""
+    import numpy as np
+    import pandas as pd
+
+    rnd = np.random.default_rng(7)
+    x = rnd.integers(0, 40, (n, 3)) / 4
+    y = (x[:, 0] + rnd.normal(scale=2.0, size=n) > 6) | (x[:, 1] * x[:, 2] > 70)
+    return spark.createDataFrame(pd.DataFrame(x, columns=list("abc")).assign(isFraud=y.astype(int), tx_id=range(n)))
+
+
+def test_trees_of_binned_rows_are_those_of_mllib(spark, monkeypatch, tmp_path):
+    """Without draws both give one tree a round: the same scores, importances and, after loading, scores again."""
+    from pyspark.ml.classification import GBTClassificationModel
+
+    from txrisk.operators import boosting
+    from txrisk.operators import models as M
+
+    df, cols, scores, weights = _tree_rows(spark), list("abc"), {}, {}
+    for name, value in (("subsample", 1.0), ("colsample", 1.0), ("max_depth", 4)):
+        monkeypatch.setitem(M.GBT_A, name, value)
+    for bound in (10_000, 0):
+        monkeypatch.setattr(boosting, "ROWS_BINNED", bound)
+        if not bound:
+            monkeypatch.setattr(boosting, "RandomForestRegressor", lambda **_k: pytest.fail("rows were binned anew"))
+        model = M.train_gbt_a(df, cols=cols, rounds=3)
+        scores[bound] = {r["tx_id"]: r["p"] for r in M.predict_proba(model, df, "p", cols).collect()}
+        weights[bound] = model.featureImportances.toArray().tolist()
+    assert scores[0] == pytest.approx(scores[10_000], abs=1e-9) and len(set(scores[0].values())) > 5
+    assert weights[0] == pytest.approx(weights[10_000], abs=1e-9)
+    model.save(str(tmp_path / "m"))
+    again = M.predict_proba(GBTClassificationModel.load(str(tmp_path / "m")), df, "p", cols).collect()
+    assert {r["tx_id"]: r["p"] for r in again} == scores[0]
+
+
+def test_binned_rounds_stop_by_patience_and_keep_the_best(spark, monkeypatch):
+    from txrisk.operators import boosting
+    from txrisk.operators import models as M
+
+    df, cols = _tree_rows(spark), list("abc")
+    train, val = df.where("tx_id < 600"), df.where("tx_id >= 600")
+    monkeypatch.setattr(boosting, "ROWS_BINNED", 0)
+    monkeypatch.setattr(boosting, "MEASURED_AT_ONCE", 3)
+    monkeypatch.setattr(boosting, "CUT_EVERY", 4)
+    monkeypatch.setitem(M.GBT_B, "early_stop", 4)
+    monkeypatch.setitem(M.GBT_B, "max_depth", 3)
+    found = M.boost_gbt_b(train, val, cols=cols, rounds=40)
+    best = max(range(len(found.precision)), key=lambda i: (found.precision[i], -i)) + 1
+    assert found.best == best and found.rounds == len(found.precision) == best + 4
+    # the margins that were measured are those of the finished model
+    assert M.round_auprc(found.model, val, "isFraud", cols) == pytest.approx(found.precision[:best], abs=2e-3)
+    again = M.boost_gbt_b(train, val, cols=cols, rounds=40)
+    assert again.precision == found.precision
+    assert M.boost_gbt_b(train, val, cols=cols, rounds=2).rounds == 2
+
+
+def test_bounds_of_bins_lie_between_values():
+    import numpy as np
+
+    from txrisk.operators.binned_trees import bounds_of
+
+    assert bounds_of(np.array([3.0, 1.0, 1.0, 2.0]), 64).tolist() == [1.5, 2.5]
+    assert bounds_of(np.zeros(5), 64).tolist() == []
+    many = bounds_of(np.arange(10_000.0), 64)
+    assert len(many) == 63 and max(np.diff(np.concatenate(([0], many, [10_000])))) < 200
